@@ -8,7 +8,8 @@ DataFrames, so a check costs one ``count_if`` in a shared scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -42,26 +43,61 @@ def target(df: DataFrame | Target) -> Target:
 
 @dataclass(frozen=True)
 class Check:
-    """One counted predicate.
+    """One counted predicate and what makes its count worth reporting.
 
-    ``keep``, ``raw`` and ``severity`` are given the hit count and the row count
-    as Columns; ``evidence`` values may be literals or functions of the two.
+    The ratio is taken over ``base`` rows (all rows when None).  A check is kept when
+    its count reaches ``min_count``, and its ratio exceeds ``over`` and reaches
+    ``at_least``.  ``ladder`` raises the severity above further ratios.
     """
 
     detector_id: str
     columns: tuple[str, ...]
     hit: Column
     confidence: float
-    severity: str | Callable[[Column, Column], Column]
+    severity: str
     fpr: float = 0.1
-    keep: Callable[[Column, Column], Column] = lambda n, rows: n > 0
-    raw: Callable[[Column, Column], Column] = lambda n, rows: n
+    min_count: int = 1
+    over: float = -1.0
+    at_least: float = 0.0
+    base: int | None = None
+    score_ratio: bool = False
+    ladder: tuple[tuple[float, str], ...] = ()
     evidence: Mapping[str, object] = field(default_factory=dict)
     evidence_type: str = "pattern_match"
     issue_type: str | None = None
     version: str = VERSION
 
 
+_CHECK_ROW = (
+    "pos int, issue_type string, detector_id string, version string, columns array<string>, "
+    "confidence double, fpr double, min_count bigint, over double, at_least double, base double, "
+    "score_ratio boolean, severity string, ladder array<struct<over:double,severity:string>>, "
+    "evidence string"
+)
+
+
+def _check_row(pos: int, c: Check) -> tuple:
+    """A check's constants as a row; its evidence as JSON up to the closing brace."""
+    told = json.dumps({"type": c.evidence_type, **c.evidence}, ensure_ascii=False)[:-1]
+    return (
+        pos,
+        c.issue_type or c.detector_id,
+        c.detector_id,
+        c.version,
+        list(c.columns),
+        c.confidence,
+        c.fpr,
+        c.min_count,
+        c.over,
+        c.at_least,
+        None if c.base is None else float(c.base),
+        c.score_ratio,
+        c.severity,
+        sorted(c.ladder),
+        told,
+    )
+
+
 def count_exprs(checks: Sequence[Check], prefix: str = "hit") -> list[Column]:
     return [F.count_if(c.hit).alias(f"{prefix}{i}") for i, c in enumerate(checks)]
 
@@ -87,12 +123,12 @@ def candidate(
     columns: Column,
     affected: Column,
     raw: Column,
-    confidence: float,
-    fpr: float,
+    confidence: Column | float,
+    fpr: Column | float,
     severity: Column | str,
     evidence: Column,
     affected_rows: Column | None = None,
-    version: str = VERSION,
+    version: Column | str = VERSION,
 ) -> list[Column]:
     """The canonical candidate columns, cast to the published schema."""
 
@@ -103,54 +139,72 @@ def candidate(
     values = {
         "issue_type": lit(issue_type),
         "detector_id": lit(detector_id),
-        "detector_version": F.lit(version),
+        "detector_version": lit(version),
         "dataset_id": F.lit(at.dataset_id),
         "table_name": F.lit(at.table_name),
         "columns": columns,
         "affected_count": affected,
         "affected_rows": rows,
         "raw_score": raw,
-        "confidence": F.lit(confidence),
-        "fpr": F.lit(fpr),
+        "confidence": lit(confidence),
+        "fpr": lit(fpr),
         "severity": lit(severity),
         "evidence": evidence,
     }
     return [values[f.name].cast(f.dataType).alias(f.name) for f in CANDIDATE.fields]
 
 
-def _entry(at: Target, check: Check, count: Column, rows: Column) -> Column:
-    resolved = {
-        k: (v(count, rows) if callable(v) and not isinstance(v, Column) else v)
-        for k, v in check.evidence.items()
-    }
-    severity = check.severity
-    cols = candidate(
-        at,
-        issue_type=check.issue_type or check.detector_id,
-        detector_id=check.detector_id,
-        columns=F.array(*[F.lit(c) for c in check.columns]),
-        affected=count,
-        raw=check.raw(count, rows),
-        confidence=check.confidence,
-        fpr=check.fpr,
-        severity=severity if isinstance(severity, str) else severity(count, rows),
-        evidence=evidence_json(check.evidence_type, {"count": count, **resolved}),
-        version=check.version,
-    )
-    keep = F.coalesce(check.keep(count, rows), F.lit(False)) & (rows > 0)
-    return F.struct(*cols, keep.alias("keep"))
-
-
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CANDIDATE)
 
 
 def report(at: Target, measures: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Candidates for the checks whose counts pass their own threshold."""
+    """Candidates for the checks whose counts pass their own limits.
+
+    The counts become rows and meet the checks' constants in a join of that many
+    rows, so the plan stays the same size however many checks there are.
+    """
     if not checks:
         return empty(at.spark)
-    entries = [_entry(at, c, F.col(f"hit{i}"), F.col(ROWS)) for i, c in enumerate(checks)]
-    return measures.select(F.inline(F.array(*entries))).filter("keep").drop("keep")
+    told = at.spark.createDataFrame([_check_row(i, c) for i, c in enumerate(checks)], _CHECK_ROW)
+    hits = F.array(*[F.col(f"hit{i}") for i in range(len(checks))])
+    counted = measures.select(ROWS, F.posexplode(hits).alias("pos", "n"))
+    ratio = F.when(F.col("base") > 0, F.col("n") / F.col("base"))
+    passed = F.filter("ladder", lambda step: F.col("ratio") > step["over"])
+    json_end = F.concat(
+        "evidence",
+        F.lit(', "count": '),
+        F.col("n").cast("string"),
+        F.lit(', "ratio": '),
+        F.round("ratio", 6).cast("string"),
+        F.lit("}"),
+    )
+    return (
+        counted.join(F.broadcast(told), "pos")
+        .withColumn("base", F.coalesce("base", ROWS))
+        .withColumn("ratio", ratio)
+        .filter(
+            (F.col(ROWS) > 0)
+            & (F.col("n") >= F.col("min_count"))
+            & (F.col("ratio") > F.col("over"))
+            & (F.col("ratio") >= F.col("at_least"))
+        )
+        .select(
+            *candidate(
+                at,
+                issue_type=F.col("issue_type"),
+                detector_id=F.col("detector_id"),
+                columns=F.col("columns"),
+                affected=F.col("n"),
+                raw=F.when(F.col("score_ratio"), F.col("ratio")).otherwise(F.col("n")),
+                confidence=F.col("confidence"),
+                fpr=F.col("fpr"),
+                severity=F.coalesce(F.try_element_at(passed, F.lit(-1))["severity"], "severity"),
+                evidence=json_end,
+                version=F.col("version"),
+            )
+        )
+    )
 
 
 def chunked(checks: Sequence[Check], size: int = MAX_EXPRESSIONS) -> list[list[Check]]:

@@ -48,25 +48,16 @@ _SKETCH_LIMIT = 1000
 def null_rate_checks(df: DataFrame, cols: Sequence[str] | None = None, max_ratio=NULL_RATE):
     """Share of NULLs above ``max_ratio``."""
     names = [c for c in df.columns if cols is None or c in cols]
-
-    def severity(n, rows):
-        ratio = n / rows
-        return (
-            F.when(ratio > NULL_RATE_HIGH, "high")
-            .when(ratio > NULL_RATE_MEDIUM, "medium")
-            .otherwise("low")
-        )
-
     return [
         Check(
             "excessive_null_rate",
             (c,),
             col(c).isNull(),
             confidence=0.95,
-            severity=severity,
-            keep=lambda n, rows: n / rows > max_ratio,
-            raw=lambda n, rows: n / rows,
-            evidence={"ratio": lambda n, rows: F.round(n / rows, 6)},
+            severity="low",
+            ladder=((NULL_RATE_MEDIUM, "medium"), (NULL_RATE_HIGH, "high")),
+            over=max_ratio,
+            score_ratio=True,
             evidence_type="statistical_measure",
         )
         for c in names
@@ -82,7 +73,7 @@ def missing_token_checks(df: DataFrame, cols: Sequence[str] | None = None, min_r
             P.is_missing_token(col(c)),
             confidence=0.9,
             severity="low",
-            keep=lambda n, rows: n / rows > min_ratio,
+            over=min_ratio,
         )
         for c in string_columns(df, cols)
     ]
@@ -109,8 +100,9 @@ def conditional_checks(nulls: dict[str, int], rows: int) -> list[Check]:
             confidence=0.85,
             fpr=0.15,
             severity="medium",
-            keep=lambda n, _, a=a: n / nulls[a] >= CASCADE_COVERAGE,
-            raw=lambda n, _, a=a: n / nulls[a],
+            base=nulls[a],
+            at_least=CASCADE_COVERAGE,
+            score_ratio=True,
             evidence={"condition_column": a, "target_column": b, "condition_null": nulls[a]},
             evidence_type="statistical_measure",
         )
@@ -129,10 +121,10 @@ def correlated_checks(nulls: dict[str, int], rows: int) -> list[Check]:
             confidence=0.85,
             fpr=0.15,
             severity="low",
-            keep=lambda n, _, m=min(nulls[a], nulls[b]): (
-                (n >= TOGETHER_NULLS) & (n / m >= TOGETHER_COVERAGE)
-            ),
-            raw=lambda n, _, m=min(nulls[a], nulls[b]): n / m,
+            base=min(nulls[a], nulls[b]),
+            min_count=TOGETHER_NULLS,
+            at_least=TOGETHER_COVERAGE,
+            score_ratio=True,
             evidence={"column_a": a, "column_b": b, "a_null": nulls[a], "b_null": nulls[b]},
             evidence_type="statistical_measure",
         )

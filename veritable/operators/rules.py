@@ -212,9 +212,9 @@ def rule_checks(df: DataFrame, rules: Sequence[Rule]) -> tuple[list[Check], dict
             p,
             confidence=RULE_CONFIDENCE,
             severity=r.severity,
-            raw=lambda n, rows: n / rows,
+            score_ratio=True,
             issue_type=f"rule:{r.id}",
-            evidence={"rule_id": r.id, "rule_version": r.version, "rows_tested": lambda n, rows: rows},
+            evidence={"rule_id": r.id, "rule_version": r.version},
             evidence_type="rule_violation",
             version=r.version,
         )

@@ -39,10 +39,6 @@ def _numeric_names(names):
     return unhinted(hinted(names, NUMERIC_HINTS), NUMERIC_EXEMPT_HINTS)
 
 
-def _enough_rows(n, rows):
-    return (n >= NOT_NUMERIC_COUNT) & (n / rows >= NOT_NUMERIC_RATE)
-
-
 # detector: (predicate, which string columns, confidence, further Check fields)
 _COUNTED = {
     "leading_or_trailing_whitespace": (P.has_outer_space, None, 0.98, {}),
@@ -63,9 +59,9 @@ _COUNTED = {
         {
             "severity": "medium",
             "fpr": 0.15,
-            "keep": _enough_rows,
-            "raw": lambda n, rows: n / rows,
-            "evidence": {"ratio": lambda n, rows: F.round(n / rows, 6)},
+            "min_count": NOT_NUMERIC_COUNT,
+            "at_least": NOT_NUMERIC_RATE,
+            "score_ratio": True,
         },
     ),
 }
