@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from veritable.functions.columns import col
 from veritable.operators.completeness import BUCKET_ROWS, MIN_GAP, MIN_RATIO
@@ -64,6 +64,15 @@ def scan_stream(
     )
 
 
+def _as_instant(c: Column) -> Column:
+    """A time without zone as the instant it names in UTC (watermarks need an instant)."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+
+
+def _from_instant(c: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+
+
 def null_rates(
     stream: DataFrame,
     time_column: str,
@@ -78,9 +87,16 @@ def null_rates(
     are dropped by the watermark.
     """
     tallies = [F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
+    zoneless = isinstance(stream.schema[time_column].dataType, TimestampNTZType)
+    moment = _as_instant(col(time_column)) if zoneless else col(time_column)
+
+    def shown(c: Column) -> Column:
+        return _from_instant(c) if zoneless else c
+
     counted = (
-        stream.withWatermark(time_column, lateness)
-        .groupBy(F.window(col(time_column), window).alias("w"))
+        stream.withColumn("__at", moment)
+        .withWatermark("__at", lateness)
+        .groupBy(F.window("__at", window).alias("w"))
         .agg(F.count(F.lit(1)).alias("rows"), *tallies)
     )
     cells = [
@@ -96,8 +112,8 @@ def null_rates(
     return (
         counted.select("w", "rows", F.inline(F.array(*cells)))
         .select(
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
+            shown(F.col("w.start")).alias("window_start"),
+            shown(F.col("w.end")).alias("window_end"),
             "column",
             "rows",
             "nulls",

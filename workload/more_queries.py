@@ -14,7 +14,15 @@ from veritable.session import scratch_path
 from veritable.sources import query, readers, sinks
 from veritable.streaming import monitor
 from workload import detector_oracles as O
-from workload.queries import AS_OF, QUERIES, _QUALITY, core, fused_oracle, issue_rows, register
+from workload.queries import (
+    AS_OF,
+    QUERIES,
+    _QUALITY,
+    core,
+    fused_oracle,
+    issue_rows,
+    register,
+)
 from workload.views import COLUMNS, DIRTY_EVENTS, table
 
 # ---- fingerprints ------------------------------------------------------------
@@ -35,10 +43,13 @@ def _sums(where: str = "true") -> str:
     )
 
 
-@register("h01_schema_hash", f"SELECT sha256('{_ORDERS_SIGNATURE}') AS schema_hash")
+@register(
+    "h01_schema_hash",
+    f"SELECT sha256('{_ORDERS_SIGNATURE}') AS schema_hash, count(*) AS row_count FROM orders",
+)
 def _(s, d):
     df = table(s, d, "orders")
-    return s.createDataFrame([(fingerprint.schema_hash(df),)], "schema_hash string")
+    return query.row_count(df).withColumn("schema_hash", F.lit(fingerprint.schema_hash(df)))
 
 
 @register(
@@ -563,7 +574,7 @@ def _(s, d):
 
 _HITS = {
     "email": r"len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))",
-    "cn_phone": r"len(list_filter(regexp_extract_all(text, '\d+'), x -> regexp_full_match(x, '1[3-9]\d{9}')))",
+    "cn_phone": r"len(list_filter(regexp_extract_all(text, '\d+'), lambda x: regexp_full_match(x, '1[3-9]\d{9}')))",
     "url": r"len(regexp_extract_all(text, '(?i)https?://[^\s""''<>]+'))".replace('""', '"'),
 }
 
@@ -643,14 +654,25 @@ def _(s, d):
     return issue_rows(scan(table(s, d, "lineitem"), dataset_id="lineitem").issues)
 
 
+_E02 = ("tail_probability", "invalid_email", "excessive_null_rate")
+
+
 @register(
     "e02_detector_registry",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{n}', {'false' if n == 'foreign_key_violation' else 'true'})" for i, n in enumerate(ORDER))
-    + ") t(ordinal, detector_id, supports_sampling)",
+    "SELECT detector_id, status, CASE WHEN status = 'completed' THEN (SELECT count(*) FROM dirty_orders) ELSE 0 END AS rows_scanned, candidates FROM ("
+    f"SELECT 'excessive_null_rate' AS detector_id, 'completed' AS status, (SELECT count(*) FROM ({O.d01('dirty_orders')})) AS candidates UNION ALL "
+    f"SELECT 'tail_probability', 'completed', (SELECT count(*) FROM ({O.d29('dirty_orders')})) UNION ALL SELECT 'invalid_email', 'skipped', 0)",
 )
 def _(s, d):
-    return default_registry().table(s).select("ordinal", "detector_id", "supports_sampling")
+    registry = default_registry()
+    try:
+        registry.register(registry.get("invalid_email"))
+    except ValueError:
+        found = scan(table(s, d, "dirty_orders"), ScanConfig(detectors=_E02, fingerprint=False), registry=registry)
+    counts = found.candidates.groupBy("detector_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.detector_runs.join(counts, "detector_id", "left").select(
+        "detector_id", "status", "rows_scanned", F.coalesce("n", F.lit(0)).alias("candidates")
+    )
 
 
 @register(
@@ -694,6 +716,12 @@ def _(s, d):
     return summary.select("dataset_id", "status", "row_count", issues.alias("issues"))
 
 
+def _with_counts(df, described):
+    """The description of a table's columns beside their non-null values."""
+    cells = [F.struct(F.lit(c).alias("name"), F.count(c).alias("non_null")) for c in df.columns]
+    return described.join(df.agg(F.array(*cells).alias("c")).select(F.inline("c")), "name")
+
+
 # ---- sources and sinks -------------------------------------------------------
 @register("s01_csv_scan", "SELECT order_id, priority, total_price, order_date, max_qty FROM dirty_orders")
 def _(s, d):
@@ -750,11 +778,14 @@ def _(s, d):
 
 @register(
     "s10_schema_describe",
-    "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), "
-    "(4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) t(ordinal, name, type)",
+    "SELECT ordinal, name, type, n AS non_null FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), "
+    "(4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) t(ordinal, name, type) JOIN ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS c, count({c}) AS n FROM orders" for c in COLUMNS["orders"])
+    + ") ON c = name",
 )
 def _(s, d):
-    return query.describe(table(s, d, "orders")).select("ordinal", "name", "type")
+    df = table(s, d, "orders")
+    return _with_counts(df, query.describe(df)).select("ordinal", "name", "type", "non_null")
 
 
 @register(

@@ -13,31 +13,20 @@ from veritable.operators import (
     completeness,
     cross,
     dates,
-    fingerprint,
     fusion,
-    history,
     model_outlier,
     numeric,
-    privacy,
     profile,
     quality,
-    repair,
     rules,
-    sampling,
     text_format,
     uniqueness,
 )
 from veritable.operators.checks import run_checks
 from veritable.operators.cross import Reference
-from veritable.operators.repair import Repair
 from veritable.operators.rules import ColumnContract, Condition, Rule
-from veritable.plans.registry import ORDER, counted, default_registry
-from veritable.plans.scan import ScanConfig, scan, scan_many
-from veritable.session import scratch_path
-from veritable.sources import query, readers, sinks
-from veritable.streaming import monitor
 from workload import detector_oracles as O
-from workload.views import COLUMNS, DIRTY_EVENTS, table, with_views
+from workload.views import COLUMNS, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -676,14 +665,19 @@ def _(s, d):
 # ---- column selection and predicates ----------------------------------------
 @register(
     "f01_f02_column_selection",
-    "SELECT * FROM (VALUES (0, 'order_id', 'numeric', 'identifier'), (1, 'customer_id', 'numeric', 'identifier'), "
+    "SELECT ordinal, name, family, hints, n AS non_null FROM (VALUES (0, 'order_id', 'numeric', 'identifier'), (1, 'customer_id', 'numeric', 'identifier'), "
     "(2, 'total_price', 'numeric', 'numeric'), (3, 'priority', 'string', ''), (4, 'status', 'string', ''), "
     "(5, 'ordered_at', 'temporal', 'time'), (6, 'order_date', 'string', 'date,time'), (7, 'min_qty', 'numeric', 'numeric'), "
-    "(8, 'max_qty', 'numeric', 'numeric')) t(ordinal, name, family, hints)",
+    "(8, 'max_qty', 'numeric', 'numeric')) t(ordinal, name, family, hints) JOIN ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS c, count({c}) AS n FROM dirty_orders" for c in COLUMNS["dirty_orders"])
+    + ") ON c = name",
 )
 def _(s, d):
-    found = select_columns(table(s, d, "dirty_orders"))
-    return found.select("ordinal", "name", "family", F.array_join("hints", ",").alias("hints"))
+    df = table(s, d, "dirty_orders")
+    cells = [F.struct(F.lit(c).alias("name"), F.count(c).alias("non_null")) for c in df.columns]
+    counts = df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    found = select_columns(df).withColumn("hints", F.array_join("hints", ","))
+    return found.join(counts, "name").select("ordinal", "name", "family", "hints", "non_null")
 
 
 @register(
