@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.columns import col, numeric_columns
@@ -106,7 +106,7 @@ def _pool(df: DataFrame, names: list[str], counts: dict[str, tuple], size: int,
     return _cells(df, names).filter(F.rand(seed) < fraction)
 
 
-def _isolation(at: Target, names, counts, trees, contamination, size, seed) -> DataFrame:
+def _isolation(at: Target, names, counts, trees, contamination, size, seed, freq) -> DataFrame:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         no, values = int(pdf["no"].iloc[0]), np.sort(pdf["x"].to_numpy())
         cuts, scores = grow_forest(values, seed + no, trees)
@@ -116,35 +116,37 @@ def _isolation(at: Target, names, counts, trees, contamination, size, seed) -> D
         _pool(at.df, names, counts, size, seed)
         .groupBy("no")
         .applyInPandas(grow, "no int, cuts array<double>, scores array<double>")
-        .collect()
+        .toArrow()
     )
     # At most trees * SUBSAMPLE steps per column, whatever the size of the table.
-    cuts = {r["no"]: np.asarray(r["cuts"]) for r in grown}
-    shared = at.spark.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("int")
-    def step(no: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), dtype=np.int32)
-        for k, edges in shared.value.items():
-            here = (no == k).to_numpy()
-            out[here] = np.searchsorted(edges, x.to_numpy()[here], side="left")
+    steps = {
+        no: (np.asarray(cuts), np.asarray(scores))
+        for no, cuts, scores in zip(*(grown[c].to_pylist() for c in ("no", "cuts", "scores")))
+    }
+    shared = at.spark.sparkContext.broadcast(steps)
+
+    @F.pandas_udf("double")
+    def score(no: pd.Series, x: pd.Series) -> pd.Series:
+        no, x = no.to_numpy(), x.to_numpy()
+        out = np.zeros(len(x))
+        for k, (cuts, scores) in shared.value.items():
+            here = np.flatnonzero(no == k)
+            if len(here):
+                out[here] = scores[np.searchsorted(cuts, x[here], side="left")]
         return pd.Series(out)
 
-    steps = (
-        _cells(at.df, names)
-        .groupBy("no", step("no", "x").alias("step"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("example"))
+    if freq is None:
+        cells = _cells(at.df, names).withColumn("n", F.lit(1))
+    else:
+        cells = _distinct_cells(freq, names)
+    scored = cells.groupBy("no", score("no", "x").alias("score")).agg(
+        F.sum("n").alias("n"), F.min("x").alias("example")
     )
-    rows = [(r["no"], i, float(s)) for r in grown for i, s in enumerate(r["scores"])]
-    scores = at.spark.createDataFrame(rows, "no int, step int, score double")
-    scored = steps.join(scores, ["no", "step"])
-    limit = scored.groupBy("no").agg(
-        F.expr(f"percentile(score, {1 - contamination}D, n)").alias("limit"),
-        F.sum("n").alias("total"),
-    )
-    # One row per column.
+    # As many rows per column as the forest has steps, so a window per column is bounded.
+    per_column = Window.partitionBy("no")
+    limit = F.expr(f"percentile(score, {1 - contamination}D, n)").over(per_column)
     return (
-        scored.join(F.broadcast(limit), "no")
+        scored.withColumns({"limit": limit, "total": F.sum("n").over(per_column)})
         .filter(F.col("score") > F.col("limit"))
         .groupBy("no", "total")
         .agg(
@@ -154,6 +156,15 @@ def _isolation(at: Target, names, counts, trees, contamination, size, seed) -> D
     )
 
 
+def _distinct_cells(freq: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct values of the columns with their counts, from the frequency table."""
+    number = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column")) - 1
+    found = freq.filter(F.col("column").isin(names)).select(
+        number.cast("int").alias("no"), F.col("value").cast("double").alias("x"), "n"
+    )
+    return found.filter(~F.isnan("x") & (F.abs("x") < F.lit(float("inf"))))
+
+
 def _neighbours(at: Target, names, counts, contamination, size, seed) -> DataFrame:
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(pdf["x"].to_numpy())
@@ -183,8 +194,12 @@ def model_outlier(
     trees: int = TREES,
     seed: int = 42,
     known: dict | None = None,
+    freq: DataFrame | None = None,
 ) -> DataFrame:
-    """Values a univariate model isolates; nothing when they are too many to be outliers."""
+    """Values a univariate model isolates; nothing when they are too many to be outliers.
+
+    With a frequency table at hand each distinct value is scored once.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
     at = target(df)
@@ -195,7 +210,7 @@ def model_outlier(
     for i in range(0, len(names), _COLUMNS_PER_JOB):
         part = names[i : i + _COLUMNS_PER_JOB]
         if model == "isolation_forest":
-            found = _isolation(at, part, counts, trees, contamination, max_samples, seed)
+            found = _isolation(at, part, counts, trees, contamination, max_samples, seed, freq)
         else:
             found = _neighbours(at, part, counts, contamination, max_samples, seed)
         ratio = F.col("anomalies") / F.col("total")

@@ -17,6 +17,7 @@ import datetime as dt
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -52,7 +53,7 @@ from veritable.operators.quality import quality, quality_summary, severity_count
 from veritable.operators.rules import Rule, rule_checks
 from veritable.operators.sampling import sample
 from veritable.plans.registry import Detector, Registry, default_registry
-from veritable.schema import DETECTOR_RUN, SCAN_RUN
+from veritable.schema import CANDIDATE, DETECTOR_RUN, SCAN_RUN
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,7 @@ _FREQUENCY = {
     "mixed_date_format": lambda at, f, rows: dates.mixed_date_format(at, freq=f),
     "duplicate_timestamp": lambda at, f, rows: dates.duplicate_timestamp(at, freq=f),
 }
+_PARALLEL_JOBS = 6
 _QUANTILE = ("iqr_outlier", "percentile_outlier", "modified_zscore")
 _PAIRS = {
     "conditional_missingness": completeness.conditional_checks,
@@ -146,11 +148,12 @@ class _Pass:
     errors: dict[str, str] = field(default_factory=dict)
     skipped: set[str] = field(default_factory=set)
     held: list[DataFrame] = field(default_factory=list)
+    freq: DataFrame | None = None
     rows: int = 0
     nulls: dict[str, int] = field(default_factory=dict)
     ranges: dict[str, tuple] = field(default_factory=dict)
     sketch: dict[str, int] = field(default_factory=dict)
-    parts: list[DataFrame] = field(default_factory=list)
+    parts: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     def guard(self, detector_id: str, build: Callable):
         """Run ``build``; a failure marks that detector and leaves the others alone."""
@@ -229,7 +232,7 @@ class _Pass:
         counts = {k: v for k, v in row.items() if k == ROWS or k.startswith("hit")}
         schema = ", ".join(f"{k} bigint" for k in counts)
         one = self.at.spark.createDataFrame([tuple(counts.values())], schema)
-        self.parts.append(report(self.at, one, group))
+        self.parts.append((group[0].detector_id, report(self.at, one, group)))
 
     # -- passes B and C -------------------------------------------------------
     def pass_c(self) -> None:
@@ -257,12 +260,12 @@ class _Pass:
         wanted = [d for d in _FREQUENCY if self.has(d)]
         if not wanted:
             return
-        freq = value_counts(self.at.df).persist(StorageLevel.MEMORY_AND_DISK)
-        self.held.append(freq)
+        self.freq = value_counts(self.at.df).persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(self.freq)
         for d in wanted:
-            part = self.guard(d, lambda d=d: _FREQUENCY[d](self.at, freq, self.rows))
+            part = self.guard(d, lambda d=d: _FREQUENCY[d](self.at, self.freq, self.rows))
             if part is not None:
-                self.parts.append(part)
+                self.parts.append((d, part))
 
     def grouped(self) -> None:
         at, known = self.at, (self.rows, self.nulls)
@@ -272,27 +275,55 @@ class _Pass:
             "group_missingness": lambda: completeness.group_missingness(at, known, self.sketch),
             "histogram_rarity": lambda: numeric.histogram_rarity(at, known=self.ranges),
             "model_outlier": lambda: model_outlier.model_outlier(
-                at, known=self.ranges, seed=self.config.seed, **model
+                at, known=self.ranges, seed=self.config.seed, freq=self.freq, **model
             ),
         }
         for d, build in builders.items():
             if self.has(d):
                 part = self.guard(d, build)
                 if part is not None:
-                    self.parts.append(part)
+                    self.parts.append((d, part))
         for user in self.users:
             if user.detect is not None:
                 part = self.guard(user.detector_id, lambda u=user: u.detect(at))
                 if part is not None:
-                    self.parts.append(part)
+                    self.parts.append((user.detector_id, part))
+
+    def collect_parts(self) -> DataFrame:
+        """Run every detector's plan, several at a time, and gather the candidates.
+
+        A built-in detector reports per column, per calendar bucket, or per category of
+        a column with few of them, so its rows are few whatever the size of the table;
+        a user's detector may report more and stays distributed.  One that fails while
+        running is marked failed and the candidates of the others stand.
+        """
+        users = {u.detector_id for u in self.users}
+
+        def evaluate(entry: tuple[str, DataFrame]):
+            detector_id, part = entry
+            part = part.select(*CANDIDATE.names)
+            if detector_id not in users:
+                return self.guard(detector_id, part.collect)
+            kept = part.persist(StorageLevel.MEMORY_AND_DISK)
+            self.held.append(kept)
+            return None if self.guard(detector_id, kept.count) is None else kept
+
+        with ThreadPoolExecutor(_PARALLEL_JOBS) as pool:
+            done = [p for p in pool.map(evaluate, self.parts) if p is not None]
+        rows = [row for part in done if isinstance(part, list) for row in part]
+        local = self.at.spark.createDataFrame(rows, CANDIDATE)
+        return reduce(DataFrame.unionByName, [p for p in done if not isinstance(p, list)], local)
 
     def run(self) -> None:
         self.pass_a(self.counted_checks())
         if self.rows == 0:
             return
-        self.pass_c()
-        self.pass_d()
-        self.grouped()
+        # Independent passes: submitted together, so one fills the gaps of the other.
+        with ThreadPoolExecutor(2) as pool:
+            bounds = pool.submit(self.pass_c)
+            self.pass_d()
+            self.grouped()
+            bounds.result()
 
 
 def _not_applicable(df: DataFrame, config: ScanConfig) -> set[str]:
@@ -323,7 +354,15 @@ def _spread(df: DataFrame, config: ScanConfig) -> tuple[DataFrame, bool]:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if config.cache_input is None and df.rdd.getNumPartitions() >= cores:
         return df, False
-    return df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK), True
+    # By value rather than round robin, which would sort the rows first.
+    by = [col(c) for c in flat_columns(df)]
+    return df.repartition(cores, *by).persist(StorageLevel.MEMORY_AND_DISK), True
+
+
+def _fingerprint(df: DataFrame, config: ScanConfig, sampled: bool) -> str | None:
+    if not config.fingerprint:
+        return None
+    return sampled_fingerprint(df) if sampled else content_fingerprint(df)
 
 
 def sample_size(config: ScanConfig, rows: int) -> int | None:
@@ -390,7 +429,6 @@ def scan(
         [u for u in users if u.detector_id not in idle],
     )
     work.run()
-    held += work.held
     rows = work.rows if full_rows is None else full_rows
     whole = Target(flat, dataset_id, table_name)
     if "foreign_key_violation" in work.ids and rows:
@@ -398,7 +436,7 @@ def scan(
             "foreign_key_violation", lambda: cross.foreign_key_violation(whole, config.references)
         )
         if part is not None:
-            work.parts.append(part)
+            work.parts.append(("foreign_key_violation", part))
     broken: dict[str, str] = {}
     if config.rules and rows:
         checks, broken = rule_checks(flat, config.rules)
@@ -407,11 +445,14 @@ def scan(
         work.parts += rules.parts
 
     # Candidates are few: per column and detector, plus reported buckets and groups.
-    candidates = reduce(DataFrame.unionByName, work.parts) if work.parts else empty(spark)
-    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(candidates)
+    with ThreadPoolExecutor(1) as pool:
+        hashed = pool.submit(_fingerprint, flat, config, sampled)
+        candidates = work.collect_parts()
+        content = hashed.result()
     # Ratios of sampled counts are taken over the rows that were scanned.
     issues = score(fuse(candidates, run_id, work.rows), config.criticality)
+    issues = issues.persist(StorageLevel.MEMORY_AND_DISK)
+    held += [*work.held, issues]
 
     sampled_ids = {d.detector_id for d in active if d.supports_sampling} if sampled else set()
     runs = []
@@ -431,9 +472,6 @@ def scan(
     counts = severity_counts(issues).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "issues")))).alias("m")
     )
-    content = None
-    if config.fingerprint:
-        content = sampled_fingerprint(flat) if sampled else content_fingerprint(flat)
     fixed = (
         run_id,
         dataset_id,

@@ -21,7 +21,13 @@ def build_session(app: str = "veritable", cores: str | int = "*", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        # A scan compiles a few hundred expressions; keep them for the next one.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # Local mode runs everything in the driver's heap.
+        .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Column expressions are built many at a time; skip a call-site capture for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
