@@ -20,10 +20,19 @@ EXAMPLES, EXAMPLE_SAMPLE = 3, 5
 SORT_KEYS = ("name", "null", "unique", "distinct", "mean", "median", "std")
 # ---- end of fixed values ----------------------------------------------------
 
-PROFILE = T._parse_datatype_string(
-    "column_name string, ordinal int, physical_type string, row_count bigint, "
-    "null_ratio double, unique_ratio double, distinct_count bigint, min string, max string, "
-    "mean double, std double, q25 double, median double, q75 double"
+PROFILE = T.StructType(
+    [
+        T.StructField("column_name", T.StringType()),
+        T.StructField("ordinal", T.IntegerType()),
+        T.StructField("physical_type", T.StringType()),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("null_ratio", T.DoubleType()),
+        T.StructField("unique_ratio", T.DoubleType()),
+        T.StructField("distinct_count", T.LongType()),
+        T.StructField("min", T.StringType()),
+        T.StructField("max", T.StringType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("mean", "std", "q25", "median", "q75")],
+    ]
 )
 
 

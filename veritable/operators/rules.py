@@ -43,10 +43,17 @@ CONTRACT_TYPES = {
 }
 # ---- end of fixed values ----------------------------------------------------
 
-PREFLIGHT = (
-    "rule_id string, valid boolean, schema_valid boolean, missing_columns array<string>, "
-    "rows_tested bigint, failures bigint, failure_ratio double, dangerous boolean, error string"
-)
+PREFLIGHT = {
+    "rule_id": "string",
+    "valid": "boolean",
+    "schema_valid": "boolean",
+    "missing_columns": "array<string>",
+    "rows_tested": "bigint",
+    "failures": "bigint",
+    "failure_ratio": "double",
+    "dangerous": "boolean",
+    "error": "string",
+}
 
 
 @dataclass(frozen=True)
@@ -166,14 +173,13 @@ def preflight(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             entries.append(
                 (rule.id, False, not missing, missing, zero, zero, F.lit(0.0), F.lit(False), broken[rule.id])
             )
-    schema = T._parse_datatype_string(PREFLIGHT)
 
     def struct(entry):
         cells = []
-        for f, v in zip(schema.fields, entry):
+        for (name, kind), v in zip(PREFLIGHT.items(), entry):
             if isinstance(v, list):
                 v = F.array(*[F.lit(x) for x in v])
-            cells.append((v if isinstance(v, Column) else F.lit(v)).cast(f.dataType).alias(f.name))
+            cells.append((v if isinstance(v, Column) else F.lit(v)).cast(kind).alias(name))
         return F.struct(*cells)
 
     counted = df.agg(
