@@ -293,7 +293,7 @@ def _bounded(t, detector, conf, stats, bound, more=""):
 def d26(t, evidence=False):
     stats = "{{'a': quantile_cont({c}, 0.25), 'b': quantile_cont({c}, 0.75)}}"
     lower, upper = "s.a - 1.5 * (s.b - s.a)", "s.b + 3.0 * (s.b - s.a)"
-    more = f", round({lower}, 4) AS lower_bound, round({upper}, 4) AS upper_bound" if evidence else ""
+    more = f", round({lower}, 6) AS lower_bound, round({upper}, 6) AS upper_bound" if evidence else ""
     return _bounded(
         t, "iqr_outlier", 0.9, stats, f"s.b - s.a > 0 AND (x < {lower} OR x > {upper})", more
     )

@@ -143,8 +143,8 @@ def _(s, d):
 
 
 def _fences(found):
-    lower = F.round(F.get_json_object("evidence", "$.lower").cast("double"), 4).alias("lower_bound")
-    upper = F.round(F.get_json_object("evidence", "$.upper").cast("double"), 4).alias("upper_bound")
+    lower = F.round(F.get_json_object("evidence", "$.lower").cast("double"), 6).alias("lower_bound")
+    upper = F.round(F.get_json_object("evidence", "$.upper").cast("double"), 6).alias("upper_bound")
     return core(found, lower, upper)
 
 
