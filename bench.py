@@ -35,17 +35,7 @@ def main() -> None:
         keys=["l_orderkey", "l_linenumber", "l_partkey"],
     )
 
-    def outliers():
-        quantiles = numeric.column_quantiles(lineitem, numeric.numeric_columns(lineitem))
-        medians = {c: q[0.5] for c, q in quantiles.items()}
-        checks = (
-            numeric.iqr_checks(quantiles)
-            + numeric.percentile_checks(quantiles)
-            + numeric.zscore_checks(medians, numeric.deviations(lineitem, medians))
-            + numeric.tail_checks(lineitem)
-        )
-        numeric.run_checks(lineitem, checks).collect()
-        numeric.histogram_rarity(lineitem).collect()
+    outliers = ScanConfig(detectors=tuple(numeric.DETECTORS), fingerprint=False)
 
     def orders_scan():
         result = full_scan(spark, SF_DIR)
@@ -55,7 +45,7 @@ def main() -> None:
     queries = {
         "profile": lambda: profile.profile(lineitem).collect(),
         "profile_approx": lambda: profile.profile(lineitem, approx=True).collect(),
-        "numeric_outliers": outliers,
+        "numeric_outliers": lambda: run_scan(lineitem, outliers),
         "null_rate": lambda: completeness.excessive_null_rate(lineitem).collect(),
         "uniqueness": lambda: uniqueness.uniqueness_violation(lineitem).collect(),
         "statistics_fingerprint": lambda: fingerprint.statistics_fingerprint(lineitem),

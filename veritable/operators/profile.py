@@ -13,6 +13,7 @@ from veritable.operators.categorical import approx_totals
 from veritable.operators.checks import ROWS, one_row
 from veritable.operators.frequency import column_totals, top_per_column, value_counts
 from veritable.operators.quantiles import exact_quantiles
+from veritable.session import spread
 
 # ---- fixed values: thresholds ----------------------------------------------
 TOP_CATEGORIES, CATEGORY_MAX = 10, 1000
@@ -69,8 +70,17 @@ def profile(
     ``approx`` replaces the exact distinct counts and quantiles by sketches, which
     avoids shuffling values.  ``freq`` / ``quantiles`` reuse what a scan computed.
     """
-    spark = df.sparkSession
     names = flat_columns(df, cols)
+    ready, held = spread(df.select(*[col(c) for c in names]))
+    try:
+        return _profile(ready, df.columns, names, approx, freq, quantiles)
+    finally:
+        if held:
+            ready.unpersist()
+
+
+def _profile(df, order, names, approx, freq, quantiles) -> DataFrame:
+    spark = df.sparkSession
     numeric = set(numeric_columns(df, names))
     row = one_row(_moments(df, names, numeric))
     rows = row[ROWS]
@@ -86,7 +96,7 @@ def profile(
         local.append(
             (
                 c,
-                df.columns.index(c),
+                order.index(c),
                 df.schema[c].dataType.simpleString(),
                 rows,
                 row[f"n{i}"],
@@ -106,7 +116,9 @@ def profile(
         totals = approx_totals(df, names)
     else:
         totals = column_totals(freq if freq is not None else value_counts(df, names))
-    distinct = totals.select(F.col("column").alias("column_name"), "distinct")
+    # One row per column, read here so that the passes above are over when this returns.
+    counted = totals.select("column", "distinct").collect()
+    distinct = spark.createDataFrame(counted, "column_name string, distinct bigint")
     # One row per column on both sides.
     out = known.join(F.broadcast(distinct), "column_name", "left")
     d = F.coalesce("distinct", F.lit(0))

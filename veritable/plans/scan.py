@@ -25,8 +25,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.columns import col, flat_columns, numeric_columns, string_columns
-from veritable.functions.columns import hinted, temporal_columns, TIME_TEXT_HINTS
+from veritable.functions.columns import (
+    TIME_TEXT_HINTS,
+    col,
+    hinted,
+    numeric_columns,
+    string_columns,
+    temporal_columns,
+)
 from veritable.operators import categorical, completeness, cross, dates, model_outlier, numeric
 from veritable.operators import text_format, uniqueness
 from veritable.operators.checks import (
@@ -54,6 +60,7 @@ from veritable.operators.rules import Rule, rule_checks
 from veritable.operators.sampling import sample
 from veritable.plans.registry import Detector, Registry, default_registry
 from veritable.schema import CANDIDATE, DETECTOR_RUN, SCAN_RUN
+from veritable.session import spread
 
 
 @dataclass(frozen=True)
@@ -346,19 +353,6 @@ def _not_applicable(df: DataFrame, config: ScanConfig) -> set[str]:
     return out
 
 
-def _spread(df: DataFrame, config: ScanConfig) -> tuple[DataFrame, bool]:
-    """A small input is cut finer and kept in memory: its few file splits would leave most
-    cores idle in every pass.  An input with enough partitions is read from its source."""
-    if config.cache_input is False:
-        return df, False
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if config.cache_input is None and df.rdd.getNumPartitions() >= cores:
-        return df, False
-    # By value rather than round robin, which would sort the rows first.
-    by = [col(c) for c in flat_columns(df)]
-    return df.repartition(cores, *by).persist(StorageLevel.MEMORY_AND_DISK), True
-
-
 def _fingerprint(df: DataFrame, config: ScanConfig, sampled: bool) -> str | None:
     if not config.fingerprint:
         return None
@@ -388,11 +382,8 @@ def scan(
     registry = registry or default_registry()
     spark, started = df.sparkSession, dt.datetime.now(dt.timezone.utc)
     run_id = scan_run_id or f"scan_{uuid.uuid4().hex[:12]}"
-    flat = df
-    held: list[DataFrame] = []
-    flat, cached = _spread(flat, config)
-    if cached:
-        held.append(flat)
+    flat, cached = spread(df, config.cache_input)
+    held: list[DataFrame] = [flat] if cached else []
 
     chosen = registry.list(config.detectors)
     built_in = default_registry().detectors

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -64,3 +65,25 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, cache: bool | None = None) -> tuple[DataFrame, bool]:
+    """``df`` ready for several passes, and whether it is now held in memory.
+
+    A small input is cut finer and kept: its few file splits would leave most cores
+    idle in every pass.  An input with at least as many partitions as there are cores
+    is read from its source each time, unless ``cache`` says otherwise.
+    """
+    from veritable.functions.columns import col, flat_columns
+
+    if cache is False:
+        return df, False
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cache is None and df.rdd.getNumPartitions() >= cores:
+        return df, False
+    if cache and df.rdd.getNumPartitions() >= cores:
+        return df.persist(StorageLevel.MEMORY_AND_DISK), True
+    # By value rather than round robin, which would sort the rows first.
+    by = [col(c) for c in flat_columns(df)]
+    finer = df.repartition(cores, *by) if by else df.repartition(cores)
+    return finer.persist(StorageLevel.MEMORY_AND_DISK), True
