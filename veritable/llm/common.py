@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import sys
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +11,6 @@ from pyspark.sql import types as T
 from veritable.session import scratch_path
 
 
-def travels(*modules: str) -> None:
-    """Let the functions of these modules travel with the job, so that executors need no install."""
-    for name in modules:
-        cloudpickle.register_pickle_by_value(sys.modules[name])
-
-
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; NULL for a NULL id."""
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(by))

@@ -27,9 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm import words
-from veritable.llm.common import documents, remainder, travels
-
-travels("veritable.llm.words", __name__)
+from veritable.llm.common import documents, remainder
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)

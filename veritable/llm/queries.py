@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import language, quality, secrets
+from veritable.llm import decontaminate, language, lm, neardup, neighbours, packing, quality, secrets, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,38 @@ def _(spark, sf_dir):
 @register("op1_quality")
 def _(spark, sf_dir):
     return quality.op1(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op4_url_filter", urls.ORACLE)
+def _(spark, sf_dir):
+    return urls.op4(read(spark, sf_dir, "pages"))
+
+
+@register("op5_lm_score")
+def _(spark, sf_dir):
+    return lm.op5(read(spark, sf_dir, "documents"))
+
+
+@register("op9_substring_dedup")
+def _(spark, sf_dir):
+    return substrings.op9(read(spark, sf_dir, "documents"))
+
+
+@register("op8_decontaminate", decontaminate.ORACLE)
+def _(spark, sf_dir):
+    return decontaminate.op8(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op6_packing")
+def _(spark, sf_dir):
+    return packing.op6(read(spark, sf_dir, "documents"))
+
+
+@register("op2_near_duplicates")
+def _(spark, sf_dir):
+    return neardup.op2(read(spark, sf_dir, "documents"))
+
+
+@register("op7_nearest", neighbours.ORACLE)
+def _(spark, sf_dir):
+    return neighbours.op7(read(spark, sf_dir, "embeddings"))

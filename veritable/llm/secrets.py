@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm import words
-from veritable.llm.common import documents, field, travels
-
-travels("veritable.llm.words", __name__)
+from veritable.llm.common import documents, field
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(

@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +39,16 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(0x10001)) * U64(0x9E3779B97F4A7C15))
 
 
-@lru_cache(maxsize=8)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     base = int(seeded(1, seed)[0]) | 1
-    inverse = pow(base, -1, 1 << 64)
 
     def run(b: int) -> np.ndarray:
-        out = np.full(size, b, U64)
-        out[0] = 1
+        out = np.full(n, b, U64)
+        out[:1] = 1
         return np.multiply.accumulate(out)
 
-    return run(base), run(inverse)
-
-
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = PIECE_BYTES + 64
-    while size < n:
-        size *= 2
-    up, down = _powers(seed, size)
-    return up[:n], down[:n]
+    return run(base), run(pow(base, -1, 1 << 64))
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
@@ -172,7 +161,7 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return hashes, owner
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches again, cut so that each piece holds about ``limit`` bytes of text."""
     for batch in batches:
         n = batch.num_rows
