@@ -66,3 +66,35 @@ def lm(docs, mu):
         r = remainder(doc_id, 7)
         out.append((doc_id, None if r is None else r == 2, len(t), sum(one[x] > 0 for x in t), n, base, score))
     return out
+
+
+def bag(text, size=5):
+    w = words(text)
+    if not w:
+        return Counter()
+    return Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
+
+
+def near_duplicate_classes(docs, least=0.8):
+    """``docs``: (doc_id, text) with distinct ids.  {doc_id: smallest id of its component}."""
+    bags = {d: bag(t) for d, t in docs}
+    where = {}
+    parent = {d: d for d in bags}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for d in sorted(bags):
+        b, n = bags[d], sum(bags[d].values())
+        common = Counter()
+        for s, k in b.items():
+            for e, j in where.setdefault(s, {}).items():
+                common[e] += min(j, k)
+            where[s][d] = k
+        for e, c in common.items():
+            if c / (n + sum(bags[e].values()) - c) >= least:
+                x, y = sorted((root(d), root(e)))
+                parent[y] = x
+    return {d: root(d) for d in bags}

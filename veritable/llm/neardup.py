@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.llm import exchange as X
 from veritable.llm import words
@@ -48,6 +49,8 @@ LEAST = 0.8
 #: Pairs estimated below this are not verified: four standard deviations under 0.8.
 HOPELESS = LEAST - 4 * math.sqrt(LEAST * (1 - LEAST) / M)
 CHUNK = 400
+#: Stands for a NULL id, after all others.
+NO_ID = (1 << 63) - 1
 #: Ids sent to every task instead of shuffling texts, up to this many.
 BROADCAST_IDS = 500_000
 SKETCH = "doc_id bigint, node bigint, size bigint, bands array<bigint>, signature binary"
@@ -95,7 +98,7 @@ def bag_min_hash(value: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int
         time, k = np.zeros(len(at)), 0
         while len(at):
             k += 1
-            u = words.mix(seed[at] + U64(k) * U64(0x9E3779B97F4A7C15))
+            u = words.mix(seed[at] + U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             time = time - np.log(((u >> U64(11)).astype(float) + 0.5) * 2.0**-53) / width[at]
             alive = time < limit[own[at]]
             at, time, u = at[alive], time[alive], u[alive]
@@ -352,13 +355,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, the one with the smallest id; texts without words all stay."""
     rows, comps = near_duplicates(docs)
     # Of each class of equal words the smallest id, then of each component; NULL ids last.
-    last = F.coalesce("doc_id", F.lit(X_LAST))
+    last = F.coalesce("doc_id", F.lit(NO_ID))
     exact = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(last).alias("id"))
     known = exact.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     stays = known.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("first")).select("first.id", "first.node")
     at = docs.columns.index("text")
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(X_LAST)))
-    schema = marked.schema.add("_node", "bigint")
+    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    schema = T.StructType([*marked.schema.fields, T.StructField("_node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words.pieces(batches, column=at):
@@ -373,8 +376,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return one.unionByName(blank).select(*(one["`" + c + "`"] for c in docs.columns))
 
 
-X_LAST = (1 << 63) - 1
-
-
 def op2(docs: DataFrame) -> DataFrame:
     return classes_of(docs)
