@@ -79,9 +79,9 @@ def n_shards(df: DataFrame) -> int:
     return min(shards(df), MOST_SHARDS)
 
 
-def in_blocks(rows: DataFrame, text_bytes: int, n_rows: int) -> DataFrame:
+def in_blocks(rows: DataFrame, text_bytes: int, n_rows: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` (``doc_id``, ``text``, ...) with a ``block`` by a hash of id and text."""
-    n = max(blocks(rows, text_bytes, BLOCK_BYTES), -(-n_rows // BLOCK_ROWS))
+    n = max(blocks(rows, text_bytes, block_bytes), -(-n_rows // BLOCK_ROWS))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 

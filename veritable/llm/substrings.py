@@ -34,6 +34,8 @@ WINDOW = 50
 ANCHOR = 25
 PROBES, WINDOWS, HOT = 0, 1, 2
 NO_ID = (1 << 63) - 1
+#: Text of a block; a task holds some thirty times as much in arrays.
+BLOCK_BYTES = 6 << 20
 
 
 def probe_keys(w: words.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +63,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """One row a document: words, removed words, digest of the kept ones."""
     rows = documents(docs, "doc_id", "text")
     n = X.n_shards(docs)
-    rows = X.in_blocks(rows, *X.size_of(rows))
+    rows = X.in_blocks(rows, *X.size_of(rows), BLOCK_BYTES)
 
     def ask(table: pa.Table) -> pa.Table:
         w = words.find_words(table.column("text"))
