@@ -50,3 +50,9 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ...: tables with any names, dots and clashes too, can then
+    go through Python functions and get columns added."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -4,7 +4,7 @@ Test items fall into size classes by powers of two.  For a class of up to ``s``
 is seen as overlapping segments of ``2 s`` shingles, one every ``s``: wherever an item stands in a
 long document, one segment holds it whole and is at most a few times its size, so that containment
 in the document shows as a usable resemblance to that segment.  Signatures are one-permutation
-MinHashes of ``4 s`` bins.  A segment that agrees with an item in any bin is a candidate; each
+MinHashes of at least ``4 s`` bins.  A segment that agrees with an item in any bin is a candidate; each
 candidate is verified by exact containment of the item's shingles in the whole document.
 
 A signature entry of an item can only be met where that very shingle occurs, so a document without
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from veritable.llm import exchange as X
 from veritable.llm import words
-from veritable.llm.common import documents, field
+from veritable.llm.common import by_place, documents, field
 
 U64 = np.uint64
 SHINGLE = 5
@@ -54,11 +54,21 @@ class Index:
     table: np.ndarray | None = None
 
 
-def bin_minima(h: np.ndarray, of: np.ndarray, n: int, bins: int) -> np.ndarray:
-    """The one-permutation MinHash of ``n`` sets; ``of`` is the set of each hash.  Empty bins hold the largest number."""
-    out = np.full(n * bins, ~U64(0))
-    np.minimum.at(out, of * bins + (h & U64(bins - 1)).astype(np.int64), h)
-    return out.reshape(n, bins)
+def bins_of(level: int) -> int:
+    """Bins of a signature for items of up to ``2**level`` shingles, so that fewer than one in a million is missed.
+
+    An entry is lost where a segment has a smaller shingle in its bin; small items have few entries to spare.
+    """
+    return 1 << max((20, 12, 10, 9, 8)[level] if level < 5 else 0, level + 2)
+
+
+def bin_minima(h: np.ndarray, of: np.ndarray, bins: int) -> np.ndarray:
+    """The one-permutation MinHash entries of several sets; ``of`` is the set of each hash."""
+    bin_ = h & U64(bins - 1)
+    order = np.lexsort((h, bin_, of))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (bin_[order][1:] != bin_[order][:-1]) | (of[order][1:] != of[order][:-1])
+    return h[order][fresh]
 
 
 def build(items: list[tuple[int, str]]) -> list[Index]:
@@ -76,9 +86,9 @@ def build(items: list[tuple[int, str]]) -> list[Index]:
         at = np.arange(w.first[i], w.first[i + 1] - size + 1)
         every = words.spans_hash(w.hashes, at, at + size, 21)
         own = np.unique(every)
-        level = max(1, math.ceil(math.log2(len(every)))) if len(every) > 1 else 1
-        minima = bin_minima(own, np.zeros(len(own), np.int64), 1, 4 << level)[0]
-        entries.setdefault((size, level), []).append((minima[minima != ~U64(0)], len(index.ids)))
+        level = math.ceil(math.log2(len(every)))
+        minima = bin_minima(own, np.zeros(len(own), np.int64), bins_of(level))
+        entries.setdefault((size, level), []).append((minima, len(index.ids)))
         index.ids.append(items[i][0])
         index.shingles.append(own)
     for (size, level), found in entries.items():
@@ -105,11 +115,9 @@ def contained(h: np.ndarray, index: Index, least: float) -> list[tuple[int, int,
         near = np.unique(np.concatenate([half[seen], half[seen] - 1, half[seen] + 1]))
         near = near[(near >= 0) & (near <= half[-1])]
         inside = np.isin(half, near)
-        minima = bin_minima(h[inside], np.searchsorted(near, half[inside]), len(near), 4 << level)
-        follows = np.append(near[1:] == near[:-1] + 1, False)
-        later = np.vstack([minima[1:], np.full((1, minima.shape[1]), ~U64(0))])
-        segment = np.where(follows[:, None], np.minimum(minima, later), minima)
-        met = np.unique(segment)
+        # A half is the first of one segment and the second of the one before.
+        both = np.concatenate([half[inside], half[inside] - 1])
+        met = np.unique(bin_minima(np.tile(h[inside], 2), both, bins_of(level)))
         met = met[X.holds(value, met)]
         lo, hi = np.searchsorted(value, met), np.searchsorted(value, met, side="right")
         for a, b in zip(lo, hi):
@@ -184,17 +192,18 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFra
 
 def clean(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    at = docs.columns.index("text")
+    text, names = f"c{docs.columns.index('text')}", docs.columns
+    docs = by_place(docs)
     for indexes in item_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for piece in words.pieces(batches, column=at):
-                bad = {i for i, *_ in search_piece(piece.column(at), shared.value, least)}
+            for piece in words.pieces(batches, column=text):
+                bad = {i for i, *_ in search_piece(piece.column(text), shared.value, least)}
                 yield piece.filter(pa.array([i not in bad for i in range(piece.num_rows)])) if bad else piece
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 _W = r"'[^\x20\x09-\x0D]+'"

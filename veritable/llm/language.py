@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.llm import words
-from veritable.llm.common import documents, remainder
+from veritable.llm.common import by_place, documents, field, remainder
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)
@@ -233,33 +234,39 @@ def scores(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``; other columns of those names are replaced."""
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected", "_lettered")]
-    rows = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in rest)).withColumn("_lettered", lettered)
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    text = f"c{rest.index('text')}"
+    rows = by_place(docs.select(*(field(docs, c) for c in rest)))
+    schema = T.StructType(
+        [
+            *rows.schema.fields,
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("rejected", T.BooleanType()),
+        ]
+    )
+    rows = rows.withColumn("lettered", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
-        for piece in words.pieces(batches, limit=1 << 18):
-            best, p = scores(m, piece.column("text"))
-            known = np.asarray(piece.column("_lettered").to_pylist(), bool) & bool(m.languages)
+        for piece in words.pieces(batches, column=text, limit=1 << 18):
+            best, p = scores(m, piece.column(text))
+            known = np.asarray(piece.column("lettered").to_pylist(), bool) & bool(m.languages)
             best = np.where(known, best, len(names) - 1)
             p = np.where(known, p, 0.0)
-            at = [i for i, c in enumerate(piece.schema.names) if c != "_lettered"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(piece.column(i) for i in at),
+                    *piece.columns[:-1],
                     pa.array(list(names[best]), pa.string()),
                     pa.array(p, pa.float64()),
                     pa.array(~known | (p < m.threshold)),
                 ],
-                [*(piece.schema.names[i] for i in at), "lang_pred", "score", "rejected"],
+                schema.names,
             )
 
-    schema = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in rest)).schema
-    schema = schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*rest, "lang_pred", "score", "rejected")
 
 
 def op10(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

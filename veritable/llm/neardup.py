@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from veritable.llm import exchange as X
 from veritable.llm import words
-from veritable.llm.common import documents, kept, shards
+from veritable.llm.common import by_place, documents, kept, shards
 from veritable.llm.components import components
 
 U64 = np.uint64
@@ -359,21 +359,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     exact = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(last).alias("id"))
     known = exact.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     stays = known.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("first")).select("first.id", "first.node")
-    at = docs.columns.index("text")
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    schema = T.StructType([*marked.schema.fields, T.StructField("_node", T.LongType())])
+    text, key = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    marked = by_place(docs).withColumn("id", F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)))
+    schema = T.StructType([*marked.schema.fields, T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in words.pieces(batches, column=at):
-            w = words.find_words(piece.column(at))
+        for piece in words.pieces(batches, column=text):
+            w = words.find_words(piece.column(text))
             node = pa.array(text_hash(w).view(np.int64), mask=w.counts == 0)
-            yield pa.RecordBatch.from_arrays([*piece.columns, node], [*piece.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*piece.columns, node], [*piece.schema.names, "node"])
 
     marked = marked.mapInArrow(run, schema)
-    blank = marked.filter(F.col("_node").isNull())
-    stays = stays.select(F.col("id").alias("_id"), F.col("node").alias("_node"))
-    one = marked.join(stays, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
-    return one.unionByName(blank).select(*(one["`" + c + "`"] for c in docs.columns))
+    blank = marked.filter(F.col("node").isNull())
+    one = marked.join(stays, ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+    both = one.unionByName(blank).drop("id", "node")
+    return both.toDF(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:

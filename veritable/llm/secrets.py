@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm import words
-from veritable.llm.common import documents, field
+from veritable.llm.common import by_place, documents
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -213,18 +213,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with secrets masked in ``text``, and ``n_chars`` (if there) counted again; every row stays."""
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
+    docs = by_place(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in words.pieces(batches):
+        for piece in words.pieces(batches, column=at):
             masked = pa.array([redact(t, mark) for t in piece.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [masked if i == at else piece.column(i) for i in range(piece.num_columns)], piece.schema.names
             )
 
     out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn(
-            "n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), field(out, "n_chars"))
-        )
-    return out
+    if "n_chars" in names:
+        n = f"c{names.index('n_chars')}"
+        counted = F.length(f"c{at}").cast(docs.schema[n].dataType)
+        out = out.withColumn(n, F.coalesce(counted, F.col(n)))
+    return out.toDF(*names)

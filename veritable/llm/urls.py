@@ -86,9 +86,11 @@ def junk(html: Column, share: float = 0.25) -> Column:
 
 
 def _strength(members: DataFrame) -> float:
-    """Pseudo-counts of the prior: 1 / rho - 1, rho being the members' overdispersion around ``parent``."""
+    """Pseudo-counts of the prior: 1 / rho - 1, rho being the members' overdispersion around ``parent``.
+
+    A member with one outcome says nothing about spread within members and is left out."""
     noise = F.col("parent") * (1 - F.col("parent"))
-    r = members.filter((F.col("n") > 0) & (noise > 0)).agg(
+    r = members.filter((F.col("n") > 1) & (noise > 0)).agg(
         F.sum(F.pow(F.col("k") - F.col("n") * F.col("parent"), 2) / F.col("n")).alias("seen"),
         F.sum(noise).alias("expected"),
         F.sum(noise * (F.col("n") - 1)).alias("room"),
@@ -167,7 +169,7 @@ def op4(pages: DataFrame) -> DataFrame:
 _STRENGTH = """
 SELECT CASE WHEN coalesce(sum(parent * (1 - parent) * (n - 1)), 0) = 0 THEN 1.0 ELSE
   1 / least(greatest((sum(pow(k - n * parent, 2) / n) - sum(parent * (1 - parent))) / sum(parent * (1 - parent) * (n - 1)), 0.001), 0.999) - 1 END AS m
-FROM {0} WHERE n > 0 AND parent * (1 - parent) > 0"""
+FROM {0} WHERE n > 1 AND parent * (1 - parent) > 0"""
 
 _TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 
