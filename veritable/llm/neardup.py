@@ -315,13 +315,17 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"))
     )
-    # Copies have the same signature: any one row of a class will do.
-    one = sketch.join(classes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    keyed = one.select("node", "signature", F.explode("bands").alias("key"))
+    # Copies have the same bands and signature: any one row of a class will do.
+    one = sketch.select("node", "doc_id", "bands").join(classes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    keyed = one.select("node", F.explode("bands").alias("key"))
     shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = kept(keyed.join(shared_keys, "key"), "buckets")
-    wanted = members.select("node").distinct().join(classes, "node")
+    wanted = kept(members.select("node").distinct().join(classes, "node"), "wanted")
+    # Signatures and shingles only of classes that share a band with another.
+    signed = sketch.select("node", "doc_id", "signature").join(wanted, ["node", "doc_id"], "left_semi")
+    signed = kept(signed.dropDuplicates(["node"]).select("node", "signature"), "signatures")
     bags_ = kept(material(docs, wanted), "bags")
+    members = members.join(signed, "node")
     alone = members.withColumn("comp", F.col("node"))
     first = kept(bucket_pairs(alone, every=False), "pairs")
     links = kept(verified(first, bags_), "links")
