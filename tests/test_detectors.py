@@ -48,7 +48,7 @@ def test_spike_day(make, kind):
     df = make(rows, "event_date string, value int")
     df = df.withColumn("event_date", df["event_date"].cast(kind))
     (row,) = completeness.sudden_missingness(df).collect()
-    assert row["affected_count"] == 20 and row["raw_score"] == 0.5
+    assert row["affected_count"] == 30 and row["raw_score"] == 0.5
     assert '"bucket":"2024-01-05"' in row["evidence"]
 
 
@@ -67,7 +67,7 @@ def test_duplicates(make):
 def test_duplicates_keep_true_total(make):
     df = make([i for i in range(30) for _ in range(2)], "id int")
     (row,) = uniqueness.uniqueness_violation(df).collect()
-    assert row["affected_count"] == 20 and '"total_duplicates":30' in row["evidence"]
+    assert row["affected_count"] == 30 and '"total_duplicates":30' in row["evidence"]
 
 
 def test_negative_zero_is_zero(make):

@@ -14,6 +14,7 @@ from veritable.operators.completeness import null_rate_checks
 from veritable.operators.frequency import column_totals, value_counts
 from veritable.operators.quantiles import exact_quantiles
 from veritable.plans import scan as scan_module
+from veritable.schema import FAMILY_TITLE
 from veritable.plans.registry import Detector, counted, default_registry
 from veritable.plans.scan import ScanConfig, scan
 from veritable.session import scratch_path
@@ -55,10 +56,10 @@ def test_nested_columns_are_skipped(spark):
     assert scan(df).scan_run.first()["status"] == "completed"
 
 
-def test_threshold_sample_equals_gathered(spark, monkeypatch):
+def test_sample_is_the_smallest_hashes(spark):
     df = spark.range(5000).withColumn("v", F.col("id") % 7)
-    gathered = {r["id"] for r in sampling.reservoir_sample(df, 700, ["id"]).collect()}
-    monkeypatch.setattr(sampling, "GATHERED_ROWS", 10)
+    drawn = df.withColumn("draw", sampling.draw_order(df, ["id"], 42)).orderBy("draw").limit(700)
+    gathered = {r["id"] for r in drawn.collect()}
     placed = {r["id"] for r in sampling.reservoir_sample(df.repartition(3), 700, ["id"]).collect()}
     assert placed == gathered and len(placed) == 700
     assert sampling.reservoir_sample(df, 9000, ["id"]).count() == 5000
@@ -87,7 +88,7 @@ def test_fusion_and_score(make):
     issues = fusion.score(fusion.fuse(run_checks(df, null_rate_checks(df)), "r", 10)).collect()
     (i,) = issues
     assert (i["issue_type"], i["severity"], i["affected_ratio"]) == ("missingness", "high", 0.4)
-    assert i["title"] == "Missing values in a" and i["quality_dimensions"] == ["completeness"]
+    assert i["title"] == f"{FAMILY_TITLE[i['issue_type']]} in a" and i["quality_dimensions"] == ["completeness"]
     assert i["priority_score"] == pytest.approx(7.5 + 23.75 + 15 + 4 + 5 + 5 + 10 + 5)
 
 

@@ -17,9 +17,9 @@ from veritable.operators.checks import Check, Target, candidate, evidence_json,
 from veritable.operators.frequency import column_totals, top_per_column, value_counts
 
 # ---- fixed values: thresholds ----------------------------------------------
-RARE_COUNT, RARE_PER_ROWS, RARE_SHOWN = 5, 1000, 20
+RARE_COUNT, RARE_PER_ROWS = 5, 1000
 CATEGORY_MIN, CATEGORY_MAX, NEAR_UNIQUE = 2, 1000, 0.9
-CASE_GROUPS = 20
+EXAMPLES = 20
 # ---- end of fixed values ----------------------------------------------------
 
 # Sketches of 2^14 buckets: an error below one percent.
@@ -62,27 +62,26 @@ def rare_category(df: DataFrame | Target, cols=None, freq=None, rows: int | None
     )
     # ``categorical`` has one row per column.
     rare = rare.join(F.broadcast(categorical.select("column")), "column", "left_semi")
-    top = top_per_column(rare, RARE_SHOWN, F.asc("n"), F.asc("value"))
-    groups = top.groupBy("column").agg(
-        F.sum("n").alias("affected"),
-        F.count(F.lit(1)).alias("shown"),
+    top = top_per_column(rare, EXAMPLES, F.asc("n"), F.asc("value"))
+    shown = top.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("categories"),
     )
-    totals = rare.groupBy("column").agg(F.sum("n").alias("total"))
-    return groups.join(F.broadcast(totals), "column").select(
+    totals = rare.groupBy("column").agg(F.sum("n").alias("affected"), F.count(F.lit(1)).alias("values"))
+    # One row per column on both sides.
+    return totals.join(F.broadcast(shown), "column").select(
         *candidate(
             at,
             issue_type="rare_category",
             detector_id="rare_category",
             columns=F.array("column"),
             affected=F.col("affected"),
-            raw=F.col("shown"),
+            raw=F.col("values"),
             confidence=0.85,
             fpr=0.1,
             severity="low",
             evidence=evidence_json(
                 "statistical_measure",
-                {"total_rare_rows": F.col("total"), "categories": F.col("categories")},
+                {"total_rare_rows": F.col("affected"), "categories": F.col("categories")},
             ),
         )
     )
@@ -159,14 +158,14 @@ def inconsistent_case(df: DataFrame | Target, cols=None, freq=None) -> DataFrame
         .agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("forms"))
         .filter("forms >= 2 and rows >= 2")
     )
-    top = top_per_column(groups, CASE_GROUPS, F.desc("rows"), F.asc("key"))
+    top = top_per_column(groups, EXAMPLES, F.desc("rows"), F.asc("key"))
+    shown = top.groupBy("column").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "key", "rows", "forms"))).alias("detail")
+    )
+    totals = groups.groupBy("column").agg(F.sum("rows").alias("affected"), F.count(F.lit(1)).alias("groups"))
+    # One row per column on both sides.
     return (
-        top.groupBy("column")
-        .agg(
-            F.sum("rows").alias("affected"),
-            F.count(F.lit(1)).alias("groups"),
-            F.sort_array(F.collect_list(F.struct("rank", "key", "rows", "forms"))).alias("detail"),
-        )
+        totals.join(F.broadcast(shown), "column")
         .select(
             *candidate(
                 at,

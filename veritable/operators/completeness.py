@@ -32,17 +32,17 @@ from veritable.operators.checks import (
 NULL_RATE, NULL_RATE_MEDIUM, NULL_RATE_HIGH = 0.05, 0.1, 0.3
 TOKEN_RATE = 0.005
 SPARSE_RATE = 0.02
-PAIR_COLUMNS, PAIRS = 15, 50
-GROUP_COLUMNS, GROUP_NAME_LENGTH, GROUP_MAX_DISTINCT = 10, 64, 50
-TARGETS, TARGET_RATE = 5, 0.01
+GROUP_MAX_DISTINCT = 50
+TARGET_RATE = 0.01
 BUCKETS_WANTED, BUCKET_ROWS = 5, 10
 MIN_RATIO, MIN_GAP = 0.2, 0.2
 CASCADE_NULLS, CASCADE_COVERAGE = 10, 0.8
 TOGETHER_NULLS, TOGETHER_COVERAGE = 5, 0.5
 # ---- end of fixed values ----------------------------------------------------
 
-# A sketch above this is certainly beyond GROUP_MAX_DISTINCT (error is a few percent).
-_SKETCH_LIMIT = 1000
+# Slots that values hash into.  Each occupied slot has a value of its own, so more than
+# GROUP_MAX_DISTINCT occupied ones prove a column to be beyond that limit.
+_SLOTS = 64
 
 
 def null_rate_checks(df: DataFrame, cols: Sequence[str] | None = None, max_ratio=NULL_RATE):
@@ -80,10 +80,10 @@ def missing_token_checks(df: DataFrame, cols: Sequence[str] | None = None, min_r
 
 
 def sparse_pairs(nulls: dict[str, int], rows: int) -> list[tuple[str, str]]:
-    """Ordered pairs of the sparsest columns, most sparse first."""
+    """Ordered pairs of all sparse columns, most sparse first."""
     sparse = [c for c, n in nulls.items() if rows and n / rows >= SPARSE_RATE]
-    sparse = sorted(sparse, key=lambda c: -nulls[c])[:PAIR_COLUMNS]
-    return [(a, b) for i, a in enumerate(sparse) for b in sparse[i + 1 :]][:PAIRS]
+    sparse = sorted(sparse, key=lambda c: -nulls[c])
+    return [(a, b) for i, a in enumerate(sparse) for b in sparse[i + 1 :]]
 
 
 def _both(a: str, b: str) -> Column:
@@ -201,7 +201,7 @@ def sudden_missingness(df: DataFrame | Target, nulls=None) -> DataFrame:
     """
     at = target(df)
     rows, nulls = nulls or null_counts(at.df, at.df.columns)
-    targets = [c for c, n in nulls.items() if rows and n / rows >= TARGET_RATE][:TARGETS]
+    targets = [c for c, n in nulls.items() if rows and n / rows >= TARGET_RATE]
     times = temporal_columns(at.df) + hinted(string_columns(at.df), TIME_TEXT_HINTS)
     if not targets or not times:
         return empty(at.spark)
@@ -265,25 +265,30 @@ def sudden_missingness(df: DataFrame | Target, nulls=None) -> DataFrame:
     )
 
 
-def group_missingness(df: DataFrame | Target, nulls=None, sketch=None, cap: int = TARGETS):
+def occupied_slots(c: Column) -> Column:
+    """How many of ``_SLOTS`` slots the values of a column hash into: at most their distinct number."""
+    slot = F.pmod(F.xxhash64(c), F.lit(_SLOTS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)
+    return F.bit_count(F.coalesce(F.bit_or(F.when(c.isNotNull(), bit)), F.lit(0).cast("bigint")))
+
+
+def group_missingness(df: DataFrame | Target, nulls=None, slots=None):
     """Categories in which a column is missing far more often than overall.
 
-    Columns a sketch shows to be far beyond ``GROUP_MAX_DISTINCT`` are left out
-    before grouping; the exact limit is applied to the grouped rows.
+    All text columns without NULLs are tried against all columns with some.  Columns
+    proven to hold more than ``GROUP_MAX_DISTINCT`` values are left out before grouping;
+    the exact limit is applied to the grouped rows.
     """
     at = target(df)
     rows, nulls = nulls or null_counts(at.df, at.df.columns)
     targets = [c for c, n in nulls.items() if n > 0]
-    names = [c for c in string_columns(at.df) if len(c) <= GROUP_NAME_LENGTH][:GROUP_COLUMNS]
-    names = [c for c in names if c not in targets]
+    names = [c for c in string_columns(at.df) if c not in targets]
     if not targets or not names:
         return empty(at.spark)
-    if sketch is None:
-        row = one_row(
-            at.df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)])
-        )
-        sketch = {c: row[f"d{i}"] for i, c in enumerate(names)}
-    names = [c for c in names if sketch[c] <= _SKETCH_LIMIT]
+    if slots is None:
+        row = one_row(at.df.agg(*[occupied_slots(col(c)).alias(f"d{i}") for i, c in enumerate(names)]))
+        slots = {c: row[f"d{i}"] for i, c in enumerate(names)}
+    names = [c for c in names if slots[c] <= GROUP_MAX_DISTINCT]
     if not names:
         return empty(at.spark)
     cells = [F.struct(F.lit(i).alias("group_no"), col(c).alias("value")) for i, c in enumerate(names)]
@@ -297,23 +302,8 @@ def group_missingness(df: DataFrame | Target, nulls=None, sketch=None, cap: int
         )
         .withColumn("distinct", F.count(F.lit(1)).over(Window.partitionBy("group_no")))
         .filter(F.col("distinct").between(2, GROUP_MAX_DISTINCT))
-        # At most GROUP_COLUMNS * GROUP_MAX_DISTINCT rows are left here.
-        .withColumn("usable", F.size(F.collect_set("group_no").over(Window.partitionBy())))
-    )
-    hits = _by_target(
-        groups, targets, [nulls[t] / rows for t in targets], "group_no", "value", "usable"
-    )
-    # Pairs are tried in column order until enough groups are reported; a pair is whole or absent.
-    # These windows see at most one row per (group column, target column).
-    running = Window.orderBy("group_no", "target_no").rowsBetween(Window.unboundedPreceding, -1)
-    admitted = (
-        hits.groupBy("group_no", "target_no", "usable")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("before", F.coalesce(F.sum("k").over(running), F.lit(0)))
-        .filter(F.col("before") < cap * F.col("usable"))
-        .select("group_no", "target_no")
     )
-    hits = hits.join(F.broadcast(admitted), ["group_no", "target_no"])
+    hits = _by_target(groups, targets, [nulls[t] / rows for t in targets], "group_no", "value")
     group_name = F.get(F.array(*[F.lit(c) for c in names]), F.col("group_no"))
     return hits.select(
         *candidate(

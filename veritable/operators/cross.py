@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.columns import col, family_of
@@ -26,7 +26,6 @@ RANGE_PREFIXES = (
     (("start", "begin", "from"), ("end", "finish", "to")),
     (("min", "lower"), ("max", "upper")),
 )
-EXAMPLE_ROWS = 20
 # ---- end of fixed values ----------------------------------------------------
 
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -73,23 +72,26 @@ def cross_field_rule(df: DataFrame | Target) -> DataFrame:
     return run_checks(at, range_checks(at.df))
 
 
-def cross_field_rows(df: DataFrame, keys: Sequence[str], limit: int = EXAMPLE_ROWS) -> DataFrame:
-    """The first ``limit`` offending rows of each pair, by key (a top-k, not a full sort)."""
-    parts = [
-        df.filter(col(a) > col(b))
-        .select(
-            F.lit(f"{a} <= {b}").alias("expression"),
-            *[col(k) for k in keys],
-            col(a).cast("string").alias("left_value"),
-            col(b).cast("string").alias("right_value"),
+def cross_field_rows(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The offending rows of all pairs from one read; with ``limit``, the first of each pair by key."""
+    found = [
+        F.when(
+            col(a) > col(b),
+            F.struct(
+                F.lit(f"{a} <= {b}").alias("expression"),
+                col(a).cast("string").alias("left_value"),
+                col(b).cast("string").alias("right_value"),
+            ),
         )
-        .orderBy(*[col(k) for k in keys])
-        .limit(limit)
         for a, b in range_pairs(df)
     ]
-    if not parts:
+    if not found:
         raise ValueError("no comparable range columns")
-    return reduce(DataFrame.unionByName, parts)
+    rows = df.select(*[col(k) for k in keys], F.inline(F.array_compact(F.array(*found))))
+    if limit is not None:
+        first = F.row_number().over(Window.partitionBy("expression").orderBy(*[col(k) for k in keys]))
+        rows = rows.withColumn("__k", first).filter(F.col("__k") <= limit)
+    return rows.select("expression", *[col(k) for k in keys], "left_value", "right_value")
 
 
 @dataclass(frozen=True)

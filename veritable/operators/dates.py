@@ -18,13 +18,13 @@ from veritable.functions.columns import (
     unhinted,
 )
 from veritable.operators.checks import Check, Target, candidate, evidence_json, run_checks, target
-from veritable.operators.frequency import column_totals, top_per_column, value_counts
+from veritable.operators.frequency import column_totals, value_counts
 
 # ---- fixed values: thresholds ----------------------------------------------
 FUTURE_DAYS, STALE_DAYS = 1, 365
 MIXED_DISTINCT, MIXED_SHARE = 10, 0.02
 DATE_CLASSES = ("iso", "slash", "dot", "compact")
-REPEATS, REPEAT_GROUPS = 2, 20
+REPEATS = 2
 # ---- end of fixed values ----------------------------------------------------
 
 Day = dt.date | str | None
@@ -157,18 +157,15 @@ def mixed_date_format(df: DataFrame | Target, cols=None, freq=None) -> DataFrame
 
 
 def duplicate_timestamp(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
-    """The same moment more than twice; the 20 most repeated ones are counted."""
+    """The same moment more than twice."""
     at = target(df)
     names = temporal_columns(at.df, cols)
     freq = freq if freq is not None else value_counts(at.df, names)
     repeated = freq.filter(F.col("column").isin(names) & (F.col("n") > REPEATS))
-    top = top_per_column(repeated, REPEAT_GROUPS, F.desc("n"), F.asc("value"))
-    groups = top.groupBy("column").agg(
-        F.sum(F.col("n") - 1).alias("affected"), F.count(F.lit(1)).alias("groups")
+    totals = column_totals(repeated).select(
+        "column", F.col("redundant").alias("affected"), F.col("distinct").alias("groups")
     )
-    totals = column_totals(repeated).select("column", F.col("redundant").alias("total"))
-    # One row per column on both sides.
-    return groups.join(F.broadcast(totals), "column").select(
+    return totals.select(
         *candidate(
             at,
             issue_type="duplicate_timestamp",
@@ -181,7 +178,7 @@ def duplicate_timestamp(df: DataFrame | Target, cols=None, freq=None) -> DataFra
             severity="medium",
             evidence=evidence_json(
                 "duplicate_match",
-                {"groups": F.col("groups"), "total_duplicates": F.col("total")},
+                {"groups": F.col("groups"), "total_duplicates": F.col("affected")},
             ),
         )
     )

@@ -60,8 +60,12 @@ def fuse(candidates: DataFrame, scan_run_id: str, rows: int | None) -> DataFrame
     """Candidates on the same columns and of the same family become one issue.
 
     The groups are small: one candidate per detector, plus one per reported time
-    bucket or category for the two bucketed missingness detectors.
+    bucket or category for the two bucketed missingness detectors.  A candidate's share
+    is taken over its own ``rows_examined`` where it has one, else over ``rows``.
     """
+    whole = F.lit(float(rows) if rows else 0.0)
+    own = F.col("rows_examined").cast("double") if "rows_examined" in candidates.columns else F.lit(None)
+    examined = F.coalesce(own, whole)
     order = lookup(F.col("issue_type"), {t: i for i, t in enumerate(FAMILY_OF)}, F.lit(len(FAMILY_OF)))
     members = F.array_sort(
         F.collect_list(
@@ -84,14 +88,16 @@ def fuse(candidates: DataFrame, scan_run_id: str, rows: int | None) -> DataFrame
             members.alias("members"),
             F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"),
             F.max("affected_count").alias("most"),
+            F.max(F.when(examined > 0, F.col("affected_count") / examined)).alias("share"),
+            F.max(examined).alias("examined"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("affected_rows")))).alias("ids"),
             F.max("fpr").alias("fpr"),
         )
     )
     has_ids = F.size("ids") > 0
     affected = F.when(has_ids, F.size("ids").cast("bigint")).otherwise(F.col("most"))
-    total = float(rows) if rows else 0.0
-    ratio = F.round(F.least(F.lit(1.0), F.col("affected_count") / F.lit(total)), 6)
+    share = F.when(has_ids, F.try_divide(F.col("affected_count").cast("double"), F.col("examined"))).otherwise(F.col("share"))
+    ratio = F.round(F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0))), 6)
     shown = F.concat_ws(", ", F.slice("columns", 1, 3))
     more = F.when(F.size("columns") > 3, "...").otherwise("")
     title = lookup(F.col("family"), FAMILY_TITLE, F.col("family"))
@@ -123,7 +129,7 @@ def fuse(candidates: DataFrame, scan_run_id: str, rows: int | None) -> DataFrame
         .otherwise("high")
         .alias("false_positive_risk"),
         "affected_count",
-        (ratio if total else F.lit(0.0)).alias("affected_ratio"),
+        ratio.alias("affected_ratio"),
         F.when(has_ids, F.col("ids")).alias("affected_row_ids"),
         F.col("members.detector_id").alias("detector_ids"),
         F.col("members.evidence").alias("evidence"),

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions import predicates as P
@@ -38,15 +38,16 @@ RISK = {
     "set_null": "medium",
     "clip_value": "medium",
 }
+EXAMPLES = 10
+# ---- end of fixed values ----------------------------------------------------
+
 RATIONALE = {
-    "trim_whitespace": "strip leading/trailing whitespace",
-    "normalize_case": "lowercase values to a single canonical form",
-    "replace_missing_token": "replace missing stand-ins with NULL",
-    "set_null": "set invalid values to NULL (missing semantics)",
-    "clip_value": "clip values to the detected outlier bounds",
+    "trim_whitespace": "the value without the blanks around it",
+    "normalize_case": "one spelling in small letters for all forms of a value",
+    "replace_missing_token": "NULL where a text only says that nothing is known",
+    "set_null": "NULL where the value cannot be a date",
+    "clip_value": "the nearest bound where a number lies outside the usual range",
 }
-EXAMPLES, CHANGE_LOG, SUGGESTIONS = 10, 500, 3
-# ---- end of fixed values ----------------------------------------------------
 
 PROPOSAL = (
     "issue_id string, issue_type string, operation string, columns array<string>, lower double, "
@@ -226,23 +227,25 @@ def preview(df: DataFrame, repairs: Sequence[Repair], exact_unique: bool = True)
 
 
 def change_log(
-    df: DataFrame, repairs: Sequence[Repair], keys: Sequence[str], limit: int | None = CHANGE_LOG
+    df: DataFrame, repairs: Sequence[Repair], keys: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """Before and after of changed cells; the first ``limit`` per column by key."""
-    parts = []
-    for c, before, after in _pairs(df, repairs):
-        changed = df.filter(P.changes(before, after))
-        if limit is not None:
-            changed = changed.orderBy(*[col(k) for k in keys]).limit(limit)
-        parts.append(
-            changed.select(
-                *[col(k) for k in keys],
+    """Before and after of changed cells, from one read; with ``limit``, the first of each column by key."""
+    cells = [
+        F.when(
+            P.changes(before, after),
+            F.struct(
                 F.lit(c).alias("column"),
                 before.cast("string").alias("before_value"),
                 after.cast("string").alias("after_value"),
-            )
+            ),
         )
-    return reduce(DataFrame.unionByName, parts)
+        for c, before, after in _pairs(df, repairs)
+    ]
+    rows = df.select(*[col(k) for k in keys], F.inline(F.array_compact(F.array(*cells))))
+    if limit is None:
+        return rows
+    first = F.row_number().over(Window.partitionBy("column").orderBy(*[col(k) for k in keys]))
+    return rows.withColumn("__k", first).filter(F.col("__k") <= limit).drop("__k")
 
 
 def examples(df: DataFrame, repairs: Sequence[Repair], keys: Sequence[str]) -> DataFrame:
@@ -347,7 +350,7 @@ def verify(source_issues: DataFrame, verify_issues: DataFrame, strict: bool = Fa
 
 
 def suggestions(issues: DataFrame) -> DataFrame:
-    """Up to three different operations per issue, in the order of its detectors."""
+    """All different operations for an issue, in the order of its detectors."""
     from veritable.operators.fusion import lookup
 
     none = F.lit(None).cast("string")
@@ -355,7 +358,7 @@ def suggestions(issues: DataFrame) -> DataFrame:
         F.array_compact(F.transform("detector_ids", lambda d: lookup(d, OPERATION_FOR, none)))
     )
     return issues.select(
-        "issue_id", "columns", F.posexplode(F.slice(found, 1, SUGGESTIONS)).alias("pos", "operation")
+        "issue_id", "columns", F.posexplode(found).alias("pos", "operation")
     ).select(
         "issue_id",
         (F.col("pos") + 1).alias("rank"),

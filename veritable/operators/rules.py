@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritable.functions.columns import col
-from veritable.operators.checks import ROWS, Check, Target, empty, one_row, report, target
+from veritable.operators.checks import ROWS, Check, Target, empty, report, target
 from veritable.operators.frequency import value_counts
 
 # ---- fixed values -----------------------------------------------------------
@@ -31,7 +31,6 @@ OPERATORS = (
     "not_in",
 )
 DANGEROUS_RATIO = 0.5
-EXAMPLE_ROWS = 5
 RULE_CONFIDENCE = 0.95
 CONTRACT_TYPES = {
     "string": (T.StringType,),
@@ -196,16 +195,19 @@ def approve(df: DataFrame, rules: Sequence[Rule], force: bool = False) -> DataFr
     )
 
 
-def example_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], limit=EXAMPLE_ROWS):
-    """The first ``limit`` violating rows of each rule by key, as JSON."""
-    parts = [
-        df.filter(p)
-        .orderBy(*[col(k) for k in keys])
-        .limit(limit)
-        .select(F.lit(r.id).alias("rule_id"), F.to_json(F.struct("*")).alias("row"))
-        for r, p in split_rules(df, rules)[0]
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def example_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], limit: int | None = None):
+    """The violating rows of every rule as JSON, from one read; with ``limit``, the first of each rule by key."""
+    usable, _ = split_rules(df, rules)
+    broken_by = F.array_compact(F.array(*[F.when(p, F.lit(r.id)) for r, p in usable]))
+    rows = df.select(
+        F.explode(broken_by).alias("rule_id"),
+        F.to_json(F.struct("*")).alias("row"),
+        *[col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+    )
+    if limit is not None:
+        w = Window.partitionBy("rule_id").orderBy(*[f"__key{i}" for i in range(len(keys))])
+        rows = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= limit)
+    return rows.select("rule_id", "row")
 
 
 def rule_checks(df: DataFrame, rules: Sequence[Rule]) -> tuple[list[Check], dict[str, str]]:
@@ -325,11 +327,3 @@ def check_contract(df: DataFrame, contract: Mapping[str, ColumnContract]) -> Dat
             )
         )
     return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
-
-
-def failed_rules(df: DataFrame, rules: Sequence[Rule]) -> dict[str, str]:
-    return split_rules(df, rules)[1]
-
-
-def preflight_row(df: DataFrame, rule: Rule) -> dict:
-    return one_row(preflight(df, [rule]))

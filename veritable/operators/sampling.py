@@ -10,14 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.columns import col
 from veritable.operators.fingerprint import lane, row_digest
 from veritable.operators.quantiles import order_statistics, value_spans
 
 METHODS = ("none", "random", "reservoir", "time_based", "stratified", "rare_oversampling")
-# Up to this many rows a top-k gathers the sample; beyond it a threshold selects in place.
-GATHERED_ROWS = 100_000
 
 
 def draw_order(df: DataFrame, keys: Sequence[str] | None, seed: int) -> Column:
@@ -28,10 +27,7 @@ def reservoir_sample(
     df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = 42
 ) -> DataFrame:
     """``n`` rows, each subset equally likely, repeatable."""
-    order = draw_order(df, keys, seed)
-    if n <= GATHERED_ROWS:
-        return df.withColumn("__draw", order).orderBy("__draw").limit(n).drop("__draw")
-    return _threshold_sample(df, n, order)
+    return _threshold_sample(df, n, draw_order(df, keys, seed))
 
 
 def _threshold_sample(df: DataFrame, n: int, order: Column) -> DataFrame:
@@ -52,8 +48,21 @@ def _threshold_sample(df: DataFrame, n: int, order: Column) -> DataFrame:
 
 
 def head_sample(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows as stored."""
-    return df.limit(n)
+    """The first ``n`` rows as stored, left where they are: rows are counted per partition, and
+    the partition where the ``n``-th lies keeps its first ones."""
+    part, place = "__part", "__place"
+    placed = df.withColumn(part, F.spark_partition_id()).withColumn(
+        place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    # One number per partition.
+    counts = sorted((r[part], r["count"]) for r in placed.groupBy(part).count().collect())
+    before = 0
+    for i, rows in counts:
+        if before + rows >= n:
+            keep = (F.col(part) < i) | ((F.col(part) == i) & (F.col(place) < n - before))
+            return placed.filter(keep).drop(part, place)
+        before += rows
+    return df
 
 
 def time_sample(
@@ -63,10 +72,30 @@ def time_sample(
     keys: Sequence[str] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """The earliest ``n`` rows; without a time column, a reservoir sample."""
+    """The earliest ``n`` rows; without a time column, a reservoir sample.
+
+    The moment of the ``n``-th row is found by counting; of the rows at that moment, or of those
+    without a time when there are too few with one, a reservoir fills up the rest.
+    """
     if time_column is None or time_column not in df.columns:
         return reservoir_sample(df, n, keys, seed)
-    return df.orderBy(col(time_column).asc_nulls_last(), draw_order(df, keys, seed)).limit(n)
+    # Days or microseconds since the epoch: exact as a double.
+    kind, moment = df.schema[time_column].dataType, col(time_column)
+    if isinstance(kind, T.DateType):
+        moment = F.unix_date(moment)
+    elif not isinstance(kind, T.NumericType):
+        moment = F.unix_micros(moment.cast("timestamp"))
+    timed = df.withColumn("__at", moment.cast("double"))
+    known, unknown = timed.filter(F.col("__at").isNotNull()), timed.filter(F.col("__at").isNull())
+    at = {"at": F.col("__at")}
+    low, high, rows = value_spans(known, at)["at"]
+    if rows <= n:
+        rest = reservoir_sample(unknown.drop("__at"), n - rows, keys, seed) if rows < n else unknown.drop("__at").limit(0)
+        return known.drop("__at").unionAll(rest)
+    cut = order_statistics(known, at, {"at": (low, high)}, {"at": [n - 1]})[("at", n - 1)]
+    before = known.filter(F.col("__at") < cut).drop("__at")
+    same = known.filter(F.col("__at") == cut).drop("__at")
+    return before.unionAll(reservoir_sample(same, n - before.count(), keys, seed))
 
 
 def stratified_sample(

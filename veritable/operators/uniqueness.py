@@ -11,28 +11,25 @@ from veritable.operators.checks import Target, candidate, evidence_json, target
 from veritable.operators.frequency import column_totals, top_per_column, value_counts
 
 # ---- fixed values: thresholds ----------------------------------------------
-TOP_DUPLICATES, EXAMPLES = 20, 10
-FUZZY_GROUPS, FUZZY_MIN_LENGTH, FUZZY_SAMPLES = 50, 2, 3
+EXAMPLES = 10
+FUZZY_MIN_LENGTH, FUZZY_SAMPLES = 2, 3
 # ---- end of fixed values ----------------------------------------------------
 
 
 def uniqueness_violation(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
-    """Repeated values.  ``affected_count`` covers the 20 most repeated values of a
-    column; the evidence also carries the redundant rows over all of its values."""
+    """Rows that repeat a value of their column; the evidence shows the most repeated values."""
     at = target(df)
     freq = freq if freq is not None else value_counts(at.df, cols)
     repeated = freq.filter("n > 1 and value is not null")
-    top = top_per_column(repeated, TOP_DUPLICATES, F.desc("n"), F.asc("value"))
-    groups = top.groupBy("column").agg(
-        F.sum(F.col("n") - 1).alias("affected"),
-        F.count(F.lit(1)).alias("values"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("rank") <= EXAMPLES, F.struct("rank", "value", "n")))
-        ).alias("examples"),
+    top = top_per_column(repeated, EXAMPLES, F.desc("n"), F.asc("value"))
+    examples = top.groupBy("column").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("examples")
+    )
+    totals = column_totals(repeated).select(
+        "column", F.col("redundant").alias("affected"), F.col("distinct").alias("values")
     )
-    totals = column_totals(repeated).select("column", F.col("redundant").alias("total"))
     # One row per column on both sides.
-    return groups.join(F.broadcast(totals), "column").select(
+    return totals.join(F.broadcast(examples), "column").select(
         *candidate(
             at,
             issue_type="uniqueness_violation",
@@ -47,7 +44,7 @@ def uniqueness_violation(df: DataFrame | Target, cols=None, freq=None) -> DataFr
                 "duplicate_match",
                 {
                     "values": F.col("values"),
-                    "total_duplicates": F.col("total"),
+                    "total_duplicates": F.col("affected"),
                     "examples": F.col("examples"),
                 },
             ),
@@ -73,8 +70,11 @@ def fuzzy_duplicate(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
     names = string_columns(at.df, cols)
     freq = freq if freq is not None else value_counts(at.df, names)
     keyed, groups = fuzzy_groups(freq, names)
-    top = top_per_column(groups, FUZZY_GROUPS, F.desc("rows"), F.asc("key"))
-    # ``top`` has at most FUZZY_GROUPS rows per column.
+    totals = groups.groupBy("column").agg(
+        F.sum(F.col("rows") - 1).alias("affected"), F.count(F.lit(1)).alias("groups")
+    )
+    top = top_per_column(groups, EXAMPLES, F.desc("rows"), F.asc("key"))
+    # ``top`` has at most EXAMPLES rows per column.
     samples = top_per_column(
         keyed.join(F.broadcast(top.select("column", "key")), ["column", "key"]),
         FUZZY_SAMPLES,
@@ -85,20 +85,12 @@ def fuzzy_duplicate(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
         F.sort_array(F.collect_list("value")).alias("samples")
     )
     detail = top.join(samples, ["column", "key"])
+    shown = detail.groupBy("column").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "key", "rows", "spellings", "samples"))).alias("examples")
+    )
+    # One row per column on both sides.
     return (
-        detail.groupBy("column")
-        .agg(
-            F.sum(F.col("rows") - 1).alias("affected"),
-            F.count(F.lit(1)).alias("groups"),
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        F.col("rank") <= EXAMPLES,
-                        F.struct("rank", "key", "rows", "spellings", "samples"),
-                    )
-                )
-            ).alias("examples"),
-        )
+        totals.join(F.broadcast(shown), "column")
         .select(
             *candidate(
                 at,

@@ -159,7 +159,7 @@ class _Pass:
     rows: int = 0
     nulls: dict[str, int] = field(default_factory=dict)
     ranges: dict[str, tuple] = field(default_factory=dict)
-    sketch: dict[str, int] = field(default_factory=dict)
+    slots: dict[str, int] = field(default_factory=dict)
     parts: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     def guard(self, detector_id: str, build: Callable):
@@ -197,13 +197,13 @@ class _Pass:
             x = col(c).cast("double")
             extra += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"nn{i}")]
         if self.has("group_missingness"):
-            read = texts[: completeness.GROUP_COLUMNS]
-            extra += [F.approx_count_distinct(col(c)).alias(f"sk{i}") for i, c in enumerate(read)]
+            read = texts
+            extra += [completeness.occupied_slots(col(c)).alias(f"sk{i}") for i, c in enumerate(read)]
         row = self.count(checks, extra)
         self.rows = row[ROWS]
         self.nulls = {c: row[f"null{i}"] for i, c in enumerate(df.columns)}
         self.ranges = {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"nn{i}"]) for i, c in enumerate(numbers)}
-        self.sketch = {c: row[f"sk{i}"] for i, c in enumerate(read)}
+        self.slots = {c: row[f"sk{i}"] for i, c in enumerate(read)}
 
     def count(self, checks: list[Check], extra: Sequence) -> dict:
         """Count the checks, add their candidates, and return the first aggregate's row."""
@@ -279,7 +279,7 @@ class _Pass:
         model = dict(self.config.detector_params.get("model_outlier", {}))
         builders = {
             "sudden_missingness": lambda: completeness.sudden_missingness(at, known),
-            "group_missingness": lambda: completeness.group_missingness(at, known, self.sketch),
+            "group_missingness": lambda: completeness.group_missingness(at, known, self.slots),
             "histogram_rarity": lambda: numeric.histogram_rarity(at, known=self.ranges),
             "model_outlier": lambda: model_outlier.model_outlier(
                 at, known=self.ranges, seed=self.config.seed, freq=self.freq, **model
@@ -413,43 +413,52 @@ def scan(
         held.append(scanned)
 
     user_ids = {u.detector_id for u in users}
+    users = [u for u in users if u.detector_id not in idle]
+    # Whatever does not work on a sample sees the whole table.
+    apart = [u for u in users if sampled and not u.supports_sampling]
     work = _Pass(
         Target(scanned, dataset_id, table_name),
         config,
         [d.detector_id for d in active if d.detector_id not in user_ids],
-        [u for u in users if u.detector_id not in idle],
+        [u for u in users if u not in apart],
     )
     work.run()
     rows = work.rows if full_rows is None else full_rows
-    whole = Target(flat, dataset_id, table_name)
+    full = _Pass(Target(flat, dataset_id, table_name), config, [], apart)
+    if apart:
+        full.run()
     if "foreign_key_violation" in work.ids and rows:
-        part = work.guard(
-            "foreign_key_violation", lambda: cross.foreign_key_violation(whole, config.references)
+        part = full.guard(
+            "foreign_key_violation", lambda: cross.foreign_key_violation(full.at, config.references)
         )
         if part is not None:
-            work.parts.append(("foreign_key_violation", part))
+            full.parts.append(("foreign_key_violation", part))
     broken: dict[str, str] = {}
     if config.rules and rows:
         checks, broken = rule_checks(flat, config.rules)
-        rules = _Pass(whole, config, [], [])
-        rules.count(checks, [F.count(F.lit(1)).alias(ROWS)])
-        work.parts += rules.parts
+        full.count(checks, [F.count(F.lit(1)).alias(ROWS)])
 
     # Candidates are few: per column and detector, plus reported buckets and groups.
     with ThreadPoolExecutor(1) as pool:
         hashed = pool.submit(_fingerprint, flat, config, sampled)
-        candidates = work.collect_parts()
+        # A ratio is taken over the rows that its own detector saw.
+        seen = [
+            p.collect_parts().withColumn("rows_examined", F.lit(n).cast("bigint"))
+            for p, n in ((work, work.rows), (full, rows))
+        ]
         content = hashed.result()
-    # Ratios of sampled counts are taken over the rows that were scanned.
+    candidates = seen[0].unionByName(seen[1])
     issues = score(fuse(candidates, run_id, work.rows), config.criticality)
+    candidates = candidates.drop("rows_examined")
     issues = issues.persist(StorageLevel.MEMORY_AND_DISK)
-    held += [*work.held, issues]
+    held += [*work.held, *full.held, issues]
+    errors, skipped_ids = work.errors | full.errors, work.skipped | full.skipped
 
     sampled_ids = {d.detector_id for d in active if d.supports_sampling} if sampled else set()
     runs = []
     for d in chosen:
-        error = work.errors.get(d.detector_id)
-        skipped = d.detector_id in idle or d.detector_id in work.skipped
+        error = errors.get(d.detector_id)
+        skipped = d.detector_id in idle or d.detector_id in skipped_ids
         status = "failed" if error else "skipped" if skipped else "completed"
         is_sampled = d.detector_id in sampled_ids
         seen = 0 if status != "completed" else work.rows if is_sampled else rows

@@ -56,17 +56,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage in a way that outlives any executor; used where a result
-    is read by several later jobs and must be the same in all of them.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame, cache: bool | None = None) -> tuple[DataFrame, bool]:
     """``df`` ready for several passes, and whether it is now held in memory.
 

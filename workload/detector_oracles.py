@@ -79,11 +79,11 @@ def d03(t, evidence=False):
     return (
         f"SELECT {row('sudden_missingness', 'tgt', 'nulls', 'nulls / CAST(n AS DOUBLE)', 0.9, 0.15, repr('medium'), more=more)} FROM ("
         f"WITH cells AS ({cells}), overall AS (SELECT tgt, ord, sum(nulls) / CAST(sum(n) AS DOUBLE) AS rate FROM cells "
-        f"WHERE tc = '{times[0][0]}' GROUP BY tgt, ord), chosen AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM overall "
+        f"WHERE tc = '{times[0][0]}' GROUP BY tgt, ord), chosen AS (SELECT * FROM overall "
         f"WHERE rate >= 0.01), spans AS (SELECT tc, count(DISTINCT d) AS days, count(DISTINCT strftime(d, '%Y-%m')) AS months "
         f"FROM cells WHERE d IS NOT NULL GROUP BY tc), sized AS (SELECT c.*, ch.rate, CASE WHEN days >= 5 THEN 'day' "
         f"WHEN months >= 5 THEN 'month' ELSE 'year' END AS granularity FROM cells c JOIN spans s ON c.tc = s.tc "
-        f"JOIN chosen ch ON ch.tgt = c.tgt AND ch.k <= 5 WHERE d IS NOT NULL) "
+        f"JOIN chosen ch ON ch.tgt = c.tgt WHERE d IS NOT NULL) "
         f"SELECT tc AS time_column, tgt, granularity, CASE granularity WHEN 'day' THEN strftime(d, '%Y-%m-%d') "
         f"WHEN 'month' THEN strftime(d, '%Y-%m') ELSE strftime(d, '%Y') END AS bucket, sum(n) AS n, sum(nulls) AS nulls, "
         f"max(rate) AS rate FROM sized GROUP BY ALL HAVING sum(n) >= 10 AND sum(nulls) / CAST(sum(n) AS DOUBLE) >= "
@@ -92,7 +92,7 @@ def d03(t, evidence=False):
 
 
 def d04(t, evidence=False):
-    groups = cols(t, "str")[:10]
+    groups = cols(t, "str")
     names = cols(t)
     cells = " UNION ALL ".join(
         f"SELECT '{g}' AS gc, {gi} AS go, {g} AS gv, '{x}' AS tgt, {xi} AS xo, count(*) AS n, "
@@ -107,11 +107,7 @@ def d04(t, evidence=False):
         f"HAVING count(gv) BETWEEN 2 AND 50 AND count(*) = count(gv)), "
         f"rates AS (SELECT gc, tgt, sum(nulls) / CAST(sum(n) AS DOUBLE) AS rate FROM cells GROUP BY gc, tgt), "
         f"hits AS (SELECT c.*, r.rate FROM cells c JOIN usable u ON u.gc = c.gc JOIN rates r ON r.gc = c.gc AND r.tgt = c.tgt "
-        f"WHERE r.rate > 0 AND n >= 10 AND nulls / CAST(n AS DOUBLE) >= greatest(0.2, rate + 0.2)), "
-        f"pairs AS (SELECT go, xo, count(*) AS k FROM hits GROUP BY go, xo), admitted AS (SELECT go, xo, "
-        f"coalesce(sum(k) OVER (ORDER BY go, xo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pairs) "
-        f"SELECT h.* FROM hits h JOIN admitted a ON a.go = h.go AND a.xo = h.xo "
-        f"WHERE before < 5 * (SELECT count(*) FROM usable))"
+        f"WHERE r.rate > 0 AND n >= 10 AND nulls / CAST(n AS DOUBLE) >= greatest(0.2, rate + 0.2)) SELECT * FROM hits)"
     )
 
 
@@ -146,8 +142,8 @@ def d07(t, evidence=False):
     more = ", CAST(all_dups AS BIGINT) AS total_duplicates" if evidence else ""
     return " UNION ALL ".join(
         f"SELECT {row('uniqueness_violation', repr(c), 'dup', 'dup', 0.98, 0.1, repr('medium'), more=more)} FROM (SELECT "
-        f"sum(n - 1) FILTER (WHERE k <= 20) AS dup, sum(n - 1) AS all_dups FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS k "
-        f"FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1))) WHERE dup IS NOT NULL"
+        f"sum(n - 1) AS dup, sum(n - 1) AS all_dups FROM "
+        f"(SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)) WHERE dup IS NOT NULL"
         for c in cols(t)
     )
 
@@ -156,8 +152,7 @@ def d08(t):
     return " UNION ALL ".join(
         f"SELECT {row('fuzzy_duplicate', repr(c), 'dup', 'dup', 0.9, 0.15, repr('medium'))} FROM (SELECT sum(n - 1) AS dup FROM ("
         f"SELECT norm, count(*) AS n FROM (SELECT lower(regexp_replace({c}, '[^0-9A-Za-z一-鿿]', '', 'g')) AS norm, {c} AS v "
-        f"FROM {t} WHERE {c} IS NOT NULL) WHERE length(norm) >= 2 GROUP BY norm HAVING count(*) >= 2 AND count(DISTINCT v) >= 2 "
-        f"ORDER BY n DESC, norm LIMIT 50)) WHERE dup IS NOT NULL"
+        f"FROM {t} WHERE {c} IS NOT NULL) WHERE length(norm) >= 2 GROUP BY norm HAVING count(*) >= 2 AND count(DISTINCT v) >= 2)) WHERE dup IS NOT NULL"
         for c in cols(t, "str")
     )
 
@@ -172,7 +167,7 @@ def d10(t):
     return " UNION ALL ".join(
         f"SELECT {row('rare_category', repr(c), 'hits', 'shown', 0.85, 0.1, repr('low'))} FROM (SELECT sum(n) AS hits, count(*) AS shown "
         f"FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) < 5 AND "
-        f"count(*) * 1000 < (SELECT count(*) FROM {t}) ORDER BY n LIMIT 20)), (SELECT count(DISTINCT {c}) AS d, count({c}) AS nn FROM {t}) "
+        f"count(*) * 1000 < (SELECT count(*) FROM {t}))), (SELECT count(DISTINCT {c}) AS d, count({c}) AS nn FROM {t}) "
         f"WHERE hits IS NOT NULL AND d BETWEEN 2 AND 1000 AND d / CAST(nn AS DOUBLE) <= 0.9"
         for c in cols(t)
     )
@@ -191,7 +186,7 @@ def d12(t):
     return " UNION ALL ".join(
         f"SELECT {row('inconsistent_case', repr(c), 'hits', 'groups', 0.9, 0.1, repr('low'))} FROM (SELECT sum(n) AS hits, count(*) AS groups FROM ("
         f"SELECT lower(trim({c})) AS k, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY lower(trim({c})) "
-        f"HAVING count(DISTINCT trim({c})) >= 2 ORDER BY n DESC, k LIMIT 20)) WHERE hits IS NOT NULL"
+        f"HAVING count(DISTINCT trim({c})) >= 2)) WHERE hits IS NOT NULL"
         for c in cols(t, "str")
     )
 
@@ -373,7 +368,7 @@ def d36(t):
 def d37(t):
     return " UNION ALL ".join(
         f"SELECT {row('duplicate_timestamp', repr(c), 'hits', 'groups', 0.9, 0.1, repr('medium'))} FROM (SELECT sum(n - 1) AS hits, count(*) AS groups FROM ("
-        f"SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 2 ORDER BY n DESC, {c} LIMIT 20)) WHERE hits IS NOT NULL"
+        f"SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 2)) WHERE hits IS NOT NULL"
         for c in cols(t, "time")
     )
 

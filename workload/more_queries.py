@@ -298,6 +298,20 @@ _AFTER = {
     "order_date": f"CASE WHEN {_BAD_DATE} THEN NULL ELSE order_date END",
     "total_price": "CASE WHEN total_price < 0 THEN 0.0 WHEN total_price > 500000 THEN 500000.0 ELSE total_price END",
 }
+
+
+def _text(column, expr):
+    """Text of a cell; numbers as whole cents, which both engines write alike."""
+    return f"CAST(CAST(round(({expr}) * 100) AS BIGINT) AS VARCHAR)" if column == "total_price" else f"CAST({expr} AS VARCHAR)"
+
+
+def _cells(found, *names):
+    for c in names or ("before_value", "after_value"):
+        cents = F.round(F.col(c).cast("double") * 100).cast("bigint").cast("string")
+        found = found.withColumn(c, F.when(F.col("column") == "total_price", cents).otherwise(F.col(c)))
+    return found.withColumnRenamed("column", "column_name")
+
+
 _FIXED = "SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _AFTER.items()) + ") FROM dirty_orders"
 
 
@@ -375,15 +389,13 @@ def _(s, d):
 @register(
     "x08_preview_examples",
     " UNION ALL ".join(
-        f"SELECT * FROM (SELECT order_id, '{c}' AS column_name, {c} AS before_value, {_AFTER[c]} AS after_value FROM dirty_orders "
+        f"SELECT * FROM (SELECT order_id, '{c}' AS column_name, {_text(c, c)} AS before_value, {_text(c, _AFTER[c])} AS after_value FROM dirty_orders "
         f"WHERE {c} IS DISTINCT FROM ({_AFTER[c]}) ORDER BY order_id LIMIT 10)"
-        for c in ("priority", "order_date")
+        for c in _AFTER
     ),
 )
 def _(s, d):
-    chosen = [r for r in REPAIRS if r.columns[0] in ("priority", "order_date")]
-    found = repair.examples(table(s, d, "dirty_orders"), chosen, ["order_id"])
-    return found.withColumnRenamed("column", "column_name")
+    return _cells(repair.examples(table(s, d, "dirty_orders"), REPAIRS, ["order_id"]))
 
 
 @register(
@@ -410,10 +422,9 @@ def _(s, d):
 
 
 _DIFF = " UNION ALL ".join(
-    f"SELECT order_id, 'changed' AS change, '{c}' AS column_name, CAST({c} AS VARCHAR) AS old_value, CAST({e} AS VARCHAR) AS new_value "
+    f"SELECT order_id, 'changed' AS change, '{c}' AS column_name, {_text(c, c)} AS old_value, {_text(c, e)} AS new_value "
     f"FROM dirty_orders WHERE {c} IS DISTINCT FROM ({e})"
     for c, e in _AFTER.items()
-    if c != "total_price"
 )
 
 
@@ -422,9 +433,7 @@ _DIFF = " UNION ALL ".join(
     _DIFF.replace("'changed' AS change, ", "").replace("old_value", "before_value").replace("new_value", "after_value"),
 )
 def _(s, d):
-    chosen = [r for r in REPAIRS if r.columns[0] != "total_price"]
-    found = repair.change_log(table(s, d, "dirty_orders"), chosen, ["order_id"], limit=None)
-    return found.withColumnRenamed("column", "column_name")
+    return _cells(repair.change_log(table(s, d, "dirty_orders"), REPAIRS, ["order_id"]))
 
 
 @register("x10_rollback", "SELECT * FROM dirty_orders")
@@ -438,9 +447,8 @@ def _(s, d):
 @register("x11_row_diff", _DIFF)
 def _(s, d):
     before = table(s, d, "dirty_orders")
-    chosen = [r for r in REPAIRS if r.columns[0] != "total_price"]
-    found = repair.row_diff(before, repair.apply_repairs(before, chosen), ["order_id"])
-    return found.withColumnRenamed("column", "column_name")
+    found = repair.row_diff(before, repair.apply_repairs(before, REPAIRS), ["order_id"])
+    return _cells(found, "old_value", "new_value")
 
 
 @register(
@@ -479,11 +487,9 @@ def _(s, d):
     return sampling.reservoir_sample(table(s, d, "lineitem"), 500, _KEYS).select(*_KEYS)
 
 
-@register("y02_head_sample", "SELECT least(count(*), 1000) AS rows FROM lineitem")
+@register("y02_head_sample", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem LIMIT 1000")
 def _(s, d):
-    return query.row_count(sampling.head_sample(table(s, d, "lineitem"), 1000)).withColumnRenamed(
-        "row_count", "rows"
-    )
+    return sampling.head_sample(table(s, d, "lineitem"), 1000).select(*_KEYS)
 
 
 @register(
@@ -522,6 +528,42 @@ def _(s, d):
     return found.select("detector_id", "status", "rows_scanned", "rows_total", "sampled")
 
 
+_SAMPLED = (
+    "SELECT * FROM dirty_orders ORDER BY md5('42' || chr(31) || CAST(order_id AS VARCHAR)) "
+    "LIMIT (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) FROM orders)"
+)
+
+
+@register(
+    "y05_sampled_scan_issues",
+    f"WITH sampled AS ({_SAMPLED}), n AS (SELECT count(*) AS total FROM sampled), found AS ("
+    + " UNION ALL ".join(
+        f"SELECT 'missingness' AS issue_type, '{c}' AS column_names, count(*) FILTER (WHERE {c} IS NULL) AS hits, count(*) AS total, 0.05 AS least FROM sampled"
+        for c in COLUMNS["dirty_orders"]
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'numeric_outlier', '{c}', count(*) FILTER (WHERE {c} < 0), count(*), 0 FROM sampled"
+        for c, k in COLUMNS["dirty_orders"].items()
+        if k == "num"
+    )
+    + " UNION ALL SELECT 'integrity_constraint', 'customer_id', count(customer_id) FILTER (WHERE customer_id NOT IN (SELECT c_custkey FROM customer)), count(*), 0 FROM dirty_orders"
+    + ") SELECT issue_type, column_names, hits AS affected_count, round(hits / CAST(total AS DOUBLE), 6) AS affected_ratio FROM found WHERE hits > least * total",
+)
+def _(s, d):
+    config = ScanConfig(
+        detectors=("tail_probability", "excessive_null_rate", "foreign_key_violation"),
+        references=[Reference("customer", table(s, d, "customer"), {"customer_id": "c_custkey"})],
+        sampling="reservoir",
+        sample_ratio=0.2,
+        keys=["order_id"],
+    )
+    found = scan(table(s, d, "dirty_orders"), config).issues
+    return found.select(
+        "issue_type", F.array_join("columns", ",").alias("column_names"), "affected_count", "affected_ratio"
+    )
+
+
 # ---- privacy -----------------------------------------------------------------
 @register(
     "m01_mask_customer",
@@ -791,7 +833,7 @@ def _(s, d):
 @register(
     "s11_formula_warnings",
     "SELECT customer_id, column_name, value_preview FROM (SELECT customer_id, 'phone' AS column_name, 3 AS o, substr(phone, 1, 20) AS value_preview FROM dirty_customer WHERE left(phone, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) "
-    "UNION ALL SELECT customer_id, 'note', 7, substr(note, 1, 20) FROM dirty_customer WHERE left(note, 1) IN ('=', '+', '-', '@', chr(9), chr(13))) ORDER BY customer_id, o LIMIT 100",
+    "UNION ALL SELECT customer_id, 'note', 7, substr(note, 1, 20) FROM dirty_customer WHERE left(note, 1) IN ('=', '+', '-', '@', chr(9), chr(13)))",
 )
 def _(s, d):
     found = query.formula_warnings(table(s, d, "dirty_customer"), ["customer_id"])

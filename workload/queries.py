@@ -187,7 +187,7 @@ def _(s, d):
 @register(
     "d38_cross_field_rows",
     "SELECT 'min_qty <= max_qty' AS expression, order_id, CAST(min_qty AS VARCHAR) AS left_value, "
-    "CAST(max_qty AS VARCHAR) AS right_value FROM dirty_orders WHERE min_qty > max_qty ORDER BY order_id LIMIT 20",
+    "CAST(max_qty AS VARCHAR) AS right_value FROM dirty_orders WHERE min_qty > max_qty",
 )
 def _(s, d):
     return cross.cross_field_rows(table(s, d, "dirty_orders"), ["order_id"])
@@ -303,10 +303,22 @@ def _(s, d):
 
 @register(
     "r01_rule_examples",
-    "SELECT 'positive' AS rule_id, order_id FROM dirty_orders WHERE total_price < 0 ORDER BY order_id LIMIT 5",
+    " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{k}' AS rule_id, order_id FROM dirty_orders WHERE {v} ORDER BY order_id LIMIT 5)"
+        for k, v in _VIOLATION.items()
+    ),
+)
+def _(s, d):
+    found = rules.example_rows(table(s, d, "dirty_orders"), RULES, ["order_id"], limit=5)
+    return found.select("rule_id", F.get_json_object("row", "$.order_id").cast("bigint").alias("order_id"))
+
+
+@register(
+    "r01_rule_violations",
+    " UNION ALL ".join(f"SELECT '{k}' AS rule_id, order_id FROM dirty_orders WHERE {v}" for k, v in _VIOLATION.items()),
 )
 def _(s, d):
-    found = rules.example_rows(table(s, d, "dirty_orders"), RULES[:1], ["order_id"])
+    found = rules.example_rows(table(s, d, "dirty_orders"), RULES, ["order_id"])
     return found.select("rule_id", F.get_json_object("row", "$.order_id").cast("bigint").alias("order_id"))
 
 
