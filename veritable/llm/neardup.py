@@ -11,10 +11,12 @@ order of time, and a text stops asking for more once its registers can only be f
 
 1. Texts with the same words form one class; only one row a class goes on.
 2. Classes that share a band (5 registers of 140, 28 bands) meet in buckets.  A bucket is compared by
-   signatures inside a task, and says only which pairs to verify: first a spanning forest of the best
-   estimates, and when those are verified and joined, every remaining pair between different
-   components whose estimate is not hopeless.  A large bucket is cut into chunks that meet two by
-   two, so none is gathered; a group of near copies shrinks to one component in the first round.
+   signatures inside a task, and says only which pairs to verify, in three rounds with the links found
+   so far joined to components in between: a spanning forest of the best estimates inside each chunk
+   of a bucket; a forest over the components that a bucket still holds, its chunks meeting two by two;
+   and every remaining pair between different components whose estimate is not hopeless.  Chunks are
+   drawn anew in each band, so a group of near copies, however large, is one component after the first
+   round and says no more; large buckets repeat each other, and a seventh of the bands speaks for them there.
 3. Verification is exact: sum of minima over sum of maxima of the shingle counts, at least 0.8.
 
 What remains quadratic is a bucket of many *mutually dissimilar* texts with the same band, and there
@@ -150,15 +152,17 @@ def _rows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, at + ROWS
 
 
-def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
+def bucket_pairs(members: DataFrame, every: bool, inside: bool = False) -> DataFrame:
     """Pairs ``a < b`` to verify, from ``key, node, comp, signature, n`` (rows of the bucket).
 
     Either a spanning forest of the best estimates among members of different components, or every
-    such pair whose estimate is not hopeless.
+    such pair whose estimate is not hopeless; ``inside`` chunks only, or over all pairs of chunks.
     """
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = members.withColumn("chunks", chunks)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+    others = F.array("own") if inside else F.sequence(F.lit(0), F.col("chunks") - 1)
+    rows = rows.withColumn("other", F.explode(others))
     rows = rows.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     tasks = shards(members) * 4
     rows = rows.select("cell", "own", "node", "comp", "signature", F.pmod("cell", F.lit(tasks)).alias("task"))
@@ -326,17 +330,20 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = kept(signed.dropDuplicates(["node"]).select("node", "signature"), "signatures")
     bags_ = kept(material(docs, wanted), "bags")
     members = members.join(signed, "node")
-    alone = members.withColumn("comp", F.col("node"))
-    first = kept(bucket_pairs(alone, every=False), "pairs")
-    links = kept(verified(first, bags_), "links")
+    speak = members.filter((F.col("n") <= CHUNK) | (F.pmod("key", F.lit(7)) == 0))
+    tried = kept(bucket_pairs(speak.withColumn("comp", F.col("node")), every=False, inside=True), "pairs")
+    links = kept(verified(tried, bags_), "links")
     comps = components(links)
-    known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # Buckets that lie within one component have nothing left to say.
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = bucket_pairs(known.join(mixed, "key"), every=True).join(first, ["a", "b"], "left_anti")
-    more = kept(verified(rest, bags_), "links")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    for every in (False, True):
+        known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Buckets that lie within one component have nothing left to say.
+        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        more = kept(bucket_pairs(known.join(mixed, "key"), every).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = kept(verified(more, bags_), "links")
+        tried = tried.unionByName(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = components(links)
     return sketch.select("doc_id", "node"), comps
 
 
