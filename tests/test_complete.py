@@ -128,3 +128,41 @@ def test_each_ratio_has_its_own_base(spark):
     runs = {r["detector_id"]: r["rows_scanned"] for r in result.detector_runs.collect()}
     assert runs["own_full"] == 4000 and runs["excessive_null_rate"] == 500
     result.release()
+
+
+def test_forest_does_not_depend_on_partitioning(spark):
+    from veritable.operators.model_outlier import model_outlier
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3000 == 7, F.col("id") * 1e6).otherwise(F.rand(3) * 0 + F.col("id") % 91).alias("x"))
+    found = [model_outlier(df.repartition(n)).select("affected_count", "evidence").collect() for n in (2, 5)]
+    assert found[0] == found[1] and found[0][0]["affected_count"] >= 10
+
+
+def test_keys_do_not_show_in_plans(spark):
+    from veritable.operators import privacy
+
+    key = "0123456789abcdef"
+    tokens = spark.createDataFrame([("email", "t", "a@b.cd")], "kind string, token string, value string")
+    vault = privacy.encrypt_mapping(tokens, key)
+    assert key not in vault._jdf.queryExecution().toString()
+    assert privacy.decrypt_mapping(vault, key).first()["value"] == "a@b.cd"
+
+
+def test_covered_stretches():
+    import re
+
+    from veritable.operators.privacy import spans
+
+    kinds = {"a": re.compile("ab+"), "b": re.compile("bc"), "c": re.compile("x")}
+    assert spans("abbc xx", kinds) == [(0, 4, "a"), (5, 6, "c"), (6, 7, "c")]
+
+
+def test_a_stored_run_is_replaced(spark, tmp_path):
+    from veritable.operators.history import History
+
+    store = History(spark, str(tmp_path))
+    for value in (1, 2):
+        store.store("issues", spark.createDataFrame([("r", value)], "scan_run_id string, v int"), "r")
+    store.store("issues", spark.createDataFrame([], "scan_run_id string, v int"), "other")
+    assert [r["v"] for r in store.read("issues").collect()] == [2]
+    assert store.read("nothing") is None

@@ -16,6 +16,8 @@ from veritable.operators.checks import one_row
 CELL_SEPARATOR, NULL_CELL = "\x1f", "\x00"
 # ---- end of fixed values ----------------------------------------------------
 
+#: Marks the fingerprint of a sample, which never equals one of the whole content.
+SAMPLED = "sampled:"
 _LANE = 15  # hex digits per lane: 60 bits, so a lane fits a bigint
 
 
@@ -89,7 +91,7 @@ def sampled_fingerprint(
     every row may take part.
     """
     chosen = lane(row_digest(df, cols, seed), 1) < F.lit(int(fraction * 16**_LANE))
-    return content_fingerprint(df.filter(chosen), cols)
+    return SAMPLED + content_fingerprint(df.filter(chosen), cols)
 
 
 def changed_since(df: DataFrame, previous: dict | None, rows: int | None = None) -> dict:
@@ -103,6 +105,8 @@ def changed_since(df: DataFrame, previous: dict | None, rows: int | None = None)
         return {**out, "changed": True, "layer": "none"}
     if statistics != previous["statistics_fingerprint"]:
         return {**out, "changed": True, "layer": "statistics"}
-    content = content_fingerprint(df)
-    changed = content != previous["content_fingerprint"]
+    stored = previous["content_fingerprint"] or ""
+    # A run over a sample stored the fingerprint of a sample.
+    content = sampled_fingerprint(df) if stored.startswith(SAMPLED) else content_fingerprint(df)
+    changed = content != stored
     return {**out, "content_fingerprint": content, "changed": changed, "layer": "content"}

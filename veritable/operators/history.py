@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,7 @@ TABLES = ("scan_runs", "detector_runs", "issues", "profiles")
 
 @dataclass(frozen=True)
 class History:
-    """Append-only Parquet tables under one folder."""
+    """Parquet tables under one folder, a subfolder for each run: storing a run again replaces it."""
 
     spark: SparkSession
     path: str
@@ -27,12 +28,13 @@ class History:
     def _at(self, table: str) -> str:
         return f"{self.path.rstrip('/')}/{table}"
 
-    def append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self._at(table))
+    def store(self, table: str, df: DataFrame, run_id: str) -> None:
+        folder = hashlib.sha256(run_id.encode()).hexdigest()[:24]
+        df.write.mode("overwrite").parquet(f"{self._at(table)}/run-{folder}")
 
     def read(self, table: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self._at(table))
+            return self.spark.read.option("recursiveFileLookup", "true").parquet(self._at(table))
         except Exception as exc:
             if "PATH_NOT_FOUND" in str(exc):
                 return None
@@ -40,12 +42,12 @@ class History:
 
     def save(self, result, profile: DataFrame | None = None) -> None:
         """Store a scan: details first, so that a run is listed only when complete."""
-        self.append("issues", result.issues)
-        self.append("detector_runs", result.detector_runs)
+        run_id = result.scan_run.first()["scan_run_id"]
+        self.store("issues", result.issues, run_id)
+        self.store("detector_runs", result.detector_runs, run_id)
         if profile is not None:
-            run_id = result.scan_run.first()["scan_run_id"]
-            self.append("profiles", profile.withColumn("scan_run_id", F.lit(run_id)))
-        self.append("scan_runs", result.scan_run)
+            self.store("profiles", profile.withColumn("scan_run_id", F.lit(run_id)), run_id)
+        self.store("scan_runs", result.scan_run, run_id)
 
     def latest(self, dataset_id: str) -> dict | None:
         runs = self.read("scan_runs")
@@ -56,19 +58,23 @@ class History:
         return row.asDict() if row else None
 
 
-def incremental_scan(df: DataFrame, history: History, dataset_id: str, **scan_args):
-    """The stored run when neither schema, size nor content changed, else a new scan.
+def incremental_scan(df: DataFrame, history: History, dataset_id: str, config=None, **scan_args):
+    """The stored run when neither schema, size, content nor configuration changed, else a new scan.
 
     Returns (scan_run, issues, reused).
     """
-    from veritable.plans.scan import scan
+    from veritable.plans.scan import ScanConfig, scan
 
+    config = config or ScanConfig()
     before = history.latest(dataset_id)
+    if before is not None and before["config"] != config.describe():
+        before = None
     told = changed_since(df, before)
     if before is not None and not told["changed"]:
         same = F.col("scan_run_id") == before["scan_run_id"]
         return history.read("scan_runs").filter(same), history.read("issues").filter(same), True
-    result = scan(df, dataset_id=dataset_id, **scan_args)
+    known = told["content_fingerprint"]
+    result = scan(df, config, dataset_id=dataset_id, content=known, **scan_args)
     history.save(result)
     return result.scan_run, result.issues, False
 

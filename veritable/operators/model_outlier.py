@@ -99,11 +99,21 @@ def _cells(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).filter(finite)
 
 
-def _pool(df: DataFrame, names: list[str], counts: dict[str, tuple], size: int, seed: int):
-    """A random pool of about ``size`` values per column, whatever their multiplicity."""
+def _pool(df: DataFrame, names: list[str], counts: dict[str, tuple], size: int, seed: int, freq=None):
+    """A pool of about ``size`` values per column, whatever their multiplicity.
+
+    A value seen n times is drawn n * share times, rounded up or down by a hash of the value
+    and the seed: the pool depends on the data alone, not on how they are partitioned.
+    """
     share = [min(1.0, size / max(1, counts[c][2])) for c in names]
-    fraction = F.get(F.array(*[F.lit(s) for s in share]), F.col("no"))
-    return _cells(df, names).filter(F.rand(seed) < fraction)
+    if freq is None:
+        counted = _cells(df, names).groupBy("no", "x").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = _distinct_cells(freq, names)
+    wanted = F.col("n") * F.get(F.array(*[F.lit(s) for s in share]), F.col("no"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "no", "x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.floor(wanted + chance).cast("int")
+    return counted.select("no", F.explode(F.array_repeat("x", drawn)).alias("x"))
 
 
 def _isolation(at: Target, names, counts, trees, contamination, size, seed, freq) -> DataFrame:
@@ -113,7 +123,7 @@ def _isolation(at: Target, names, counts, trees, contamination, size, seed, freq
         return pd.DataFrame({"no": [no], "cuts": [cuts], "scores": [scores]})
 
     grown = (
-        _pool(at.df, names, counts, size, seed)
+        _pool(at.df, names, counts, size, seed, freq)
         .groupBy("no")
         .applyInPandas(grow, "no int, cuts array<double>, scores array<double>")
         .toArrow()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from itertools import chain, zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,21 +37,33 @@ _HITS = "array<struct<kind:string,value:string>>"
 
 
 def spans(text: str, patterns: dict) -> list[tuple[int, int, str]]:
-    """Hits in order; overlapping ones are joined and keep the kind of the first."""
-    hits = sorted((m.start(), m.end(), k) for k, p in patterns.items() for m in p.finditer(text))
-    merged: list[tuple[int, int, str]] = []
-    for start, end, kind in hits:
-        if merged and start < merged[-1][1]:
-            first, last, of = merged[-1]
-            merged[-1] = (first, max(last, end), of)
-        else:
-            merged.append((start, end, kind))
-    return merged
+    """What the hits of all kinds cover, as separate stretches; each is of the kind that opens it.
+
+    Ends and starts are swept in order, ends first, so stretches that only touch stay apart.
+    """
+    marks = []
+    for kind, pattern in patterns.items():
+        for m in pattern.finditer(text):
+            marks += [(m.start(), 1, m.end(), kind), (m.end(), 0, 0, "")]
+    covered, depth, opened = [], 0, (0, "")
+    for at, opens, _, kind in sorted(marks):
+        if opens and not depth:
+            opened = (at, kind)
+        depth += 1 if opens else -1
+        if not depth:
+            covered.append((opened[0], at, opened[1]))
+    return covered
 
 
 def token_number(value: str) -> int:
     """A number that depends only on the value: equal values get equal tokens everywhere."""
-    return int(hashlib.md5(value.encode()).hexdigest(), 16)
+    return int(hashlib.md5(value.encode()).hexdigest()[:30], 16)
+
+
+def token_digits(value: Column) -> Column:
+    """``token_number`` as text, in the JVM: two halves of 60 bits."""
+    high, low = (F.conv(F.substring(F.md5(value), at, 15), 16, 10).cast("decimal(19,0)") for at in (1, 16))
+    return (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)").cast("string")
 
 
 def _compiled() -> dict:
@@ -66,11 +79,11 @@ def _rewrite(replace):
         def one(text):
             if text is None:
                 return None
-            out, at = [], 0
-            for start, end, kind in spans(text, patterns):
-                out += [text[at:start], replace(kind, text[start:end])]
-                at = end
-            return "".join([*out, text[at:]])
+            found = spans(text, patterns)
+            edges = [0, *chain.from_iterable(s[:2] for s in found), len(text)]
+            plain = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+            new = [replace(kind, text[a:b]) for a, b, kind in found]
+            return "".join(map("".join, zip_longest(plain, new, fillvalue="")))
 
         return texts.map(one)
 
@@ -120,7 +133,6 @@ def mapping(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     The hits are combined on the map side, so a value repeated in a third of the
     texts is shuffled once per task.
     """
-    number = F.pandas_udf(lambda s: s.map(lambda v: str(token_number(v))), "string")
     names = string_columns(df, cols)
     none = F.array().cast(_HITS)
     found = F.flatten(F.array(*[F.coalesce(hits(col(n)), none) for n in names]))
@@ -129,7 +141,7 @@ def mapping(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         .groupBy(F.col("h.kind").alias("kind"), F.col("h.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    token = F.concat(F.lit("{{REDACTED:"), "kind", F.lit(":"), number("value"), F.lit("}}"))
+    token = F.concat(F.lit("{{REDACTED:"), "kind", F.lit(":"), token_digits(F.col("value")), F.lit("}}"))
     return grouped.select("kind", token.alias("token"), "value", "occurrences")
 
 
@@ -170,13 +182,19 @@ def pii_summary(tokens: DataFrame) -> DataFrame:
     )
 
 
+def _of_kind(kind: str):
+    return lambda h: h["kind"] == kind
+
+
 def pii_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Hits and affected rows per (column, kind), each kind on its own, in one aggregate."""
+    """Hits and affected rows per (column, kind): the hits that masking replaces."""
     names = string_columns(df, cols)
+    none = F.array().cast(_HITS)
+    kinds = list(PATTERNS)
     aggs, cells = [], []
     for i, n in enumerate(names):
-        for j, (kind, pattern) in enumerate(PATTERNS.items()):
-            count = F.regexp_count(col(n), F.lit(pattern))
+        for j, kind in enumerate(kinds):
+            count = F.size(F.filter(F.col(f"h{i}"), _of_kind(kind)))
             aggs += [
                 F.coalesce(F.sum(count), F.lit(0)).alias(f"h{i}_{j}"),
                 F.count_if(count > 0).alias(f"r{i}_{j}"),
@@ -189,20 +207,27 @@ def pii_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
                     F.col(f"r{i}_{j}").alias("rows"),
                 )
             )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    found = df.select(*[F.coalesce(hits(col(n)), none).alias(f"h{i}") for i, n in enumerate(names)])
+    return found.agg(*aggs).select(F.inline(F.array(*cells)))
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the key as data: a literal would show in plans and event logs."""
+    one = df.sparkSession.createDataFrame([(key,)], "__key string")
+    return df.join(F.broadcast(one), F.lit(True))
 
 
 def encrypt_mapping(tokens: DataFrame, key: str, created_at: Column | None = None) -> DataFrame:
     """The mapping with its originals encrypted (AES-GCM; ``key`` of 16, 24 or 32 bytes)."""
     at = created_at if created_at is not None else F.current_timestamp()
-    return tokens.select(
-        "kind", "token", F.aes_encrypt("value", F.lit(key)).alias("secret"), at.alias("created_at")
+    return _keyed(tokens, key).select(
+        "kind", "token", F.aes_encrypt("value", F.col("__key")).alias("secret"), at.alias("created_at")
     )
 
 
 def decrypt_mapping(vault: DataFrame, key: str) -> DataFrame:
-    return vault.select(
-        "kind", "token", F.aes_decrypt("secret", F.lit(key)).cast("string").alias("value"), "created_at"
+    return _keyed(vault, key).select(
+        "kind", "token", F.aes_decrypt("secret", F.col("__key")).cast("string").alias("value"), "created_at"
     )
 
 

@@ -85,16 +85,22 @@ class ScanConfig:
     def describe(self) -> str:
         shown = {
             "detectors": list(self.detectors) if self.detectors is not None else None,
-            "rules": [r.id for r in self.rules],
-            "references": [r.name for r in self.references],
+            "rules": [repr(r) for r in self.rules],
+            "references": [[r.name, sorted(r.columns.items())] for r in self.references],
             "sampling": self.sampling,
             "sample_size": self.sample_size,
             "sample_ratio": self.sample_ratio,
             "seed": self.seed,
             "as_of": self.as_of,
             "approx": self.approx,
+            "time_column": self.time_column,
+            "strata": list(self.strata or ()),
+            "keys": list(self.keys or ()),
+            "criticality": str(self.criticality),
+            "detector_params": {k: dict(v) for k, v in self.detector_params.items()},
+            "fingerprint": self.fingerprint,
         }
-        return json.dumps(shown, sort_keys=True)
+        return json.dumps(shown, sort_keys=True, default=str)
 
 
 @dataclass
@@ -376,8 +382,12 @@ def scan(
     source_path: str | None = None,
     registry: Registry | None = None,
     scan_run_id: str | None = None,
+    content: str | None = None,
 ) -> ScanResult:
-    """Detect, apply rules, fuse, score, summarise."""
+    """Detect, apply rules, fuse, score, summarise.
+
+    ``content`` is the table's content fingerprint where the caller knows it already.
+    """
     config = config or ScanConfig()
     registry = registry or default_registry()
     spark, started = df.sparkSession, dt.datetime.now(dt.timezone.utc)
@@ -440,13 +450,13 @@ def scan(
 
     # Candidates are few: per column and detector, plus reported buckets and groups.
     with ThreadPoolExecutor(1) as pool:
-        hashed = pool.submit(_fingerprint, flat, config, sampled)
+        hashed = pool.submit(lambda: _fingerprint(flat, config, sampled) if sampled or content is None else content)
         # A ratio is taken over the rows that its own detector saw.
         seen = [
             p.collect_parts().withColumn("rows_examined", F.lit(n).cast("bigint"))
             for p, n in ((work, work.rows), (full, rows))
         ]
-        content = hashed.result()
+        fingerprint = hashed.result()
     candidates = seen[0].unionByName(seen[1])
     issues = score(fuse(candidates, run_id, work.rows), config.criticality)
     candidates = candidates.drop("rows_examined")
@@ -484,7 +494,7 @@ def scan(
         work.rows,
         schema_hash(df),
         statistics_fingerprint(df, rows),
-        content,
+        fingerprint,
         signature(df),
         None,
         None,

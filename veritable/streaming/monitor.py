@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
 
 from veritable.functions.columns import col
 from veritable.operators.completeness import BUCKET_ROWS, MIN_GAP, MIN_RATIO
@@ -38,8 +38,8 @@ def scan_stream(
 ) -> StreamingQuery:
     """Every micro-batch goes through the full scan and into the history.
 
-    The run id names the batch; a batch replayed after a failure is recognised and
-    not stored twice.
+    The run id names the batch.  A stored batch is recognised; one that failed half-way is stored
+    again over what it left.
     """
     spark = stream.sparkSession
 
@@ -124,27 +124,32 @@ def null_rates(
     )
 
 
-def run_null_rates(rates: DataFrame, checkpoint: str | None = None) -> DataFrame:
+def run_null_rates(rates: DataFrame, checkpoint: str | None = None, output: str | None = None) -> DataFrame:
     """Drain the available input and return the windows as a table.
 
     Each batch replaces the windows it updated: it is written under its own batch
     number and the latest state of a window wins, so a replayed batch changes nothing.
+    Windows live beside the checkpoint (or in ``output``), so a restart goes on with them.
     """
     spark = rates.sparkSession
-    out = scratch_path(spark, "null-rates")
+    checkpoint = checkpoint or scratch_path(spark, "stream")
+    out = output or f"{checkpoint.rstrip('/')}-windows"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
 
+    # There is a table to read even before the first batch.
+    schema = StructType([*rates.schema.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/none")
     query = (
         rates.writeStream.outputMode("update")
         .foreachBatch(store)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    written = spark.read.parquet(out)
+    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
     values = F.struct(*[c for c in rates.columns if c not in ("window_start", "column")])
     latest = written.groupBy("window_start", "column").agg(F.max_by(values, "batch").alias("v"))
     return latest.select("window_start", "column", "v.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from veritable.operators import fingerprint, history, privacy, repair, sampling
@@ -77,7 +79,7 @@ def _(s, d):
 
 @register(
     "h04_sampled_fingerprint",
-    f"SELECT sha256(sha256('{_ORDERS_SIGNATURE}') || '|' || CAST(rows AS VARCHAR) || '|' || lane_a || '|' || lane_b) AS fingerprint FROM "
+    f"SELECT 'sampled:' || sha256(sha256('{_ORDERS_SIGNATURE}') || '|' || CAST(rows AS VARCHAR) || '|' || lane_a || '|' || lane_b) AS fingerprint FROM "
     f"({_sums(f'CAST((chr(48) || chr(120) || substr(draw, 1, 15)) AS BIGINT) < {int(0.25 * 16**15)}')})",
 )
 def _(s, d):
@@ -85,10 +87,25 @@ def _(s, d):
     return s.createDataFrame([(found,)], "fingerprint string")
 
 
+_EDITED = "SELECT * REPLACE (CASE WHEN o_orderkey = 5 THEN '?' ELSE o_orderstatus END AS o_orderstatus) FROM orders"
+
+
+def _differ(a, b):
+    return f"EXISTS (({a}) EXCEPT ALL ({b})) OR EXISTS (({b}) EXCEPT ALL ({a}))"
+
+
 @register(
     "h05_change_check",
-    "SELECT * FROM (VALUES ('first', true, 'none'), ('same', false, 'content'), ('shuffled', false, 'content'), "
-    "('edited', true, 'content'), ('fewer columns', true, 'statistics')) t(version, changed, layer)",
+    "SELECT 'first' AS version, true AS changed, 'none' AS layer "
+    + "".join(
+        f"UNION ALL SELECT '{name}', {_differ(sql, 'SELECT * FROM orders')}, 'content' "
+        for name, sql in (
+            ("same", "SELECT * FROM orders"),
+            ("shuffled", "SELECT * FROM orders ORDER BY o_custkey"),
+            ("edited", _EDITED),
+        )
+    )
+    + "UNION ALL SELECT 'fewer columns', (SELECT count(*) FROM (DESCRIBE orders)) > 5, 'statistics'",
 )
 def _(s, d):
     df = table(s, d, "orders")
@@ -116,15 +133,20 @@ def _(s, d):
 
 @register(
     "h06_incremental_scan",
-    "SELECT * FROM (VALUES (1, false), (2, true), (3, false)) t(attempt, reused)",
+    "SELECT 1 AS attempt, false AS reused UNION ALL "
+    f"SELECT 2, NOT ({_differ('SELECT * FROM clean_orders', 'SELECT * FROM clean_orders')}) UNION ALL "
+    f"SELECT 3, NOT ({_differ('SELECT * FROM clean_orders', 'SELECT * FROM dirty_orders')}) UNION ALL SELECT 4, false UNION ALL SELECT 5, true",
 )
 def _(s, d):
     store = history.History(s, scratch_path(s, "history"))
     plain, dirty = table(s, d, "clean_orders"), table(s, d, "dirty_orders")
     config = ScanConfig(detectors=("excessive_null_rate", "tail_probability"))
+    # The same table under other rules is scanned again.
+    ruled = replace(config, rules=[Rule("positive", Condition("total_price", "gte", 0))])
+    attempts = ((plain, config), (plain, config), (dirty, config), (dirty, ruled), (dirty, ruled))
     rows = []
-    for attempt, df in enumerate((plain, plain, dirty), start=1):
-        rows.append((attempt, history.incremental_scan(df, store, "orders", config=config)[2]))
+    for attempt, (df, how) in enumerate(attempts, start=1):
+        rows.append((attempt, history.incremental_scan(df, store, "orders", config=how)[2]))
     return s.createDataFrame(rows, "attempt int, reused boolean")
 
 
@@ -143,8 +165,9 @@ def _run(s, d, name):
 
 @register(
     "h07_schema_drift",
-    "SELECT * FROM (VALUES ('added', 'max_qty', NULL, 'int'), ('removed', 'o_custkey', 'bigint', NULL), "
-    "('dtype_changed', 'o_orderkey', 'bigint', 'string')) t(change_type, column_name, before, after)",
+    "SELECT 'added' AS change_type, 'max_qty' AS column_name, NULL AS before, 'int' AS after FROM (DESCRIBE orders) HAVING count(*) FILTER (WHERE column_name = 'max_qty') = 0 "
+    "UNION ALL SELECT 'removed', column_name, lower(column_type), NULL FROM (DESCRIBE orders) WHERE column_name = 'o_custkey' "
+    "UNION ALL SELECT 'dtype_changed', column_name, lower(column_type), 'string' FROM (DESCRIBE orders) WHERE column_name = 'o_orderkey' AND column_type <> 'VARCHAR'",
 )
 def _(s, d):
     before = table(s, d, "orders")
@@ -451,9 +474,23 @@ def _(s, d):
     return _cells(found, "old_value", "new_value")
 
 
+def _x_found(t):
+    return " UNION ALL ".join(f(t) for f in (O.d13, O.d02, O.d32, O.d33, O.d26, O.d29))
+
+
+COLUMNS["fixed_orders"] = COLUMNS["dirty_orders"]
+_X_TYPES = {t: f"SELECT DISTINCT issue_type AS k FROM ({fused_oracle(_x_found(t), t)})" for t in ("dirty_orders", "fixed_orders")}
+
+
+def _named(keep):
+    return f"coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM ({keep})), '')"
+
+
 @register(
     "x12_verify",
-    "SELECT CAST('datetime_anomaly,missingness,string_format' AS VARCHAR) AS fixed_types, 'numeric_outlier' AS persistent_types, '' AS new_types, true AS passed",
+    f"WITH fixed_orders AS ({_FIXED}), a AS ({_X_TYPES['dirty_orders']}), b AS ({_X_TYPES['fixed_orders']}) "
+    f"SELECT {_named('SELECT k FROM a EXCEPT SELECT k FROM b')} AS fixed_types, {_named('SELECT k FROM a INTERSECT SELECT k FROM b')} AS persistent_types, "
+    f"{_named('SELECT k FROM b EXCEPT SELECT k FROM a')} AS new_types, NOT EXISTS (SELECT k FROM b EXCEPT SELECT k FROM a) AS passed",
 )
 def _(s, d):
     df = table(s, d, "dirty_orders")
@@ -466,8 +503,11 @@ def _(s, d):
 
 @register(
     "x13_suggestions",
-    "SELECT * FROM (VALUES ('priority', CAST(1 AS INTEGER), 'trim_whitespace', 'low'), ('priority', 1, 'replace_missing_token', 'medium'), "
-    "('order_date', 1, 'set_null', 'medium'), ('total_price', 1, 'clip_value', 'medium'), ('customer_id', 1, 'clip_value', 'medium')) t(column_names, rank, operation, risk)",
+    f"WITH told(detector_id, pos, family, operation, risk) AS (VALUES ('suspicious_missing_token', 1, 'missingness', 'replace_missing_token', 'medium'), "
+    f"('leading_or_trailing_whitespace', 2, 'string_format', 'trim_whitespace', 'low'), ('iqr_outlier', 3, 'numeric_outlier', 'clip_value', 'medium'), "
+    f"('invalid_date', 4, 'datetime_anomaly', 'set_null', 'medium'), ('impossible_date', 5, 'datetime_anomaly', 'set_null', 'medium')), "
+    f"found AS (SELECT column_names, family, operation, risk, min(pos) AS pos FROM ({_x_found('dirty_orders')}) JOIN told USING (detector_id) GROUP BY ALL) "
+    f"SELECT column_names, CAST(row_number() OVER (PARTITION BY column_names, family ORDER BY pos) AS INTEGER) AS rank, operation, risk FROM found",
 )
 def _(s, d):
     found = repair.suggestions(_x_issues(s, d))
@@ -617,6 +657,8 @@ def _(s, d):
 _HITS = {
     "email": r"len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))",
     "cn_phone": r"len(list_filter(regexp_extract_all(text, '\d+'), lambda x: regexp_full_match(x, '1[3-9]\d{9}')))",
+    "cn_id": r"len(list_filter(regexp_extract_all(text, '\d+[Xx]?'), lambda x: regexp_full_match(x, '(\d{15}|\d{18})[Xx]?|\d{17}[Xx]')))",
+    "ipv4": r"len(list_filter(regexp_extract_all(text, '\d[\d.]*'), lambda x: regexp_full_match(x, '(\d{1,3}\.){3}\d{1,3}\.?')))",
     "url": r"len(regexp_extract_all(text, '(?i)https?://[^\s""''<>]+'))".replace('""', '"'),
 }
 
@@ -630,7 +672,7 @@ _HITS = {
 )
 def _(s, d):
     found = privacy.pii_by_column(table(s, d, "documents"), ["text"])
-    return found.filter(F.col("kind").isin(*_HITS)).withColumnRenamed("column", "column_name")
+    return found.withColumnRenamed("column", "column_name")
 
 
 @register(
@@ -868,15 +910,24 @@ def _event_stream(s, d):
     return s.sql(DIRTY_EVENTS, events=stream)
 
 
+_Z_ISSUES = fused_oracle(f"{O.d01('dirty_events')} UNION ALL {O.d03('dirty_events')}", "dirty_events")
+
+
 @register(
     "z01_micro_batch_scan",
-    "SELECT 'events-batch-0' AS scan_run_id, 'completed' AS status, count(*) AS row_count FROM dirty_events",
+    "SELECT 'events-batch-0' AS scan_run_id, issue_type, column_names, affected_count, affected_ratio, "
+    f"(SELECT count(*) FROM dirty_events) AS row_count FROM ({_Z_ISSUES})",
 )
 def _(s, d):
     store = history.History(s, scratch_path(s, "history"))
     config = ScanConfig(detectors=("excessive_null_rate", "sudden_missingness"), fingerprint=False)
-    monitor.scan_stream(_event_stream(s, d), store, "events", config).awaitTermination()
-    return store.read("scan_runs").select("scan_run_id", "status", "row_count")
+    # The second stream has a checkpoint of its own: it replays the batch into the same history.
+    for _ in range(2):
+        monitor.scan_stream(_event_stream(s, d), store, "events", config).awaitTermination()
+    issues = store.read("issues").join(store.read("scan_runs").select("scan_run_id", "row_count"), "scan_run_id")
+    return issues.select(
+        "scan_run_id", "issue_type", F.array_join("columns", ",").alias("column_names"), "affected_count", "affected_ratio", "row_count"
+    )
 
 
 @register(
@@ -886,7 +937,10 @@ def _(s, d):
 )
 def _(s, d):
     rates = monitor.null_rates(_event_stream(s, d), "event_time", ["value"], {"value": 0.05})
-    found = monitor.run_null_rates(rates)
+    checkpoint = scratch_path(s, "stream")
+    monitor.run_null_rates(rates, checkpoint)
+    # A restart finds nothing new and still tells all windows.
+    found = monitor.run_null_rates(rates, checkpoint)
     return found.select("window_start", F.col("column").alias("column_name"), "rows", "nulls", "alert")
 
 
