@@ -13,8 +13,8 @@ order of time, and a text stops asking for more once its registers can only be f
 2. Classes that share a band (5 registers of 140, 28 bands) meet in buckets.  A bucket is compared by
    signatures inside a task, and says only which pairs to verify, in three rounds with the links found
    so far joined to components in between: a spanning forest of the best estimates inside each chunk
-   of a bucket; a forest over the components that a bucket still holds, its chunks meeting two by two;
-   and every remaining pair between different components whose estimate is not hopeless.  Chunks are
+   of a bucket; a forest over the components that a bucket still holds, the largest meeting the
+   others chunk by chunk; and every remaining pair between different components whose estimate is not hopeless.  Chunks are
    drawn anew in each band, so a group of near copies, however large, is one component after the first
    round and says no more; large buckets repeat each other, and a seventh of the bands speaks for them there.
 3. Verification is exact: sum of minima over sum of maxima of the shingle counts, at least 0.8.
@@ -153,16 +153,23 @@ def _rows(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_pairs(members: DataFrame, every: bool, inside: bool = False) -> DataFrame:
-    """Pairs ``a < b`` to verify, from ``key, node, comp, signature, n`` (rows of the bucket).
+    """Pairs ``a < b`` to verify, from ``key, node, comp, signature``.
 
     Either a spanning forest of the best estimates among members of different components, or every
-    such pair whose estimate is not hopeless; ``inside`` chunks only, or over all pairs of chunks.
+    such pair whose estimate is not hopeless.  ``inside`` compares the chunks of a bucket of ``n``
+    rows each in itself.  Otherwise members of a bucket's ``main`` component (``n_main`` rows) meet the
+    ``n_rest`` others and these each other, chunk by chunk: what is in one component is not compared.
     """
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = members.withColumn("chunks", chunks)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
-    others = F.array("own") if inside else F.sequence(F.lit(0), F.col("chunks") - 1)
-    rows = rows.withColumn("other", F.explode(others))
+    draw = F.xxhash64("node", "key")
+    if inside:
+        own = F.pmod(draw, F.ceil(F.col("n") / CHUNK)).cast("int")
+        rows = members.withColumn("own", own).withColumn("other", F.col("own"))
+    else:
+        main, rest = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("n_main", "n_rest"))
+        in_main = F.col("comp") == F.col("main")
+        own = F.when(in_main, F.pmod(draw, main)).otherwise(main + F.pmod(draw, rest)).cast("int")
+        others = F.sequence(F.when(in_main, main).otherwise(0), main + rest - 1)
+        rows = members.withColumn("own", own).withColumn("other", F.explode(others))
     rows = rows.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     tasks = shards(members) * 4
     rows = rows.select("cell", "own", "node", "comp", "signature", F.pmod("cell", F.lit(tasks)).alias("task"))
@@ -337,7 +344,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for every in (False, True):
         known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # Buckets that lie within one component have nothing left to say.
-        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+        mixed = (
+            sizes.groupBy("key")
+            .agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("all"))
+            .filter("n_main < all")
+            .select("key", "main", "n_main", (F.col("all") - F.col("n_main")).alias("n_rest"))
+        )
         more = kept(bucket_pairs(known.join(mixed, "key"), every).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = kept(verified(more, bags_), "links")
         tried = tried.unionByName(more)
