@@ -14,7 +14,8 @@ order of time, and a text stops asking for more once its registers can only be f
    signatures inside a task, and says only which pairs to verify, in three rounds with the links found
    so far joined to components in between: a spanning forest of the best estimates inside each chunk
    of a bucket; a forest over the components that a bucket still holds, the largest meeting the
-   others chunk by chunk; and every remaining pair between different components whose estimate is not hopeless.  Chunks are
+   others chunk by chunk; and every remaining pair
+   between different components whose estimate is not hopeless, verified on the spot.  Chunks are
    drawn anew in each band, so a group of near copies, however large, is one component after the first
    round and says no more; large buckets repeat each other, and a seventh of the bands speaks for them there.
 3. Verification is exact: sum of minima over sum of maxima of the shingle counts, at least 0.8.
@@ -152,11 +153,13 @@ def _rows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, at + ROWS
 
 
-def bucket_pairs(members: DataFrame, every: bool, inside: bool = False) -> DataFrame:
-    """Pairs ``a < b`` to verify, from ``key, node, comp, signature``.
+def bucket_pairs(members: DataFrame, bags: DataFrame | None = None, inside: bool = False) -> DataFrame:
+    """Pairs ``a < b`` of a bucket's members (``key, band, node, comp, signature``).
 
-    Either a spanning forest of the best estimates among members of different components, or every
-    such pair whose estimate is not hopeless.  ``inside`` compares the chunks of a bucket of ``n``
+    Without ``bags``, pairs to verify: a spanning forest of the best estimates among members of
+    different components.  With ``bags``, links: every pair between different components whose estimate
+    is not hopeless is verified right there, in the first band that the two share, so that what leaves a
+    task is what joins two components, never the pairs that were looked at.  ``inside`` compares the chunks of a bucket of ``n``
     rows each in itself.  Otherwise members of a bucket's ``main`` component (``n_main`` rows) meet the
     ``n_rest`` others and these each other, chunk by chunk: what is in one component is not compared.
     """
@@ -172,7 +175,10 @@ def bucket_pairs(members: DataFrame, every: bool, inside: bool = False) -> DataF
         rows = members.withColumn("own", own).withColumn("other", F.explode(others))
     rows = rows.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     tasks = shards(members) * 4
-    rows = rows.select("cell", "own", "node", "comp", "signature", F.pmod("cell", F.lit(tasks)).alias("task"))
+    rows = rows.select("cell", "band", "own", "node", "comp", "signature", F.pmod("cell", F.lit(tasks)).alias("task"))
+    verify = bags is not None
+    if verify:
+        rows = rows.join(bags, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -185,10 +191,13 @@ def bucket_pairs(members: DataFrame, every: bool, inside: bool = False) -> DataF
             own = table.column("own").to_numpy()
             flat = b"".join(table.column("signature").to_pylist())
             signature = np.frombuffer(flat, "<u2").reshape(-1, M)
+            band = table.column("band").to_numpy()
+            bag = table.column("bag") if verify else None
             out = []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo > 1:
-                    out.append(_compare(node[lo:hi], comp[lo:hi], own[lo:hi], signature[lo:hi], every))
+                    held = None if bag is None else [np.frombuffer(x, "<u4") for x in bag.slice(lo, hi - lo).to_pylist()]
+                    out.append(_compare(node[lo:hi], comp[lo:hi], own[lo:hi], signature[lo:hi], int(band[lo]), held))
             a, b = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -220,7 +229,8 @@ def _run_length(cells: np.ndarray) -> int:
     return len(cells) - (int(other[-1]) + 1 if len(other) else 0)
 
 
-def _compare(node, comp, own, signature, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def _compare(node, comp, own, signature, band: int, bags) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest over the components of one cell, best estimates first; with bags, of verified pairs."""
     n = len(node)
     across = own[0] != own[-1] or len(np.unique(own)) > 1
     found_a, found_b, found_s = [], [], []
@@ -232,8 +242,12 @@ def _compare(node, comp, own, signature, every: bool) -> tuple[np.ndarray, np.nd
         use = np.flatnonzero(other) + i + 1
         if not len(use):
             continue
-        share = (signature[use] == signature[i]).sum(1)
+        same = signature[use] == signature[i]
+        share = same.sum(1)
         good = share >= HOPELESS * M
+        if bags is not None:
+            # A pair is looked at in the first band that it shares.
+            good &= ~same[:, : band * ROWS].reshape(len(use), band, ROWS).all(2).any(1)
         use, share = use[good], share[good]
         found_a.append(np.full(len(use), i))
         found_b.append(use)
@@ -241,23 +255,22 @@ def _compare(node, comp, own, signature, every: bool) -> tuple[np.ndarray, np.nd
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, s = (np.concatenate(x) for x in (found_a, found_b, found_s))
-    if not every:
-        parent = {c: c for c in comp.tolist()}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        keep = []
-        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        for e in np.lexsort((high, low, -s)):
-            x, y = root(int(comp[a[e]])), root(int(comp[b[e]]))
-            if x != y:
-                parent[x] = y
-                keep.append(e)
-        a, b = a[keep], b[keep]
+    parent = {c: c for c in comp.tolist()}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    keep = []
+    low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    for e in np.lexsort((high, low, -s)):
+        x, y = root(int(comp[a[e]])), root(int(comp[b[e]]))
+        if x != y and (bags is None or overlap(bags[a[e]], bags[b[e]]) >= LEAST):
+            parent[x] = y
+            keep.append(e)
+    a, b = a[keep], b[keep]
     x, y = node[a], node[b]
     return np.minimum(x, y), np.maximum(x, y)
 
@@ -328,7 +341,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Copies have the same bands and signature: any one row of a class will do.
     one = sketch.select("node", "doc_id", "bands").join(classes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    keyed = one.select("node", F.explode("bands").alias("key"))
+    keyed = one.select("node", F.posexplode("bands").alias("band", "key"))
     shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = kept(keyed.join(shared_keys, "key"), "buckets")
     wanted = kept(members.select("node").distinct().join(classes, "node"), "wanted")
@@ -338,10 +351,10 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bags_ = kept(material(docs, wanted), "bags")
     members = members.join(signed, "node")
     speak = members.filter((F.col("n") <= CHUNK) | (F.pmod("key", F.lit(7)) == 0))
-    tried = kept(bucket_pairs(speak.withColumn("comp", F.col("node")), every=False, inside=True), "pairs")
-    links = kept(verified(tried, bags_), "links")
+    tried = kept(bucket_pairs(speak.withColumn("comp", F.col("node")), inside=True), "pairs")
+    links = kept(verified(tried, bags_).select("a", "b"), "links")
     comps = components(links)
-    for every in (False, True):
+    for last in (False, True):
         known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # Buckets that lie within one component have nothing left to say.
         sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -351,9 +364,12 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .filter("n_main < all")
             .select("key", "main", "n_main", (F.col("all") - F.col("n_main")).alias("n_rest"))
         )
-        more = kept(bucket_pairs(known.join(mixed, "key"), every).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = kept(verified(more, bags_), "links")
-        tried = tried.unionByName(more)
+        apart = known.join(mixed, "key")
+        if last:
+            found = bucket_pairs(apart, bags_)
+        else:
+            found = verified(bucket_pairs(apart).join(tried, ["a", "b"], "left_anti"), bags_).select("a", "b")
+        found = kept(found, "links")
         if not found.isEmpty():
             links = links.unionByName(found)
             comps = components(links)
