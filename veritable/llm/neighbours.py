@@ -3,9 +3,9 @@
 Each vector, divided by its length, is turned by a fixed random rotation and kept as the signs of its
 components, one packed bit each, with one correction scalar: the inner product of the turned unit vector and
 its code.  For a query, the inner product with the code divided by that scalar is an unbiased estimate
-of the cosine, and the scalar also bounds the estimate's error.  A task takes the k best lower bounds
-seen so far for each query; vectors whose upper bound falls below cannot be among the k nearest and are
-skipped, the others are reranked by the exact cosine of the original vectors.
+of the cosine, and the scalar also bounds the estimate's error.  A task reranks the best estimates of each
+query by the exact cosine of the original vectors; the k best seen so far are then the bar, and of the other
+vectors those whose upper bound falls below it are skipped and the rest reranked too.
 
 Nothing is sampled: the rotation is drawn from a seed, every valid row is in the index.  Queries go to
 the tasks in blocks of ``QUERY_BLOCK``; each block is compared with all rows, and each task returns its
@@ -87,14 +87,19 @@ def build_index(rows: DataFrame, seed: int = 17) -> DataFrame:
     return rows.mapInArrow(run, INDEX)
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, summed in one fixed order: equal vectors get equal cosines wherever they lie."""
-    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
-    for j in range(a.shape[1]):
-        dot += a[:, j] * b[:, j]
-        aa += a[:, j] * a[:, j]
-        bb += b[:, j] * b[:, j]
-    return dot / np.sqrt(aa * bb)
+class Exact:
+    """Exact cosines of some pairs, summed in one fixed order: equal vectors get equal cosines wherever they lie."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        # One row a component, so that picking pairs reads neighbouring memory.
+        self.a, self.b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+        self.aa, self.bb = (sum((x * x for x in side[1:]), side[0] * side[0]) for side in (self.a, self.b))
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        dot = np.zeros(len(i))
+        for x, y in zip(self.a, self.b):
+            dot += x[i] * y[j]
+        return dot / np.sqrt(self.aa[i] * self.bb[j])
 
 
 class Best:
@@ -136,20 +141,28 @@ def compare(index_rows: tuple, queries: tuple, best: Best, turn: np.ndarray, wid
     signs = np.unpackbits(code, axis=1, count=d).astype(np.float64) * 2 - 1
     # Error of the estimate: what of the vector its code misses, over the code's share.
     error = width * np.sqrt(np.maximum(1 - scalar**2, 0)) / scalar / np.sqrt(max(d - 1, 1))
+    exact = Exact(q, x)
     for lo in range(0, len(qid), QUERY_STEP):
         part = slice(lo, lo + QUERY_STEP)
         guess = (unit[part] @ signs.T) / np.sqrt(d) / scalar
         same = qid[part][:, None] == ids
-        floor = np.where(same, -np.inf, guess - error)
+        guess[same] = -np.inf
         k = best.k
-        bar = best.score[part, k - 1]
-        if len(ids) >= k:
-            bar = np.maximum(bar, np.partition(floor, len(ids) - k, axis=1)[:, len(ids) - k])
-        row, col = np.nonzero((guess + error >= bar[:, None]) & ~same)
+        # The best estimates are reranked first: their exact cosines are the bar for all others.
+        ahead = min(2 * k, len(ids))
+        first = np.argpartition(guess, len(ids) - ahead, axis=1)[:, len(ids) - ahead :]
+        row, col = np.repeat(np.arange(len(guess)), ahead), first.reshape(-1)
+        row, col = row[guess[row, col] > -np.inf], col[guess[row, col] > -np.inf]
+        best.add(row + lo, ids[col], exact.of(row + lo, col))
+        guess[row, col] = -np.inf
+        row, col = np.nonzero(guess + error >= best.score[part, k - 1][:, None])
+        row, col = row[guess[row, col] > -np.inf], col[guess[row, col] > -np.inf]
         for a in range(0, len(row), 200_000):
             r, c = row[a : a + 200_000], col[a : a + 200_000]
-            if len(r):
-                best.add(r + lo, ids[c], cosines(q[r + lo], x[c]))
+            score = exact.of(r + lo, c)
+            good = score >= best.score[r + lo, k - 1]
+            if good.any():
+                best.add(r[good] + lo, ids[c][good], score[good])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, seed: int = 17, width: float = WIDTH) -> DataFrame:
