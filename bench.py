@@ -31,7 +31,7 @@ def main() -> None:
     lineitem = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
     sampled = ScanConfig(
         sampling="reservoir",
-        sample_size=100_000,
+        sample_size=200_000,
         keys=["l_orderkey", "l_linenumber", "l_partkey"],
     )
 

@@ -57,41 +57,59 @@ def lane(digest: Column, start: int) -> Column:
     return F.conv(F.substring(digest, start, _LANE), 16, 10).cast("bigint")
 
 
-def content_sums(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def row_hash(df: DataFrame, cols: Sequence[str] | None = None, seed: object = None) -> Column:
+    """64 bits of a row's cells; a NULL counts as a cell of its own, which the hash alone would skip."""
+    parts = [F.lit(str(seed))]
+    for name in cols or df.columns:
+        kind = df.schema[name].dataType.simpleString()
+        # Maps cannot be hashed.
+        cell = F.to_json(F.struct(col(name))) if "map<" in kind or "variant" in kind else col(name)
+        parts += [cell, col(name).isNull()]
+    return F.xxhash64(*parts)
+
+
+def content_sums(df: DataFrame, cols: Sequence[str] | None = None, text: bool = True) -> DataFrame:
     """One row: row count and the sums of two hash lanes over all rows.
 
     Addition makes it independent of row order and partitioning, needs no sort,
-    and, unlike XOR, does not cancel repeated rows.
+    and, unlike XOR, does not cancel repeated rows.  ``text`` hashes the cells as text, which
+    other engines can repeat; without it the cells are hashed as they are, many times faster.
     """
-    digest = df.select(row_digest(df, cols).alias("digest"))
-    return digest.agg(
+    if text:
+        rows = df.select(row_digest(df, cols).alias("digest"))
+        lanes = [lane(F.col("digest"), at) for at in (1, 1 + _LANE)]
+    else:
+        rows = df.select(*[row_hash(df, cols, seed).alias(seed) for seed in ("a", "b")])
+        lanes = [F.col("a"), F.col("b")]
+    return rows.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
-            F.coalesce(F.sum(lane(F.col("digest"), at).cast("decimal(38,0)")), F.lit(0))
-            .cast("string")
-            .alias(name)
-            for name, at in (("lane_a", 1), ("lane_b", 1 + _LANE))
+            F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0)).cast("string").alias(name)
+            for name, x in zip(("lane_a", "lane_b"), lanes)
         ],
     )
 
 
-def content_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> str:
+def content_fingerprint(df: DataFrame, cols: Sequence[str] | None = None, text: bool = False) -> str:
     """Hash of all rows as a multiset, with schema hash and row count."""
-    row = one_row(content_sums(df, cols))
+    row = one_row(content_sums(df, cols, text))
     text = f"{schema_hash(df)}|{row['rows']}|{row['lane_a']}|{row['lane_b']}"
     return hashlib.sha256(text.encode()).hexdigest()
 
 
 def sampled_fingerprint(
-    df: DataFrame, fraction: float = 0.01, cols: Sequence[str] | None = None, seed: int = 42
+    df: DataFrame, fraction: float = 0.01, cols: Sequence[str] | None = None, seed: int = 42, text: bool = False
 ) -> str:
     """Content fingerprint of the rows whose hash falls below a threshold.
 
     Which rows take part depends on their content only, so it is repeatable, and
     every row may take part.
     """
-    chosen = lane(row_digest(df, cols, seed), 1) < F.lit(int(fraction * 16**_LANE))
-    return SAMPLED + content_fingerprint(df.filter(chosen), cols)
+    if text:
+        chosen = lane(row_digest(df, cols, seed), 1) < F.lit(int(fraction * 16**_LANE))
+    else:
+        chosen = F.pmod(row_hash(df, cols, seed), F.lit(1 << 40)) < F.lit(int(fraction * (1 << 40)))
+    return SAMPLED + content_fingerprint(df.filter(chosen), cols, text)
 
 
 def changed_since(df: DataFrame, previous: dict | None, rows: int | None = None) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from dataclasses import dataclass
 
@@ -15,7 +16,20 @@ ROW_DRIFT, SCORE_DRIFT = 0.20, 5.0
 TREND_STEP = 0.5
 # ---- end of fixed values ----------------------------------------------------
 
-TABLES = ("scan_runs", "detector_runs", "issues", "profiles")
+TABLES = ("scan_runs", "detector_runs", "issues", "profiles", "rule_results", "repair_proposals", "repair_runs")
+
+
+_REPAIR_FILES = ("rollback_artifact", "output_path", "restored_path", "fingerprint_before", "fingerprint_after")
+_REPAIR_RUN = (
+    "repair_id string, dataset_id string, status string, columns array<string>, operations array<string>, "
+    "created_at timestamp, " + ", ".join(f"{c} string" for c in _REPAIR_FILES)
+)
+
+
+def _stamped(df: DataFrame, run_id: str, dataset_id: str) -> DataFrame:
+    return df.withColumns(
+        {"run_id": F.lit(run_id), "dataset_id": F.lit(dataset_id), "stored_at": F.lit(dt.datetime.now(dt.timezone.utc))}
+    )
 
 
 @dataclass(frozen=True)
@@ -49,6 +63,28 @@ class History:
             self.store("profiles", profile.withColumn("scan_run_id", F.lit(run_id)), run_id)
         self.store("scan_runs", result.scan_run, run_id)
 
+    def save_rules(self, run_id: str, dataset_id: str, results: DataFrame) -> None:
+        """Store a rule pre-run (``rules.preflight`` or ``rules.approve``) under an id of its own."""
+        self.store("rule_results", _stamped(results, run_id, dataset_id), run_id)
+
+    def save_repair(self, repair_id: str, dataset_id: str, run: dict, repairs, proposals: DataFrame | None = None) -> None:
+        """Store a repair run (``repair.write_repair`` or ``repair.rollback``) and what was proposed for it.
+
+        Storing it again, as after a rollback, replaces it.
+        """
+        if proposals is not None:
+            self.store("repair_proposals", _stamped(proposals, repair_id, dataset_id), repair_id)
+        row = (
+            repair_id,
+            dataset_id,
+            run["status"],
+            sorted({c for r in repairs for c in r.columns}),
+            list(dict.fromkeys(r.operation for r in repairs)),
+            dt.datetime.now(dt.timezone.utc),
+            *(run.get(k) for k in _REPAIR_FILES),
+        )
+        self.store("repair_runs", self.spark.createDataFrame([row], _REPAIR_RUN), repair_id)
+
     def latest(self, dataset_id: str) -> dict | None:
         runs = self.read("scan_runs")
         if runs is None:

@@ -56,21 +56,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+SMALL_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's size; very large where it knows nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame, cache: bool | None = None) -> tuple[DataFrame, bool]:
     """``df`` ready for several passes, and whether it is now held in memory.
 
-    A small input is cut finer and kept: its few file splits would leave most cores
-    idle in every pass.  An input with at least as many partitions as there are cores
-    is read from its source each time, unless ``cache`` says otherwise.
+    A small input (up to ``SMALL_BYTES``) is cut finer and kept: its few file splits would leave
+    most cores idle in every pass.  Any other is read from its source each time, unless ``cache``
+    says otherwise; it is never shuffled.
     """
     from veritable.functions.columns import col, flat_columns
 
     if cache is False:
         return df, False
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if cache is None and df.rdd.getNumPartitions() >= cores:
+    small = estimated_bytes(df) <= SMALL_BYTES and df.rdd.getNumPartitions() < cores
+    if cache is None and not small:
         return df, False
-    if cache and df.rdd.getNumPartitions() >= cores:
+    if not small:
         return df.persist(StorageLevel.MEMORY_AND_DISK), True
     # By value rather than round robin, which would sort the rows first.
     by = [col(c) for c in flat_columns(df)]

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from veritable.operators import fingerprint, history, privacy, repair, sampling
+from veritable.operators import fingerprint, history, privacy, repair, rules, sampling
 from veritable.operators.cross import Reference
 from veritable.operators.repair import Repair
 from veritable.operators.rules import Condition, Rule
@@ -19,7 +19,9 @@ from workload import detector_oracles as O
 from workload.queries import (
     AS_OF,
     QUERIES,
+    RULES,
     _QUALITY,
+    _VIOLATION,
     core,
     fused_oracle,
     issue_rows,
@@ -74,7 +76,7 @@ def _(s, d):
 )
 def _(s, d):
     df = table(s, d, "orders")
-    return s.createDataFrame([(fingerprint.content_fingerprint(df),)], "fingerprint string")
+    return s.createDataFrame([(fingerprint.content_fingerprint(df, text=True),)], "fingerprint string")
 
 
 @register(
@@ -83,7 +85,7 @@ def _(s, d):
     f"({_sums(f'CAST((chr(48) || chr(120) || substr(draw, 1, 15)) AS BIGINT) < {int(0.25 * 16**15)}')})",
 )
 def _(s, d):
-    found = fingerprint.sampled_fingerprint(table(s, d, "orders"), 0.25)
+    found = fingerprint.sampled_fingerprint(table(s, d, "orders"), 0.25, text=True)
     return s.createDataFrame([(found,)], "fingerprint string")
 
 
@@ -501,6 +503,41 @@ def _(s, d):
     )
 
 
+_X_ISSUES = {t: f"SELECT DISTINCT issue_type, column_names FROM ({fused_oracle(_x_found(t), t)})" for t in _X_TYPES}
+
+
+@register(
+    "h15_fixed_by_stored_repair",
+    f"WITH fixed_orders AS ({_FIXED}), a AS ({_X_ISSUES['dirty_orders']}), b AS ({_X_ISSUES['fixed_orders']}) "
+    "SELECT issue_type, column_names, 'rep_1' AS repair_id, 'trim_whitespace,replace_missing_token,normalize_case,set_null,clip_value' AS operations "
+    f"FROM (SELECT * FROM a EXCEPT SELECT * FROM b) WHERE column_names IN ({', '.join(repr(c) for c in _AFTER)})",
+)
+def _(s, d):
+    base, df = scratch_path(s, "repair"), table(s, d, "dirty_orders")
+    store = history.History(s, f"{base}/history")
+    # The second one is taken back, so it explains nothing.
+    for name in ("rep_1", "rep_2"):
+        run = repair.write_repair(df, REPAIRS, f"{base}/{name}")
+        store.save_repair(name, "orders", run, REPAIRS)
+    store.save_repair("rep_2", "orders", repair.rollback(s, run, f"{base}/restored"), REPAIRS)
+    fixed = readers.read_table(s, f"{base}/rep_1/after", "parquet")
+    diff = history.issue_diff(_x_issues(s, d), _x_issues(s, d, fixed))
+    found = history.fixed_by(diff, store.read("repair_runs"), "orders")
+    return found.select(
+        "issue_type", F.col("columns").alias("column_names"), "repair_id", F.array_join("operations", ",").alias("operations")
+    )
+
+
+@register(
+    "r01_stored_rule_results",
+    "SELECT rule_id, failures FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS rule_id, count(*) FILTER (WHERE {v}) AS failures FROM dirty_orders" for k, v in _VIOLATION.items()) + ")",
+)
+def _(s, d):
+    store = history.History(s, scratch_path(s, "history"))
+    store.save_rules("pre_1", "orders", rules.preflight(table(s, d, "dirty_orders"), RULES))
+    return store.read("rule_results").filter("valid and run_id = 'pre_1'").select("rule_id", "failures")
+
+
 @register(
     "x13_suggestions",
     f"WITH told(detector_id, pos, family, operation, risk) AS (VALUES ('suspicious_missing_token', 1, 'missingness', 'replace_missing_token', 'medium'), "
