@@ -138,6 +138,32 @@ def test_forest_does_not_depend_on_partitioning(spark):
     assert found[0] == found[1] and found[0][0]["affected_count"] >= 10
 
 
+def test_local_outlier_factor_judges_every_row(spark):
+    import json
+
+    import numpy as np
+
+    from veritable.operators import model_outlier as m
+
+    rng = np.random.default_rng(4)
+    # Near-unique values, few values with many copies, and a lone value far out; more rows than a pool ever had.
+    unique = np.concatenate([rng.normal(0, 1, 29_000).round(6), [1e6]])
+    tied = np.concatenate([rng.integers(0, 300, 28_000) / 4, rng.normal(500, 40, 1_001).round(1)])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(unique, tied)], "a double, b double")
+    found = {}
+    for parts in (3, 11):
+        for r in m.model_outlier(df.repartition(parts), model="local_outlier_factor").collect():
+            told = json.loads(r["evidence"])
+            told = told.get("metrics", told)
+            assert found.setdefault(r["columns"][0], (r["affected_count"], r["evidence"])) == (r["affected_count"], r["evidence"])
+    for name, values in (("a", np.sort(unique)), ("b", np.sort(tied))):
+        factors = m.local_outlier_factors(values)
+        odd = factors > np.percentile(factors, 98)
+        count, evidence = found[name]
+        assert count == odd.sum() and '"total_values":29001' in evidence.replace(" ", "")
+    assert "1000000.0" in found["a"][1] or "1.0E6" in found["a"][1]
+
+
 def test_keys_do_not_show_in_plans(spark):
     from veritable.operators import privacy
 

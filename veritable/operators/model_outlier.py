@@ -5,14 +5,23 @@ pool.  On one column a forest is a step function of the value, so every row of
 the table is placed on its step by Arrow batches, rows are counted per step on
 the map side, and scores and threshold follow from those few counts.
 
-Local outlier factor: judged, as the model demands, within a bounded sample; in
-one dimension the nearest neighbours of a value are adjacent in sorted order.
+Local outlier factor: of every value of the column.  In one dimension the nearest
+neighbours of a value are adjacent in sorted order, so distinct values with their
+counts are dealt out by range, and each range sees as many values beyond its ends
+as its own factors depend on.  A value's neighbours' neighbours' neighbours lie
+within three times k values, and more than k + 1 copies of a value change no
+factor.  The threshold is found by counting, so a column is gathered nowhere.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +38,11 @@ NEIGHBOURS_MIN, NEIGHBOURS_MAX = 5, 20
 
 MODELS = ("isolation_forest", "local_outlier_factor")
 _COLUMNS_PER_JOB = 20
+#: Distinct values beyond a range's ends on which its factors depend, and values judged at once.
+_HALO, _SLICE = 3 * NEIGHBOURS_MAX, 1024
+#: Bits of a factor by which its rank is counted out, round by round.
+_SHIFTS = (48, 36, 24, 12, 0)
+_EXAMPLES = 10
 
 
 def average_path(n: int) -> float:
@@ -75,10 +89,15 @@ def grow_forest(values: np.ndarray, seed: int, trees: int) -> tuple[np.ndarray,
     return cuts, np.exp2(-(depth / trees) / max(average_path(size), 1e-12))
 
 
-def local_outlier_factors(values: np.ndarray) -> np.ndarray:
+def neighbours_of(n: int) -> int:
+    """How many neighbours each of ``n`` values has."""
+    return min(NEIGHBOURS_MAX, max(NEIGHBOURS_MIN, n // 10), n - 1)
+
+
+def local_outlier_factors(values: np.ndarray, k: int | None = None) -> np.ndarray:
     """LOF of each value of a sorted array."""
     n = len(values)
-    k = min(NEIGHBOURS_MAX, max(NEIGHBOURS_MIN, n // 10), n - 1)
+    k = neighbours_of(n) if k is None else k
     offsets = np.concatenate([np.arange(-k, 0), np.arange(1, k + 1)])
     near = np.arange(n)[:, None] + offsets
     distance = np.where(
@@ -99,6 +118,13 @@ def _cells(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).filter(finite)
 
 
+def _counted(df: DataFrame, names: list[str], freq: DataFrame | None) -> DataFrame:
+    """The distinct values of each column with their counts."""
+    if freq is not None:
+        return _distinct_cells(freq, names)
+    return _cells(df, names).groupBy("no", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _pool(df: DataFrame, names: list[str], counts: dict[str, tuple], size: int, seed: int, freq=None):
     """A pool of about ``size`` values per column, whatever their multiplicity.
 
@@ -106,10 +132,7 @@ def _pool(df: DataFrame, names: list[str], counts: dict[str, tuple], size: int,
     and the seed: the pool depends on the data alone, not on how they are partitioned.
     """
     share = [min(1.0, size / max(1, counts[c][2])) for c in names]
-    if freq is None:
-        counted = _cells(df, names).groupBy("no", "x").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        counted = _distinct_cells(freq, names)
+    counted = _counted(df, names, freq)
     wanted = F.col("n") * F.get(F.array(*[F.lit(s) for s in share]), F.col("no"))
     chance = F.pmod(F.xxhash64(F.lit(seed), "no", "x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = F.floor(wanted + chance).cast("int")
@@ -175,22 +198,142 @@ def _distinct_cells(freq: DataFrame, names: list[str]) -> DataFrame:
     return found.filter(~F.isnan("x") & (F.abs("x") < F.lit(float("inf"))))
 
 
-def _neighbours(at: Target, names, counts, contamination, size, seed) -> DataFrame:
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(pdf["x"].to_numpy())
-        factors = local_outlier_factors(values)
-        odd = factors > np.percentile(factors, 100 * (1 - contamination))
-        return pd.DataFrame(
-            {
-                "no": [int(pdf["no"].iloc[0])],
-                "total": [len(values)],
-                "anomalies": [int(odd.sum())],
-                "examples": [values[odd][:10]],
-            }
-        )
+def _columns_of(batches: Iterator[pa.RecordBatch]):
+    """The columns of a sorted range: number, part, values and their counts."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    no, part, x, n = (table.column(c).to_numpy() for c in ("no", "part", "x", "n"))
+    edges = np.append(np.flatnonzero(np.append(True, no[1:] != no[:-1])), len(no))
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        yield int(no[lo]), int(part[lo]), x[lo:hi], n[lo:hi]
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each column in a range, and the values at both ends."""
+    for no, part, x, n in _columns_of(batches):
+        cells = [no, part, int(n.sum()), x[:_HALO], n[:_HALO], x[-_HALO:], n[-_HALO:]]
+        names = ["no", "part", "total", "first_x", "first_n", "last_x", "last_n"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.float64()), pa.list_(pa.int64())] * 2]
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds)], names)
+
+
+def _beyond(ends: list[tuple[int, list, list]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``_HALO`` values nearest to a range, from the other ranges' ends, nearest range first."""
+    xs, ns = [], []
+    for _, x, n in ends:
+        if sum(map(len, xs)) >= _HALO:
+            break
+        xs.append(np.asarray(x, float))
+        ns.append(np.asarray(n, np.int64))
+    if not xs:
+        return np.zeros(0), np.zeros(0, np.int64)
+    x, n = np.concatenate(xs), np.concatenate(ns)
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def weighted_factors(x: np.ndarray, n: np.ndarray, k: int, before: int = 0, after: int = 0) -> np.ndarray:
+    """LOF of sorted distinct values that occur ``n`` times, but for the first and last few."""
+    out = []
+    end = len(x) - after
+    for a in range(before, end, _SLICE):
+        b = min(a + _SLICE, end)
+        lo, hi = max(0, a - _HALO), min(len(x), b + _HALO)
+        copies = np.minimum(n[lo:hi], k + 1)
+        factors = local_outlier_factors(np.repeat(x[lo:hi], copies), k)
+        # All copies of a value have the same neighbours, so the same factor.
+        out.append(factors[(np.cumsum(copies) - copies)[a - lo : b - lo]])
+    most = np.finfo(float).max
+    return np.nan_to_num(np.concatenate(out), nan=most, posinf=most)
+
+
+def _limits(scored: DataFrame, totals: dict[int, int], share: float) -> dict[int, float]:
+    """The interpolated quantile of each column's factors over all rows.
+
+    A positive number's bits order as the number, so each round counts rows by some more of them.
+    """
+    places = {no: share * (n - 1) for no, n in totals.items()}
+    ranks = {(no, min(math.floor(p) + i, totals[no] - 1)) for no, p in places.items() for i in (0, 1)}
+    known = {key: (0, key[1]) for key in ranks}  # leading bits, and the rank among the rows that have them
+    for i, shift in enumerate(_SHIFTS):
+        within = scored
+        if i:
+            wide = F.shiftright("bits", _SHIFTS[i - 1])
+            here = {(no, lead) for (no, _), (lead, _) in known.items()}
+            within = scored.filter(reduce(lambda p, q: p | q, [(F.col("no") == no) & (wide == lead) for no, lead in here]))
+        found = within.groupBy("no", F.shiftright("bits", shift).alias("step")).agg(F.sum("n").alias("n")).toArrow()
+        steps: dict[int, list[tuple[int, int]]] = {}
+        for no, step, n in zip(*(found.column(c).to_pylist() for c in ("no", "step", "n"))):
+            steps.setdefault(no, []).append((step, n))
+        for key, (lead, rank) in known.items():
+            inside = [s for s in steps[key[0]] if not i or s[0] >> (_SHIFTS[i - 1] - shift) == lead]
+            for step, n in sorted(inside):
+                if rank < n:
+                    known[key] = (step, rank)
+                    break
+                rank -= n
+    value = {key: float(np.int64(bits).view(np.float64)) for key, (bits, _) in known.items()}
+    out = {}
+    for no, p in places.items():
+        low, high = (value[no, min(math.floor(p) + i, totals[no] - 1)] for i in (0, 1))
+        out[no] = float(np.percentile([low, high], 100 * (p - math.floor(p))))
+    return out
+
 
+def _neighbours(at: Target, names, contamination, freq) -> DataFrame:
     schema = "no int, total bigint, anomalies bigint, examples array<double>"
-    return _pool(at.df, names, counts, size, seed).groupBy("no").applyInPandas(judge, schema)
+    tasks = int(at.spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (
+        _counted(at.df, names, freq)
+        .repartitionByRange(tasks, "no", "x")
+        .sortWithinPartitions("no", "x")
+        .withColumn("part", F.spark_partition_id())
+        .persist()
+    )
+    scored = None
+    try:
+        ends_schema = "no int, part int, total bigint, first_x array<double>, first_n array<bigint>, last_x array<double>, last_n array<bigint>"
+        # A few values a range, whatever the size of the table.
+        ends = sorted(ranged.mapInArrow(_ends, ends_schema).toArrow().to_pylist(), key=lambda r: (r["no"], r["part"]))
+        totals: dict[int, int] = {}
+        for r in ends:
+            totals[r["no"]] = totals.get(r["no"], 0) + r["total"]
+        totals = {no: n for no, n in totals.items() if n >= MIN_VALUES}
+        if not totals:
+            return at.spark.createDataFrame([], schema)
+        shared = at.spark.sparkContext.broadcast(ends)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for no, part, x, n in _columns_of(batches):
+                if no not in totals:
+                    continue
+                own = [r for r in shared.value if r["no"] == no]
+                low_x, low_n = _beyond([(r["part"], r["last_x"], r["last_n"]) for r in own[::-1] if r["part"] < part])
+                high_x, high_n = _beyond([(r["part"], r["first_x"], r["first_n"]) for r in own if r["part"] > part])
+                every, times = np.concatenate([low_x, x, high_x]), np.concatenate([low_n, n, high_n])
+                factors = weighted_factors(every, times, neighbours_of(totals[no]), len(low_x), len(high_x))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), no), pa.int32()), pa.array(x), pa.array(n), pa.array(factors), pa.array(factors.view(np.int64))],
+                    ["no", "x", "n", "factor", "bits"],
+                )
+
+        scored = ranged.mapInArrow(judge, "no int, x double, n bigint, factor double, bits bigint").persist()
+        limits = _limits(scored, totals, 1 - contamination)
+        limit = F.get(F.array(*[F.lit(limits.get(no)).cast("double") for no in range(len(names))]), F.col("no"))
+        odd = scored.filter(F.col("factor") > limit)
+        found = {r["no"]: r["n"] for r in odd.groupBy("no").agg(F.sum("n").alias("n")).collect()}
+        rank = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("factor"), "x"))
+        examples: dict[int, list[float]] = {}
+        for r in odd.withColumn("rank", rank).filter(F.col("rank") <= _EXAMPLES).select("no", "x").collect():
+            examples.setdefault(r["no"], []).append(r["x"])
+    finally:
+        for df in (scored, ranged):
+            if df is not None:
+                df.unpersist()
+    # One row a column.
+    return at.spark.createDataFrame([(no, totals[no], n, sorted(examples[no])) for no, n in found.items()], schema)
 
 
 def model_outlier(
@@ -208,7 +351,8 @@ def model_outlier(
 ) -> DataFrame:
     """Values a univariate model isolates; nothing when they are too many to be outliers.
 
-    With a frequency table at hand each distinct value is scored once.
+    With a frequency table at hand each distinct value is scored once.  ``max_samples`` bounds what a
+    forest is grown on; the local outlier factor takes all values.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
@@ -222,7 +366,7 @@ def model_outlier(
         if model == "isolation_forest":
             found = _isolation(at, part, counts, trees, contamination, max_samples, seed, freq)
         else:
-            found = _neighbours(at, part, counts, contamination, max_samples, seed)
+            found = _neighbours(at, part, contamination, freq)
         ratio = F.col("anomalies") / F.col("total")
         found = found.filter((F.col("anomalies") >= min_anomalies) & (ratio <= max_ratio))
         name = F.get(F.array(*[F.lit(c) for c in part]), F.col("no"))
