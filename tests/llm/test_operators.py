@@ -195,6 +195,23 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["text"] for r in neardup.deduplicated(df).collect()) == ["lone text", "one two three four five six"]
 
 
+def test_near_copies_without_ids_are_compared(spark):
+    base = prose(8, 200).split()
+    copies = [" ".join([*base[:at], f"new{at}", *base[at + 1 :]]) for at in (0, 60, 199)]
+    lone = prose(9, 200)
+    rows = [(None, copies[0]), (None, copies[1]), (None, copies[1]), (None, lone)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r["text"] for r in neardup.deduplicated(df).collect()]
+    assert len(kept) == 2 and lone in kept
+    marked = [tuple(r) for r in neardup.op2(df).collect()]
+    assert len(marked) == 4 and all(r[:3] == (None, None, None) for r in marked)
+    assert sum(r[3] for r in marked) == 1 + sum(t == next(k for k in kept if k != lone) for _, t in rows)
+    # One with an id speaks for them.
+    df = spark.createDataFrame([*rows, (7, copies[2])], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in neardup.deduplicated(df).collect()) == sorted([copies[2], lone])
+    assert sorted(str(r["class_id"]) for r in neardup.op2(df).collect()) == ["7", "7", "7", "7", "None"]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 100)]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

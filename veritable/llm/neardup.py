@@ -26,7 +26,8 @@ probability 1 - 1.4e-5, more similar pairs more surely.
 
 Defined cases: a text of fewer than five words is one shingle of all its words.  NULL, empty and
 blank texts have no words and are each a class of their own, never a duplicate.  Repeated rows are
-copies of each other.  NULL ids count after all others.  Extra columns are left alone.
+copies of each other.  Rows with a NULL id are compared like all others and count after them; a class of
+NULL ids only has a NULL ``class_id``, and its rows of one text stay.  Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -288,6 +289,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 def material(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node`` and the sorted shingles of one text for each wanted class (``node``, ``doc_id``)."""
     rows = documents(docs, "doc_id", "text").filter(F.col("text").isNotNull())
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     ids = wanted.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -334,19 +336,16 @@ def verified(pairs: DataFrame, bags_: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketches' ``doc_id, node`` for every document, and ``node, comp`` for every linked class."""
     sketch = kept(sketches(docs), "sketches")
-    classes = (
-        sketch.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"))
-    )
+    marked = sketch.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    classes = marked.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # Copies have the same bands and signature: any one row of a class will do.
-    one = sketch.select("node", "doc_id", "bands").join(classes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    one = marked.select("node", "doc_id", "bands").join(classes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
     keyed = one.select("node", F.posexplode("bands").alias("band", "key"))
     shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = kept(keyed.join(shared_keys, "key"), "buckets")
     wanted = kept(members.select("node").distinct().join(classes, "node"), "wanted")
     # Signatures and shingles only of classes that share a band with another.
-    signed = sketch.select("node", "doc_id", "signature").join(wanted, ["node", "doc_id"], "left_semi")
+    signed = marked.select("node", "doc_id", "signature").join(wanted, ["node", "doc_id"], "left_semi")
     signed = kept(signed.dropDuplicates(["node"]).select("node", "signature"), "signatures")
     bags_ = kept(material(docs, wanted), "bags")
     members = members.join(signed, "node")
@@ -382,13 +381,16 @@ def classes_of(docs: DataFrame) -> DataFrame:
     rows, comps = near_duplicates(docs)
     exact = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("exact_id"))
     known = exact.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    groups = known.groupBy("comp").agg(F.min("exact_id").alias("class_id"))
-    known = known.join(groups, "comp").select("node", "exact_id", "class_id")
+    groups = known.groupBy("comp").agg(F.min("exact_id").alias("class_id"), F.min("node").alias("first"))
+    # Where no row has an id, one text's rows stay, the same that ``deduplicated`` keeps.
+    speaks = F.col("class_id").isNotNull() | (F.col("node") == F.col("first"))
+    known = known.join(groups, "comp").select("node", "exact_id", "class_id", speaks.alias("speaks"))
     own = rows.filter(F.col("node").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("exact_id")
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("exact_id"), F.lit(True).alias("speaks")
     )
-    out = rows.join(known, "node").select("doc_id", "class_id", "exact_id").unionByName(own)
-    return out.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = rows.join(known, "node").select("doc_id", "class_id", "exact_id", "speaks").unionByName(own)
+    stays = F.col("speaks") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return out.withColumn("stays", stays).drop("speaks")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
