@@ -506,6 +506,30 @@ def test_shared_passages_at_every_offset(spark):
     assert by_id(substrings.op9(df)) == sorted(brute.substring_dedup(rows))
 
 
+def test_probes_of_a_block_of_very_many_texts():
+    texts = ["", None, "few words"] * 23_500 + [prose(600, 60), prose(601, 60)] * 2
+    w = words.find_words(pa.array(texts))
+    keys, index, several, (key, _) = substrings.probe_summary(w, 200)
+    assert (keys == np.unique(key)).all() and several.all()
+    few = words.find_words(pa.array(texts[-4:]))
+    for a, b in zip(substrings.probe_summary(few, 200)[:3], (keys, index, several)):
+        assert (a == b).all()
+
+
+def test_equal_rows_are_dealt_as_one(spark, monkeypatch):
+    monkeypatch.setattr(substrings.X, "BLOCK_ROWS", 160)
+    monkeypatch.setattr(substrings.X, "REPEATED", 7)
+    passage = prose(77, 60)
+    rows = [(None, None)] * 90 + [(None, "a b")] * 50 + [(4, passage + " x")] * 45 + [(3, "y " + passage)] * 3 + [(5, "b a b")] * 21
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    blocks, several = substrings.X.in_blocks(df, *substrings.X.size_of(df))
+    assert several and blocks.count() == 7 and blocks.agg(F.sum("copies")).first()[0] == len(rows)
+    order = lambda r: (r[0] is None, r[0] or 0, str(r))
+    assert by_id(substrings.op9(df)) == sorted(brute.substring_dedup(rows), key=order)
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[2:5]))
+    same_scores(sorted((tuple(r) for r in lm.op5(df).collect()), key=key), sorted(brute.lm(rows, lm.MU), key=key))
+
+
 def test_substrings_empty(empty):
     assert substrings.op9(empty).count() == 0
 

@@ -1,6 +1,7 @@
 """Blocks ask, shards answer: counting the whole corpus and taking the counts back to the texts.
 
-Texts are dealt into *blocks* of bounded size by a hash of the row.  A block reduces its texts to
+Texts are dealt into *blocks* of bounded size by a hash of the row; rows that are equal so often
+that they alone would fill much of a block are dealt as one row with a count.  A block reduces its texts to
 distinct 64-bit keys and asks about each key once; keys are dealt to *shards* by other bits of the
 same hash.  A shard sees what all blocks say about its keys and answers every block.  The block's
 texts meet the answers in a cogroup, where the block derives the same sorted keys again, so answers
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm import words
-from veritable.llm.common import blocks, shards
+from veritable.llm.common import blocks, kept, shards
 
 U64 = np.uint64
 BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 40_000
+#: Copies of a row made at once.
+REPEATED = 10_000
 MOST_SHARDS = 1 << 15
 ASK = "block int, shard int, kind int, keys binary, more binary"
 
@@ -79,10 +82,34 @@ def n_shards(df: DataFrame) -> int:
     return min(shards(df), MOST_SHARDS)
 
 
-def in_blocks(rows: DataFrame, text_bytes: int, n_rows: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``rows`` (``doc_id``, ``text``, ...) with a ``block`` by a hash of id and text."""
+def in_blocks(rows: DataFrame, text_bytes: int, n_rows: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, bool]:
+    """``rows`` (``doc_id``, ``text``, ...) with a ``block`` by a hash of id and text, and how many equal
+    rows each stands for (``copies``); whether any stands for several."""
     n = max(blocks(rows, text_bytes, block_bytes), -(-n_rows // BLOCK_ROWS))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    tag = F.xxhash64("doc_id", "text")
+    counted = rows.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    often = (F.col("n") > BLOCK_ROWS // 8) | (F.col("bytes") > block_bytes // 4)
+    # At most eight a block by rows and four a block by bytes.
+    many = kept(counted.filter((F.col("n") > 1) & often).select("tag"), "equal_rows")
+    several = not many.isEmpty()
+    if several:
+        tagged = rows.withColumn("tag", tag)
+        one = tagged.join(F.broadcast(many), "tag", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+        rest = tagged.join(F.broadcast(many), "tag", "left_anti").drop("tag").withColumn("copies", F.lit(1).cast("bigint"))
+        rows = rest.unionByName(one)
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    return rows.withColumn("block", F.pmod(tag, F.lit(n)).cast("int")), several
+
+
+def repeated(out: DataFrame, several: bool) -> DataFrame:
+    """Each row ``copies`` times, made in two steps so that no list of copies is long."""
+    if several:
+        step = F.lit(REPEATED)
+        out = out.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / step))))
+        left = F.least(step.cast("bigint"), F.col("copies") - F.col("lot") * step)
+        out = out.withColumn("lot", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).drop("lot")
+    return out.drop("copies")
 
 
 def size_of(rows: DataFrame) -> tuple[int, int]:

@@ -64,11 +64,18 @@ def packed(keys: np.ndarray, n: int) -> np.ndarray:
     return (X.shard_of(keys, n) << U64(48)) | ((keys >> U64(64 - SENT)) << U64(1))
 
 
-def tallied(keys: np.ndarray, learn: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct packed keys in order, and how often each occurs in training texts."""
-    v = np.sort(packed(keys, n) | (~learn).astype(U64))
+def tallied(keys: np.ndarray, learn: np.ndarray, n: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed keys in order, and how often each occurs in training texts (each ``copies`` times)."""
+    v = packed(keys, n) | (~learn).astype(U64)
+    if copies is None:
+        v = np.sort(v)
+        times = (v & U64(1)) == 0
+    else:
+        order = np.argsort(v)
+        v = v[order]
+        times = np.where((v & U64(1)) == 0, copies[order], 0)
     at = X.distinct(v >> U64(1))
-    trained = np.concatenate([[0], np.cumsum((v & U64(1)) == 0)])
+    trained = np.concatenate([[0], np.cumsum(times)])
     return v[at] & ~U64(1), np.diff(trained[np.append(at, len(v))])
 
 
@@ -126,7 +133,7 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
     t = totals(rows)
     big_n, big_v = int(t["n"]), int(t["v"])
     n = X.n_shards(docs)
-    rows = X.in_blocks(rows, t["b"], t["r"])
+    rows, several = X.in_blocks(rows, t["b"], t["r"])
 
     def keys_of(table: pa.Table):
         token, first = tokens(table.column("text"))
@@ -135,9 +142,10 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         token, first, learn_ = keys_of(table)
+        copies = np.repeat(table.column("copies").to_numpy(), np.diff(first)) if several else None
         asks = []
         for kind, keys in ((WORD, token), (PAIR, pair_keys(token, first))):
-            v, c = tallied(keys, learn_, n)
+            v, c = tallied(keys, learn_, n, copies)
             cut = X.cuts(v >> U64(48), n)
             asks += [
                 (s, kind, X.planes(v[a:b] >> U64(1), 6), X.planes(c[a:b]))
@@ -204,16 +212,18 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
                 "train_tokens": pa.array(np.full(len(size), big_n), pa.int64()),
                 "base_score": pa.array(np.add.reduceat(base, first[:-1])),
                 "score": pa.array(np.add.reduceat(step, first[:-1])),
+                "copies": table.column("copies"),
             }
         )
 
     answers = X.answered(X.asked(rows, ask), answer)
-    return X.met(
+    out = X.met(
         rows,
         answers,
         finish,
-        "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, copies bigint",
     )
+    return X.repeated(out, several)
 
 
 def op5(docs: DataFrame) -> DataFrame:

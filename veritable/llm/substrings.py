@@ -36,6 +36,8 @@ PROBES, WINDOWS, HOT = 0, 1, 2
 NO_ID = (1 << 63) - 1
 #: Text of a block; a task holds some thirty times as much in arrays.
 BLOCK_BYTES = 6 << 20
+#: Up to so many texts, a text's place in its block fits below its probes' keys.
+PACKED_TEXTS = 1 << 16
 
 
 def probe_keys(w: words.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,9 +51,17 @@ def probe_summary(w: words.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     """The distinct probes of a block in order, which are index blocks, which occur in several of its texts."""
     key, at, aligned = probe_keys(w, n)
     owner = (np.searchsorted(w.first, at, side="right") - 1).astype(U64)
-    # Shard (15 bits), 32 bits of the probe, 16 bits for the text: each text counts once.
-    u = np.sort((key << U64(16)) | owner)
-    u = u[X.distinct(u)] >> U64(16)
+    # Each text counts once.
+    if len(w.first) - 1 <= PACKED_TEXTS:
+        # Shard (15 bits), 32 bits of the probe, 16 bits for the text.
+        u = np.sort((key << U64(16)) | owner)
+        u = u[X.distinct(u)] >> U64(16)
+    else:
+        order = np.lexsort((owner, key))
+        u, of = key[order], owner[order]
+        fresh = np.ones(len(u), bool)
+        fresh[1:] = (u[1:] != u[:-1]) | (of[1:] != of[:-1])
+        u = u[fresh]
     start = X.distinct(u)
     texts = np.diff(np.append(start, len(u)))
     keys = u[start]
@@ -63,7 +73,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """One row a document: words, removed words, digest of the kept ones."""
     rows = documents(docs, "doc_id", "text")
     n = X.n_shards(docs)
-    rows = X.in_blocks(rows, *X.size_of(rows), BLOCK_BYTES)
+    # Equal rows have the same id, so none removes another's words: one speaks for all.
+    rows, several = X.in_blocks(rows, *X.size_of(rows), BLOCK_BYTES)
 
     def ask(table: pa.Table) -> pa.Table:
         w = words.find_words(table.column("text"))
@@ -193,12 +204,14 @@ def removals(docs: DataFrame) -> DataFrame:
                 "n_words": pa.array(w.counts, pa.int64()),
                 "n_removed": pa.array(np.diff(np.concatenate([[0], np.cumsum(removed)])[w.first]), pa.int64()),
                 "kept_sha256": pa.array(digests(w, ~removed), pa.string()),
+                "copies": table.column("copies"),
             }
         )
 
     hits = X.answered(X.asked(rows, ask), which_repeat)
     answers = X.answered(X.met(rows, hits, ask_windows, X.ASK), smallest)
-    return X.met(rows, answers, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, copies bigint"
+    return X.repeated(X.met(rows, answers, finish, schema), several)
 
 
 def digests(w: words.Words, keep: np.ndarray) -> list[str]:
