@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import decontaminate, language, lm, neardup, neighbours, packing, quality, secrets, substrings, urls
+from veritable.llm import decontaminate, language, lm, merkle, neardup, neighbours, packing, quality, secrets, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def _(spark, sf_dir):
 @register("op7_nearest", neighbours.ORACLE)
 def _(spark, sf_dir):
     return neighbours.op7(read(spark, sf_dir, "embeddings"))
+
+
+@register("op13_merkle_manifest", merkle.ORACLE)
+def _(spark, sf_dir):
+    return merkle.op13(read(spark, sf_dir, "documents"))
