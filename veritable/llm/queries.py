@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import chat, decontaminate, language, lm, merkle, neardup, neighbours, packing, quality, secrets, substrings, urls
+from veritable.llm import chat, decontaminate, language, lm, merkle, neardup, negatives, neighbours, packing, quality, secrets, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def _(spark, sf_dir):
 @register("op12_chat_format", chat.ORACLE)
 def _(spark, sf_dir):
     return chat.op12(read(spark, sf_dir, "conversations"))
+
+
+@register("op11_hard_negatives", negatives.ORACLE)
+def _(spark, sf_dir):
+    return negatives.op11(read(spark, sf_dir, "embeddings"))
