@@ -6,7 +6,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
-from workload import more_queries as _more  # noqa: F401  (registers its queries)
+from workload import more_queries as _more, rule_queries as _rules  # noqa: F401  (register their queries)
 from workload import queries as _queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

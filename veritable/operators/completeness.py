@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,11 @@ CASCADE_NULLS, CASCADE_COVERAGE = 10, 0.8
 TOGETHER_NULLS, TOGETHER_COVERAGE = 5, 0.5
 # ---- end of fixed values ----------------------------------------------------
 
+#: So few pairs are counted beside other checks; more in one product of NULL masks.
+COUNTED_PAIRS = 100
+#: Columns in a word of a mask, masks multiplied at once, and columns counted against each other in one read.
+MASK_BITS, MASK_ROWS, PAIR_BLOCK = 62, 4096, 2048
+
 # Slots that values hash into.  Each occupied slot has a value of its own, so more than
 # GROUP_MAX_DISTINCT occupied ones prove a column to be beyond that limit.
 _SLOTS = 64
@@ -79,13 +87,88 @@ def missing_token_checks(df: DataFrame, cols: Sequence[str] | None = None, min_r
     ]
 
 
+def sparse_columns(nulls: dict[str, int], rows: int) -> list[str]:
+    """All sparse columns, most sparse first."""
+    sparse = [c for c, n in nulls.items() if rows and n / rows >= SPARSE_RATE]
+    return sorted(sparse, key=lambda c: -nulls[c])
+
+
 def sparse_pairs(nulls: dict[str, int], rows: int) -> list[tuple[str, str]]:
     """Ordered pairs of all sparse columns, most sparse first."""
-    sparse = [c for c, n in nulls.items() if rows and n / rows >= SPARSE_RATE]
-    sparse = sorted(sparse, key=lambda c: -nulls[c])
+    sparse = sparse_columns(nulls, rows)
     return [(a, b) for i, a in enumerate(sparse) for b in sparse[i + 1 :]]
 
 
+def null_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``a, b, n``: in how many rows the columns at places ``a`` < ``b`` of ``cols`` are both NULL, where in any.
+
+    Rows become masks of their NULLs, and equal masks one row with a count before anything else happens.  The masks of
+    a task are a matrix of bits; its product with itself, weighted by the counts, has all pair counts at once.  So the
+    table is read once for every pair of blocks of ``PAIR_BLOCK`` columns, which is once for nearly all tables.
+    """
+    blocks = [range(at, min(at + PAIR_BLOCK, len(cols))) for at in range(0, len(cols), PAIR_BLOCK)]
+    parts = [
+        _block_pairs(df, cols, [*left, *(() if left is right else right)])
+        for i, left in enumerate(blocks)
+        for right in blocks[i:]
+    ]
+    # A pair within one block is counted again by every other block; the counts are equal.
+    return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _block_pairs(df: DataFrame, cols: Sequence[str], places: list[int]) -> DataFrame:
+    words = []
+    for at in range(0, len(places), MASK_BITS):
+        bits = [F.when(col(cols[p]).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(places[at : at + MASK_BITS])]
+        words.append(reduce(lambda x, y: x.bitwiseOR(y), [b.cast("bigint") for b in bits]).alias(f"m{len(words)}"))
+    names = [f"m{i}" for i in range(len(words))]
+    set_bits = reduce(lambda x, y: x + y, [F.bit_count(n) for n in names])
+    masks = df.select(*words).filter(set_bits >= 2).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    number = np.array(places)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(number), len(number)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, MASK_ROWS):
+                part = batch.slice(at, MASK_ROWS)
+                wide = np.stack([part.column(n).to_numpy() for n in names], axis=1).astype("<i8")
+                bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(len(wide), len(names), 64)
+                bits = bits[:, :, :MASK_BITS].reshape(len(wide), -1)[:, : len(number)].astype(np.float64)
+                total += (bits * part.column("n").to_numpy()[:, None]).T @ bits
+        a, b = np.nonzero(np.triu(total, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(number[a], pa.int32()), pa.array(number[b], pa.int32()), pa.array(total[a, b].astype(np.int64))], ["a", "b", "n"]
+        )
+
+    return masks.mapInArrow(product, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _pair_candidates(at: Target, detector_id: str, counted: DataFrame, known, base, evidence, severity: str, coverage: float) -> DataFrame:
+    """Candidates of pairs that are NULL together often enough, compared with ``base`` of them."""
+    rows, nulls = known
+    sparse = sparse_columns(nulls, rows)
+    names, counts = F.array(*map(F.lit, sparse)), F.array(*(F.lit(nulls[c]).cast("bigint") for c in sparse))
+    told = counted.select(
+        F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"),
+        F.get(counts, F.col("a")).alias("na"), F.get(counts, F.col("b")).alias("nb"), "n",
+    )
+    told = told.withColumn("base", base).withColumn("ratio", F.col("n") / F.col("base"))
+    return told.filter(F.col("ratio") >= coverage).select(
+        *candidate(
+            at,
+            issue_type=detector_id,
+            detector_id=detector_id,
+            columns=F.array("a", "b"),
+            affected=F.col("n"),
+            raw=F.col("ratio"),
+            confidence=0.85,
+            fpr=0.15,
+            severity=severity,
+            evidence=evidence_json("statistical_measure", evidence | {"count": F.col("n"), "ratio": F.round("ratio", 6)}),
+        )
+    )
+
+
 def _both(a: str, b: str) -> Column:
     return col(a).isNull() & col(b).isNull()
 
@@ -142,16 +225,28 @@ def suspicious_missing_token(df: DataFrame | Target, cols=None, min_ratio=TOKEN_
     return run_checks(at, missing_token_checks(at.df, cols, min_ratio))
 
 
-def conditional_missingness(df: DataFrame | Target, nulls=None) -> DataFrame:
+def conditional_missingness(df: DataFrame | Target, nulls=None, both: DataFrame | None = None) -> DataFrame:
+    """D05; ``both`` are the pair counts of ``null_pairs`` where they are there already."""
     at = target(df)
     rows, nulls = nulls or null_counts(at.df, at.df.columns)
-    return run_checks(at, conditional_checks(nulls, rows))
+    if both is None and len(sparse_pairs(nulls, rows)) <= COUNTED_PAIRS:
+        return run_checks(at, conditional_checks(nulls, rows))
+    both = null_pairs(at.df, sparse_columns(nulls, rows)) if both is None else both
+    evidence = {"condition_column": F.col("a"), "target_column": F.col("b"), "condition_null": F.col("na")}
+    base = F.when(F.col("na") >= CASCADE_NULLS, F.col("na"))
+    return _pair_candidates(at, "conditional_missingness", both, (rows, nulls), base, evidence, "medium", CASCADE_COVERAGE)
 
 
-def correlated_missingness(df: DataFrame | Target, nulls=None) -> DataFrame:
+def correlated_missingness(df: DataFrame | Target, nulls=None, both: DataFrame | None = None) -> DataFrame:
+    """D06; ``both`` as for ``conditional_missingness``."""
     at = target(df)
     rows, nulls = nulls or null_counts(at.df, at.df.columns)
-    return run_checks(at, correlated_checks(nulls, rows))
+    if both is None and len(sparse_pairs(nulls, rows)) <= COUNTED_PAIRS:
+        return run_checks(at, correlated_checks(nulls, rows))
+    both = (null_pairs(at.df, sparse_columns(nulls, rows)) if both is None else both).filter(F.col("n") >= TOGETHER_NULLS)
+    evidence = {"column_a": F.col("a"), "column_b": F.col("b"), "a_null": F.col("na"), "b_null": F.col("nb")}
+    base = F.least("na", "nb")
+    return _pair_candidates(at, "correlated_missingness", both, (rows, nulls), base, evidence, "low", TOGETHER_COVERAGE)
 
 
 def _null_tallies(targets: Sequence[str], source: str | None = None) -> list[Column]:

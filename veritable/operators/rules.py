@@ -1,4 +1,8 @@
-"""Rules and column contracts (R01-R06), all counted in one aggregate."""
+"""Rules and column contracts (R01-R06), all counted in one aggregate.
+
+A rule that fails while the rows are read fails alone: the rules are then counted in halves, and halves of
+halves, until the faulty ones are apart, which takes a few reads for each of them and none when all is well.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritable.functions import expressions
 from veritable.functions.columns import col
 from veritable.operators.checks import ROWS, Check, Target, empty, report, target
 from veritable.operators.frequency import value_counts
@@ -66,8 +71,9 @@ class Condition:
 class Rule:
     """What is expected of the data; rows breaking the expectation are violations.
 
-    ``expression`` is an optional boolean Spark SQL expression used instead of
-    ``when``; a row for which it is NULL is not a violation.
+    Instead of ``when``, ``predicate`` is an expression of ``veritable.functions.expressions``, which is total: a row
+    on which it fails is not a violation.  ``expression`` is a boolean Spark SQL expression; a row for which it is NULL
+    is not a violation, and one on which it raises an error makes the rule fail.
     """
 
     id: str
@@ -77,6 +83,7 @@ class Rule:
     version: str = "1"
     description: str = ""
     expression: str | None = None
+    predicate: str | None = None
 
 
 def _literal(df: DataFrame, name: str, value: object) -> Column:
@@ -119,12 +126,13 @@ def violation(df: DataFrame, condition: Condition) -> Column:
 
 
 def expression_violation(expression: str) -> Column:
-    """A boolean expression that must not be false; errors count as not applicable
-    when the expression uses the try_ functions."""
+    """A boolean SQL expression that must not be false."""
     return ~F.coalesce(F.expr(expression).cast("boolean"), F.lit(True))
 
 
 def rule_violation(df: DataFrame, rule: Rule) -> Column:
+    if rule.predicate is not None:
+        return ~F.coalesce(expressions.compile_expression(df, rule.predicate), F.lit(True))
     if rule.expression is not None:
         return expression_violation(rule.expression)
     if rule.when is None:
@@ -134,19 +142,28 @@ def rule_violation(df: DataFrame, rule: Rule) -> Column:
 
 def _missing(df: DataFrame, rule: Rule) -> list[str]:
     needed = set(rule.columns) | ({rule.when.column} if rule.when else set())
+    if rule.predicate is not None:
+        needed |= set(expressions.names_in(rule.predicate))
     return sorted(needed - set(df.columns))
 
 
+def _declared_missing(df: DataFrame, rule: Rule) -> list[str]:
+    try:
+        return _missing(df, rule)
+    except expressions.ExpressionError:
+        return []
+
+
 def split_rules(df: DataFrame, rules: Sequence[Rule]):
     """Usable rules with their violation predicate, and a reason for each unusable one."""
     usable: list[tuple[Rule, Column]] = []
     broken: dict[str, str] = {}
     for rule in rules:
-        missing = _missing(df, rule)
-        if missing:
-            broken[rule.id] = "missing columns: " + ", ".join(missing)
-            continue
         try:
+            missing = _missing(df, rule)
+            if missing:
+                broken[rule.id] = "missing columns: " + ", ".join(missing)
+                continue
             predicate = rule_violation(df, rule)
             df.select(predicate)  # analysed here so that a bad expression fails only its own rule
         except Exception as exc:
@@ -156,36 +173,52 @@ def split_rules(df: DataFrame, rules: Sequence[Rule]):
     return usable, broken
 
 
+def counted_apart(df: DataFrame, parts: Sequence[tuple[object, Sequence[Column]]], head: Sequence[Column] = ()):
+    """Values of aggregates that may fail while rows are read: ``(head values, {key: values}, {key: error})``.
+
+    ``parts`` are keys with the aggregates of each.  All are computed in one read; if that fails, each half by
+    itself, down to single parts.
+    """
+    names = [f"a{i}" for i in range(sum(len(columns) for _, columns in parts))]
+    flat = [c for _, columns in parts for c in columns]
+    try:
+        row = df.agg(F.count(F.lit(1)).alias(ROWS), *head, *(c.alias(n) for c, n in zip(flat, names))).first()
+    except Exception as exc:
+        if not parts:
+            raise
+        if len(parts) == 1:
+            # What does not belong to the part must stand without it.
+            top, _, _ = counted_apart(df, (), head)
+            return top, {}, {parts[0][0]: f"{type(exc).__name__}: {exc}"[:500]}
+        middle = len(parts) // 2
+        top, values, errors = counted_apart(df, parts[:middle], head)
+        _, more, faults = counted_apart(df, parts[middle:])
+        return top, values | more, errors | faults
+    values, at = {}, 0
+    for key, columns in parts:
+        values[key] = [row[n] for n in names[at : at + len(columns)]]
+        at += len(columns)
+    top = {k: v for k, v in row.asDict().items() if k not in set(names)}
+    return top, values, {}
+
+
 def preflight(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Violations of every rule, from one aggregate."""
+    """Violations of every rule, from one aggregate; one row a rule."""
     usable, broken = split_rules(df, rules)
-    rows = F.col(ROWS)
-    entries = []
-    for i, (rule, _) in enumerate(usable):
-        n = F.col(f"f{i}")
-        ratio = F.when(rows > 0, n / rows).otherwise(F.lit(0.0))
-        entries.append((rule.id, True, True, [], rows, n, ratio, (n > 0) & (ratio > DANGEROUS_RATIO), None))
-    for rule in rules:
-        if rule.id in broken:
-            missing = _missing(df, rule)
-            zero = F.lit(0)
-            entries.append(
-                (rule.id, False, not missing, missing, zero, zero, F.lit(0.0), F.lit(False), broken[rule.id])
-            )
-
-    def struct(entry):
-        cells = []
-        for (name, kind), v in zip(PREFLIGHT.items(), entry):
-            if isinstance(v, list):
-                v = F.array(*[F.lit(x) for x in v])
-            cells.append((v if isinstance(v, Column) else F.lit(v)).cast(kind).alias(name))
-        return F.struct(*cells)
-
-    counted = df.agg(
-        F.count(F.lit(1)).alias(ROWS),
-        *[F.count_if(p).alias(f"f{i}") for i, (_, p) in enumerate(usable)],
-    )
-    return counted.select(F.inline(F.array(*[struct(e) for e in entries])))
+    # Rules are told apart by their place: two may share an id.
+    place = {id(r): i for i, r in enumerate(rules)}
+    top, counts, errors = counted_apart(df, [(place[id(r)], [F.count_if(p)]) for r, p in usable])
+    rows, entries = top[ROWS], []
+    for i, rule in enumerate(rules):
+        if i in counts:
+            (n,) = counts[i]
+            ratio = n / rows if rows else 0.0
+            entries.append((rule.id, True, True, [], rows, n, ratio, n > 0 and ratio > DANGEROUS_RATIO, None))
+            continue
+        missing = [] if i in errors else _declared_missing(df, rule)
+        entries.append((rule.id, False, not missing, missing, 0, 0, 0.0, False, errors.get(i) or broken[rule.id]))
+    schema = ", ".join(f"{name} {kind}" for name, kind in PREFLIGHT.items())
+    return df.sparkSession.createDataFrame(entries, schema)
 
 
 def approve(df: DataFrame, rules: Sequence[Rule], force: bool = False) -> DataFrame:
@@ -216,7 +249,7 @@ def rule_checks(df: DataFrame, rules: Sequence[Rule]) -> tuple[list[Check], dict
     checks = [
         Check(
             "contract_rule",
-            (r.when.column,) if r.when else tuple(r.columns),
+            (r.when.column,) if r.when else tuple(r.columns or expressions.names_in(r.predicate or "None")),
             p,
             confidence=RULE_CONFIDENCE,
             severity=r.severity,
@@ -232,14 +265,17 @@ def rule_checks(df: DataFrame, rules: Sequence[Rule]) -> tuple[list[Check], dict
 
 
 def rules_in_scan(df: DataFrame | Target, rules: Sequence[Rule]) -> DataFrame:
+    """Candidates of the rules that could be run."""
     at = target(df)
     checks, _ = rule_checks(at.df, rules)
     if not checks:
         return empty(at.spark)
-    counts = at.df.agg(
-        F.count(F.lit(1)).alias(ROWS), *[F.count_if(c.hit).alias(f"hit{i}") for i, c in enumerate(checks)]
-    )
-    return report(at, counts, checks)
+    top, counts, _ = counted_apart(at.df, [(i, [F.count_if(c.hit)]) for i, c in enumerate(checks)])
+    ran = sorted(counts)
+    row = [top[ROWS], *(counts[i][0] for i in ran)]
+    names = [ROWS, *(f"hit{k}" for k in range(len(ran)))]
+    one = at.spark.createDataFrame([tuple(row)], ", ".join(f"{n} bigint" for n in names))
+    return report(at, one, [checks[i] for i in ran])
 
 
 @dataclass(frozen=True)

@@ -40,7 +40,6 @@ from veritable.operators.checks import (
     ROWS,
     Check,
     Target,
-    count_exprs,
     empty,
     one_row,
     report,
@@ -56,7 +55,7 @@ from veritable.operators.fingerprint import (
 from veritable.operators.frequency import value_counts
 from veritable.operators.fusion import fuse, score
 from veritable.operators.quality import quality, quality_summary, severity_counts
-from veritable.operators.rules import Rule, rule_checks
+from veritable.operators.rules import Rule, counted_apart, rule_checks
 from veritable.operators.sampling import sample
 from veritable.plans.registry import Detector, Registry, default_registry
 from veritable.schema import CANDIDATE, DETECTOR_RUN, SCAN_RUN
@@ -145,8 +144,8 @@ _FREQUENCY = {
 _PARALLEL_JOBS = 6
 _QUANTILE = ("iqr_outlier", "percentile_outlier", "modified_zscore")
 _PAIRS = {
-    "conditional_missingness": completeness.conditional_checks,
-    "correlated_missingness": completeness.correlated_checks,
+    "conditional_missingness": (completeness.conditional_checks, completeness.conditional_missingness),
+    "correlated_missingness": (completeness.correlated_checks, completeness.correlated_missingness),
 }
 
 
@@ -159,6 +158,7 @@ class _Pass:
     ids: list[str]
     users: list[Detector]
     errors: dict[str, str] = field(default_factory=dict)
+    rule_errors: dict[str, str] = field(default_factory=dict)
     skipped: set[str] = field(default_factory=set)
     held: list[DataFrame] = field(default_factory=list)
     freq: DataFrame | None = None
@@ -176,6 +176,11 @@ class _Pass:
             self.errors[detector_id] = f"{type(exc).__name__}: {exc}"[:500]
             return None
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(kept)
+        return kept
+
     def has(self, *ids: str) -> bool:
         return any(i in self.ids for i in ids)
 
@@ -196,7 +201,7 @@ class _Pass:
     def pass_a(self, checks: list[Check]) -> None:
         df = self.at.df
         numbers, texts = numeric_columns(df), string_columns(df)
-        extra, read = [F.count(F.lit(1)).alias(ROWS)], []
+        extra, read = [], []
         for i, c in enumerate(df.columns):
             extra.append(F.count_if(col(c).isNull()).alias(f"null{i}"))
         for i, c in enumerate(numbers):
@@ -211,7 +216,7 @@ class _Pass:
         self.ranges = {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"nn{i}"]) for i, c in enumerate(numbers)}
         self.slots = {c: row[f"sk{i}"] for i, c in enumerate(read)}
 
-    def count(self, checks: list[Check], extra: Sequence) -> dict:
+    def count(self, checks: list[Check], extra: Sequence = ()) -> dict:
         """Count the checks, add their candidates, and return the first aggregate's row."""
         ordered = sorted(checks, key=lambda c: c.columns)
         groups = [
@@ -219,24 +224,33 @@ class _Pass:
         ] or [[]]
         first: dict = {}
         for i, group in enumerate(groups):
-            head = list(extra) if i == 0 else [F.count(F.lit(1)).alias(ROWS)]
-            try:
-                row = one_row(self.at.df.agg(*head, *count_exprs(group)))
-            except Exception:
-                row, group = self.count_apart(group, head)
+            head = list(extra) if i == 0 else []
+            row, group = self.counted(group, head)
             self.add_counts(row, group)
             first = first or row
         return first
 
-    def count_apart(self, group: list[Check], head: Sequence) -> tuple[dict, list[Check]]:
-        """The fused aggregate failed: count per detector, so that only the faulty one fails."""
-        row, kept = one_row(self.at.df.agg(*head)), []
-        for d in dict.fromkeys(c.detector_id for c in group):
-            own = [c for c in group if c.detector_id == d]
-            counts = self.guard(d, lambda own=own: one_row(self.at.df.agg(*count_exprs(own))))
-            for i, c in enumerate(own if counts else ()):
-                row[f"hit{len(kept)}"] = counts[f"hit{i}"]
-                kept.append(c)
+    def counted(self, group: list[Check], head: Sequence) -> tuple[dict, list[Check]]:
+        """Counts of the checks that could be counted.
+
+        A detector whose checks fail is marked failed and leaves no candidates; rules share one detector, and each
+        stands by itself.
+        """
+        units: dict[tuple, list[Check]] = {}
+        for c in group:
+            units.setdefault((c.detector_id, c.issue_type if c.detector_id == "contract_rule" else None), []).append(c)
+        parts = [(key, [F.count_if(c.hit) for c in own]) for key, own in units.items()]
+        row, counts, errors = counted_apart(self.at.df, parts, head)
+        for (detector_id, issue_type), error in errors.items():
+            if issue_type is None:
+                self.errors[detector_id] = error
+            else:
+                self.rule_errors[issue_type.removeprefix("rule:")] = error
+        kept = []
+        for key, values in counts.items():
+            for check, value in zip(units[key], values):
+                row[f"hit{len(kept)}"] = value
+                kept.append(check)
         return row, kept
 
     def add_counts(self, row: dict, group: list[Check]) -> None:
@@ -262,11 +276,17 @@ class _Pass:
                 medians = {c: v[0.5] for c, v in q.items()}
                 mads = self.guard("modified_zscore", lambda: numeric.deviations(df, medians, **how))
                 checks += numeric.zscore_checks(medians, mads or {})
-        for d, build in _PAIRS.items():
-            if self.has(d):
+        pairs = completeness.sparse_pairs(self.nulls, self.rows)
+        for d, (build, found) in _PAIRS.items():
+            if self.has(d) and len(pairs) <= completeness.COUNTED_PAIRS:
                 checks += build(self.nulls, self.rows)
+        if self.has(*_PAIRS) and len(pairs) > completeness.COUNTED_PAIRS:
+            both = self.guard("correlated_missingness", lambda: self.hold(completeness.null_pairs(df, completeness.sparse_columns(self.nulls, self.rows))))
+            for d, (build, found) in _PAIRS.items():
+                if self.has(d) and both is not None:
+                    self.parts.append((d, found(self.at, (self.rows, self.nulls), both)))
         if checks:
-            self.count(checks, [F.count(F.lit(1)).alias(ROWS)])
+            self.count(checks)
 
     # -- pass D and the grouped passes ---------------------------------------
     def pass_d(self) -> None:
@@ -446,7 +466,8 @@ def scan(
     broken: dict[str, str] = {}
     if config.rules and rows:
         checks, broken = rule_checks(flat, config.rules)
-        full.count(checks, [F.count(F.lit(1)).alias(ROWS)])
+        full.count(checks)
+        broken |= full.rule_errors
 
     # Candidates are few: per column and detector, plus reported buckets and groups.
     with ThreadPoolExecutor(1) as pool:
