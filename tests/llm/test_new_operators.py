@@ -66,7 +66,9 @@ def test_negatives_equal_brute_force(spark, seed, monkeypatch):
     assert mined(spark, rows) == plain_negatives(rows)
 
 
-def test_coordinate_ranges_prune_and_lose_nothing():
+def test_coordinate_ranges_prune_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(negatives, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(negatives, "WIDE", 0.5)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 24))
     vectors = np.floor(256 * (centres[rng.integers(40, size=3000)] + rng.standard_normal((3000, 24)) * 0.05))

@@ -167,11 +167,13 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFra
     schema = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint, containment double"
     found = [rows.sparkSession.createDataFrame([], schema)]
     for indexes in item_blocks(items):
-        shared = rows.sparkSession.sparkContext.broadcast(indexes)
+        # The fields, not the objects: workers need not have this package.
+        shared = rows.sparkSession.sparkContext.broadcast([vars(i) for i in indexes])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = [Index(**i) for i in shared.value]
             for piece in words.pieces(batches):
-                hits = list(search_piece(piece.column("text"), shared.value, least))
+                hits = list(search_piece(piece.column("text"), known, least))
                 if hits:
                     ids = piece.column("doc_id").take(pa.array([i for i, *_ in hits], pa.int64()))
                     item, n, size = (np.array(x) for x in zip(*(h[1:] for h in hits)))
@@ -195,11 +197,12 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     text, names = f"c{docs.columns.index('text')}", docs.columns
     docs = by_place(docs)
     for indexes in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+        shared = docs.sparkSession.sparkContext.broadcast([vars(i) for i in indexes])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = [Index(**i) for i in shared.value]
             for piece in words.pieces(batches, column=text):
-                bad = {i for i, *_ in search_piece(piece.column(text), shared.value, least)}
+                bad = {i for i, *_ in search_piece(piece.column(text), known, least)}
                 yield piece.filter(pa.array([i not in bad for i in range(piece.num_rows)])) if bad else piece
 
         docs = docs.mapInArrow(run, docs.schema)

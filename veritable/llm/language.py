@@ -6,8 +6,8 @@ table; the text is the average of its rows; a linear softmax gives the language.
 are trained together by stochastic gradient descent in numpy.  A temperature fitted on rows kept
 out of the descent calibrates the probabilities, and the same rows set the rejection threshold.
 
-Fitting takes a bounded sample (``per_language`` labelled rows of each language, drawn by a hash of
-the id); each sampled text is hashed on the executors, whole, so the driver gets at most ``BUCKETS``
+Fitting takes a bounded sample (``per_language`` labelled rows of each of ``most_languages``, ``in_all`` together, by a hash of
+the row); each sampled text is hashed on the executors, whole, so the driver gets at most ``BUCKETS``
 numbers a row.  Prediction is one pass over the texts without a shuffle: after training, table and
 softmax fold into one ``BUCKETS x languages`` matrix that is summed over the n-grams.
 
@@ -38,6 +38,9 @@ UNKNOWN = "und"
 @dataclass
 class Settings:
     per_language: int = 1500
+    #: Rows learnt from in all, and languages (the most frequent ones).
+    in_all: int = 12_000
+    most_languages: int = 200
     width: int = 16
     epochs: int = 12
     #: A small sample is passed over more often, up to this many steps.
@@ -123,23 +126,26 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """About ``per_language`` rows of each language, by a hash of the id.
+    """About ``per_language`` rows of each of the ``most_languages`` most frequent languages, no more than about ``in_all``
+    together, by a hash of the row; equal rows are learnt from once.
 
     The share to draw follows from one count per language, so no language is sorted or gathered.
     """
-    draw = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
     rows = documents(docs, "doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)
     )
     rows = rows.withColumn("draw", draw)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    listed = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_languages)
+    counts = {r["lang"]: r["count"] for r in listed.collect()}
     if not counts:
         return rows.limit(0)
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
-        limit = int(min(1.0, settings.per_language / n) * (1 << 30))
+        wanted = min(settings.per_language, settings.in_all / len(counts))
+        limit = int(min(1.0, wanted / n) * (1 << 30))
         chosen = chosen | ((F.col("lang") == lang) & (F.col("draw") < limit))
-    return rows.filter(chosen & F.col("text").rlike(r"\p{L}"))
+    return rows.filter(chosen & F.col("text").rlike(r"\p{L}")).dropDuplicates(["doc_id", "text", "lang"])
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -246,10 +252,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         ]
     )
     rows = rows.withColumn("lettered", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # The fields, not the object: workers need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         names = np.array([*m.languages, UNKNOWN], object)
         for piece in words.pieces(batches, column=text, limit=1 << 18):
             best, p = scores(m, piece.column(text))
@@ -269,6 +276,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema).toDF(*rest, "lang_pred", "score", "rejected")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected; their columns stay as they are."""
+    text, names = f"c{docs.columns.index('text')}", docs.columns
+    rows = by_place(docs)
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(**shared.value)
+        for piece in words.pieces(batches, column=text, limit=1 << 18):
+            _, p = scores(m, piece.column(text))
+            yield piece.filter(pa.array(p >= m.threshold))
+
+    # Without a language learnt nothing is accepted.
+    rows = rows.filter(lettered if model.languages else F.lit(False))
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
+
+
 def op10(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The digest of the registered query: one row a document."""
     model = fit(docs, settings)

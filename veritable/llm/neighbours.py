@@ -56,9 +56,15 @@ def valid(embeddings: DataFrame) -> DataFrame:
     return rows.filter(F.size("vector") == (common["d"] if common else 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two each, so that no square leaves the range of floats; cosines stay, to the last bit."""
+    _, exponent = np.frexp(np.abs(x).max(1, initial=0, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return scaled(flat.reshape(len(column), -1))
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +183,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, seed: int = 17, wid
         rows = sorted(part.collect(), key=lambda r: (r["vec_id"], r["vector"]))
         if not rows:
             continue
-        q = (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64))
+        q = (np.array([r["vec_id"] for r in rows], np.int64), scaled(np.array([r["vector"] for r in rows], np.float64)))
         shared = index.sparkSession.sparkContext.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

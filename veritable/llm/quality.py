@@ -152,13 +152,13 @@ class Model:
 
 def truth(labels: DataFrame) -> DataFrame:
     """One label for each document that has just one."""
-    rows = labels.select(field(labels, "doc_id").cast("bigint").alias("doc_id"), field(labels, "quality").cast("int").alias("q"))
+    rows = labels.select(field(labels, "doc_id").cast("bigint").alias("doc_id"), field(labels, "quality").try_cast("double").alias("q"))
     return (
         rows.filter(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("q").alias("quality"), F.max("q").alias("high"))
-        .filter((F.col("quality") == F.col("high")) & F.col("quality").isin(0, 1))
-        .select("doc_id", "quality")
+        .filter((F.col("quality") == F.col("high")) & F.col("quality").isin(0.0, 1.0))
+        .select("doc_id", F.col("quality").cast("int").alias("quality"))
     )
 
 
@@ -221,12 +221,14 @@ def fit(rows: DataFrame, pooled: float = 0.05, round_: float = 0.01) -> Model:
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``score`` and ``predicted`` for packed statistics."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # The fields, not the object: workers need not have this package.
+    shared = rows.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(**shared.value)
         for b in batches:
             x = np.frombuffer(b"".join(b.column("x").to_pylist()), "<f8").reshape(-1, D)
-            score = shared.value.score(x)
+            score = known.score(x)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                 ["doc_id", "score", "predicted"],

@@ -65,10 +65,16 @@ _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({_NAME})["']?[ \t]*(?::=|=>|=|:)(?!=|//)[ \t]*""", re.A)
+#: A type between a name and its value, as in ``name: list[str] | None = value``.
+_TYPE = r"[A-Za-z_][A-Za-z0-9_.]*(?:\[[A-Za-z0-9_., \t|\[\]]*\])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*"
+_PAIR = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])["']?({_NAME})["']?(?:[ \t]*:[ \t]*{_TYPE}(?=[ \t]*=(?!=)))?[ \t]*(?::=|=>|=|:)(?!=|//)[ \t]*""", re.A
+)
 _ATOM = re.compile(rf"({_QUOTED})|([A-Za-z0-9+/_.=\-]+)", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Names as constants have them: upper case, or words joined by underscores.
+_CONSTANT_NAME = re.compile(r"(?:[A-Z_][A-Z0-9_]*|[a-z][a-z0-9]*(?:_[a-z0-9]+)+)\Z", re.A)
 _PLAIN_NAME = re.compile(rf"{_NAME}\Z", re.A)
 _DULL = re.compile(r"(?i)(?:example|changeme|placeholder|your[_-]|xxxx|todo|null|none|true|false|test)")
 
@@ -114,6 +120,8 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
         while atom := _ATOM.match(text, at):
             lo, hi = atom.span()
             quoted = atom[1] is not None
+            if not quoted and hi - lo > 1 and text[hi - 1] == "+" and text[hi : hi + 1] in ('"', "'"):
+                hi -= 1  # name+"literal"
             atoms.append((lo + 1, hi - 1, True) if quoted else (lo, hi, False))
             joined = _PLUS.match(text, hi)
             if not joined:
@@ -123,6 +131,18 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
             yield m[1], atoms
 
 
+def operands(text: str, lo: int, hi: int, constants: dict) -> list[tuple[int, int]]:
+    """An unquoted atom, or the operands of the ``+`` in it where these are constants or the names of such."""
+    parts = text[lo:hi].split("+")
+    if len(parts) == 1 or not (any(p in constants for p in parts) or all(_CONSTANT_NAME.match(p) for p in parts)):
+        return [(lo, hi)]
+    out = []
+    for p in parts:
+        out.append((lo, lo + len(p)))
+        lo += len(p) + 1
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """What the lexer finds: literals that reach a sensitive name."""
     lowered = text.lower()
@@ -132,11 +152,13 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     found: set[tuple[int, int, str]] = set()
     for name, atoms in pairs(text):
         own: list[tuple[int, int, str]] = []
-        for lo, hi, quoted in atoms:
-            if not quoted and text[lo:hi] in constants:
-                own += [(a, b, "const") for a, b in constants[text[lo:hi]]]
-            elif quoted or len(text[lo:hi]) >= 8:
-                own.append((lo, hi, "literal"))
+        for start, end, quoted in atoms:
+            split = [(start, end)] if quoted else operands(text, start, end, constants)
+            for lo, hi in split:
+                if not quoted and text[lo:hi] in constants:
+                    own += [(a, b, "const") for a, b in constants[text[lo:hi]]]
+                elif quoted or hi - lo >= 8 and len(split) == 1:
+                    own.append((lo, hi, "literal"))
         weight = name_weight(name)
         whole = "".join(text[a:b] for a, b, _ in own)
         if weight and weight * literal_weight(whole) >= THRESHOLD:
