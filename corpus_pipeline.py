@@ -7,14 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritable.llm import decontaminate, language, neardup, packing, secrets
-from veritable.llm.common import field, kept
+from veritable.llm.common import kept
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected: no letter, or a calibrated probability under the threshold."""
-    model = language.fit(docs)
-    kept_ = language.predict(docs, model).filter("NOT rejected")
-    return kept_.select(*(field(kept_, c) for c in docs.columns))
+    return language.accepted(docs, language.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
