@@ -1,7 +1,7 @@
 """Numeric outlier detectors.
 
-Bounds come from one or two quantile passes over all numeric columns at once;
-they are then literals in an ordinary counted check.
+Quantiles, deviations and the counts outside the bounds made of them come from two reads of the table for
+all numeric columns together (``operators/brackets``); histograms ride on the second one.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.functions.columns import col, numeric_columns
+from veritable.operators.brackets import Found, Outliers, as_value, resolve
 from veritable.operators.checks import (
+    ROWS,
     Check,
     Target,
     candidate,
     empty,
     evidence_json,
+    report,
     run_checks,
     target,
 )
@@ -40,16 +43,40 @@ def column_quantiles(df: DataFrame, names: Sequence[str], **how) -> dict[str, di
     return {c: dict(zip(PROBS, q)) for c, q in found.items() if q[0] is not None}
 
 
-def deviations(
-    df: DataFrame, medians: Mapping[str, float], spans: Mapping[str, tuple] | None = None, **how
-) -> dict[str, float]:
-    """Median absolute deviation per column."""
-    spread = {c: F.abs(col(c).cast("double") - F.lit(m)) for c, m in medians.items()}
-    if spans is not None:
-        how["spans"] = {
-            c: (0.0, max(spans[c][1] - m, m - spans[c][0]), spans[c][2]) for c, m in medians.items()
-        }
-    return {c: q[0] for c, q in exact_quantiles(df, spread, [0.5], **how).items()}
+def outliers(limit: float = MAD_LIMIT) -> Outliers:
+    return Outliers(LOWER_K, UPPER_K, LOW_P, HIGH_P, MAD_SCALE, limit)
+
+
+def resolved(df: DataFrame, names: Sequence[str], limit: float = MAD_LIMIT, **known) -> dict[str, Found]:
+    """Quantiles, deviations and outlier counts of numeric columns, from two reads of the table."""
+    found = resolve(df, {c: as_value(col(c)) for c in names}, PROBS, outliers(limit), **known)
+    return {c: f for c, f in found.items() if f.rows}
+
+
+def quantiles_of(found: Mapping[str, Found]) -> dict[str, dict[float, float]]:
+    return {c: dict(zip(PROBS, f.quantiles)) for c, f in found.items()}
+
+
+def outlier_counts(found: Mapping[str, Found], detectors: Sequence[str], limit: float = MAD_LIMIT) -> list[tuple[Check, int]]:
+    """The checks of D26-D28 with their counts."""
+    q, out = quantiles_of(found), []
+    if "iqr_outlier" in detectors:
+        out += [(c, found[c.columns[0]].outside_fences) for c in iqr_checks(q)]
+    if "percentile_outlier" in detectors:
+        out += [(c, found[c.columns[0]].outside_quantiles) for c in percentile_checks(q)]
+    if "modified_zscore" in detectors:
+        medians, mads = {c: v[0.5] for c, v in q.items()}, {c: f.mad for c, f in found.items()}
+        out += [(c, found[c.columns[0]].far) for c in zscore_checks(medians, mads, limit)]
+    return out
+
+
+def counted(at: Target, rows: int, counts: Sequence[tuple[Check, int]]) -> DataFrame:
+    """Candidates of checks that were counted already."""
+    if not counts:
+        return empty(at.spark)
+    names = [ROWS, *(f"hit{i}" for i in range(len(counts)))]
+    one = at.spark.createDataFrame([(rows, *(n for _, n in counts))], ", ".join(f"{n} bigint" for n in names))
+    return report(at, one, [c for c, _ in counts])
 
 
 def _outside(name: str, lower: float, upper: float):
@@ -125,25 +152,40 @@ def tail_checks(df: DataFrame, cols=None, minimum: float = MINIMUM) -> list[Chec
     ]
 
 
-def iqr_outlier(df: DataFrame | Target, cols=None, **how) -> DataFrame:
-    """Outside [q25 - 1.5 IQR, q75 + 3 IQR]."""
+def _outliers(df: DataFrame | Target, detector: str, cols, approx: bool, limit: float = MAD_LIMIT) -> DataFrame:
     at = target(df)
-    return run_checks(at, iqr_checks(column_quantiles(at.df, numeric_columns(at.df, cols), **how)))
+    names = numeric_columns(at.df, cols)
+    if not approx:
+        rows = at.df.count()
+        return counted(at, rows, outlier_counts(resolved(at.df, names, limit), [detector], limit))
+    q = column_quantiles(at.df, names, approx=True)
+    if detector == "iqr_outlier":
+        return run_checks(at, iqr_checks(q))
+    if detector == "percentile_outlier":
+        return run_checks(at, percentile_checks(q))
+    medians = {c: v[0.5] for c, v in q.items()}
+    return run_checks(at, zscore_checks(medians, approximate_deviations(at.df, medians), limit))
+
+
+def approximate_deviations(df: DataFrame, medians: Mapping[str, float]) -> dict[str, float]:
+    """Median absolute deviation per column, from a sketch."""
+    spread = {c: F.abs(col(c).cast("double") - F.lit(m)) for c, m in medians.items()}
+    return {c: q[0] for c, q in exact_quantiles(df, spread, [0.5], approx=True).items()}
 
 
-def percentile_outlier(df: DataFrame | Target, cols=None, **how) -> DataFrame:
+def iqr_outlier(df: DataFrame | Target, cols=None, approx: bool = False) -> DataFrame:
+    """Outside [q25 - 1.5 IQR, q75 + 3 IQR]."""
+    return _outliers(df, "iqr_outlier", cols, approx)
+
+
+def percentile_outlier(df: DataFrame | Target, cols=None, approx: bool = False) -> DataFrame:
     """Below P0.1 or above P99.9."""
-    at = target(df)
-    found = column_quantiles(at.df, numeric_columns(at.df, cols), **how)
-    return run_checks(at, percentile_checks(found))
+    return _outliers(df, "percentile_outlier", cols, approx)
 
 
-def modified_zscore(df: DataFrame | Target, cols=None, limit=MAD_LIMIT, **how) -> DataFrame:
+def modified_zscore(df: DataFrame | Target, cols=None, limit=MAD_LIMIT, approx: bool = False) -> DataFrame:
     """Further than 0.6745 * 3.5 * MAD from the median."""
-    at = target(df)
-    found = column_quantiles(at.df, numeric_columns(at.df, cols), **how)
-    medians = {c: q[0.5] for c, q in found.items()}
-    return run_checks(at, zscore_checks(medians, deviations(at.df, medians, **how), limit))
+    return _outliers(df, "modified_zscore", cols, approx, limit)
 
 
 def tail_probability(df: DataFrame | Target, cols=None, minimum: float = MINIMUM) -> DataFrame:
@@ -157,40 +199,53 @@ def spans(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float,
     return value_spans(df, {c: col(c).cast("double") for c in names}) if names else {}
 
 
-def histogram_rarity(
-    df: DataFrame | Target, cols=None, bins: int = BINS, min_ratio: float = BIN_RATIO, known=None
-) -> DataFrame:
-    """Equal-width bins holding very few rows (the maximum falls in its own bin)."""
-    at = target(df)
-    known = known if known is not None else spans(at.df, numeric_columns(at.df, cols))
+def histogram_steps(known: Mapping[str, tuple], bins: int = BINS, min_ratio: float = BIN_RATIO) -> dict[str, tuple[float, float, int]]:
+    """Start, width and least frequency of the bins of each column that can have rare ones."""
     usable = {
         c: (lo, (hi - lo) / bins, max(1, int(n * min_ratio)))
         for c, (lo, hi, n) in known.items()
-        if n and (hi - lo) / bins > 0
+        if n and 0 < (hi - lo) / bins < float("inf")
     }
     # A bin holding at least one row is never below a limit of one.
-    usable = {c: v for c, v in usable.items() if v[2] > 1}
+    return {c: v for c, v in usable.items() if v[2] > 1}
+
+
+def histogram_rarity(
+    df: DataFrame | Target,
+    cols=None,
+    bins: int = BINS,
+    min_ratio: float = BIN_RATIO,
+    known=None,
+    counts: Mapping[str, Mapping[int, int]] | None = None,
+) -> DataFrame:
+    """Equal-width bins holding very few rows (the maximum falls in its own bin).
+
+    ``counts`` are the rows in each bin of each column where they are known.
+    """
+    at = target(df)
+    known = known if known is not None else spans(at.df, numeric_columns(at.df, cols))
+    usable = histogram_steps(known, bins, min_ratio)
     if not usable:
         return empty(at.spark)
-    cells = [
-        F.struct(
-            F.lit(i).alias("no"),
-            F.floor((col(c).cast("double") - F.lit(lo)) / F.lit(width)).alias("bin"),
-        )
-        for i, (c, (lo, width, _)) in enumerate(usable.items())
-    ]
 
     def of(values):
         return F.get(F.array(*[F.lit(v) for v in values]), F.col("no"))
 
+    if counts is None:
+        cells = [
+            F.struct(
+                F.lit(i).alias("no"),
+                F.floor((col(c).cast("double") - F.lit(lo)) / F.lit(width)).alias("bin"),
+            )
+            for i, (c, (lo, width, _)) in enumerate(usable.items())
+        ]
+        counted_bins = at.df.select(F.inline(F.array(*cells))).filter("bin is not null").groupBy("no", "bin").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        # At most ``bins`` + 1 rows per column.
+        local = [(i, b, n) for i, c in enumerate(usable) for b, n in counts.get(c, {}).items()]
+        counted_bins = at.spark.createDataFrame(local, "no int, bin bigint, n bigint")
     limits = of([v[2] for v in usable.values()])
-    rare = (
-        at.df.select(F.inline(F.array(*cells)))
-        .filter("bin is not null")
-        .groupBy("no", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") < limits)
-    )
+    rare = counted_bins.filter(F.col("n") < limits)
     # At most ``bins`` + 1 rows per column.
     return (
         rare.groupBy("no")

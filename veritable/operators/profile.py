@@ -86,7 +86,7 @@ def _profile(df, order, names, approx, freq, quantiles) -> DataFrame:
     rows = row[ROWS]
     if quantiles is None:
         values = {c: col(c) for c in names if c in numeric}
-        found = exact_quantiles(df, values, [0.25, 0.5, 0.75], approx=approx, rows=rows)
+        found = exact_quantiles(df, values, [0.25, 0.5, 0.75], approx=approx)
     else:
         found = {c: [q[0.25], q[0.5], q[0.75]] for c, q in quantiles.items()}
     local = []

@@ -1,8 +1,7 @@
-"""Exact interpolated quantiles that never gather a column in one task.
+"""Exact quantiles and order statistics that never gather a column in one task.
 
-Small inputs use Spark's exact ``percentile``, which holds a column's distinct
-values in one buffer.  Beyond ``direct_rows`` the wanted ranks are located by
-counting: one aggregate counts each column's values in equal-width bins, only
+Quantiles of columns are bracketed by sketches (``operators/brackets``).  Order statistics of one expression, as
+samples need them, are located by counting: one aggregate counts the values in equal-width bins, only
 the bins that hold a wanted rank are split again, and bins that have become
 small are listed.  Counts are exact at every step, so the result is too; a pass
 returns a bounded number of bins and combines on the map side.
@@ -18,9 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritable.operators.brackets import as_value, resolve
 from veritable.operators.checks import one_row
 
-DIRECT_ROWS = 100_000
 LISTED_ROWS = 5_000
 _FIRST_BINS, _LATER_BINS = 4096, 256
 _EDGES = [i / 64 for i in range(65)]
@@ -155,13 +154,6 @@ def order_statistics(
     return found
 
 
-def _interpolate(n: int, p: float, stat) -> float:
-    pos = (n - 1) * p
-    low, high = math.floor(pos), math.ceil(pos)
-    a, b = stat(low), stat(high)
-    return a if low == high or a == b else (high - pos) * a + (pos - low) * b
-
-
 def value_spans(df: DataFrame, values: Mapping[str, Column]) -> dict[str, tuple]:
     """(minimum, maximum, non-null rows) of each expression."""
     row = one_row(
@@ -180,44 +172,18 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     approx: bool = False,
-    direct_rows: int = DIRECT_ROWS,
-    listed_rows: int = LISTED_ROWS,
-    rows: int | None = None,
-    spans: Mapping[str, tuple] | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each named expression, linearly interpolated, NULLs skipped.
 
-    ``approx`` answers from one sketch pass instead.  ``rows`` and ``spans``
-    ((lower bound, upper bound, non-null rows) by name) may carry what is already
-    known and save a pass.
+    ``approx`` answers from one sketch pass instead of two reads.
     """
-    values = {k: v.cast("double") for k, v in values.items()}
     names, probs = list(values), list(probs)
     unknown: list[float | None] = [None] * len(probs)
     if not names:
         return {}
-    if approx or (rows is not None and rows <= direct_rows):
-        exact = F.array(*map(F.lit, probs))
-        aggs = [
-            F.percentile_approx(v, probs, _ACCURACY) if approx else F.percentile(v, exact)
-            for v in values.values()
-        ]
-        row = one_row(df.agg(*[a.alias(f"q{i}") for i, a in enumerate(aggs)]))
-        return {k: list(row[f"q{i}"] or unknown) for i, k in enumerate(names)}
-    if spans is None:
-        spans = value_spans(df, values)
-        if max(s[2] for s in spans.values()) <= direct_rows:
-            return exact_quantiles(df, values, probs, direct_rows=direct_rows, rows=direct_rows)
-    ranks = {
-        k: {f((spans[k][2] - 1) * p) for p in probs for f in (math.floor, math.ceil)}
-        for k in names
-        if spans[k][2]
-    }
-    bounds = {k: (float(spans[k][0]), float(spans[k][1])) for k in ranks}
-    found = order_statistics(df, values, bounds, ranks, listed_rows)
-    return {
-        k: [_interpolate(spans[k][2], p, lambda r, k=k: found[(k, r)]) for p in probs]
-        if k in ranks
-        else unknown
-        for k in names
-    }
+    if not approx:
+        return {k: f.quantiles for k, f in resolve(df, {k: as_value(v) for k, v in values.items()}, probs).items()}
+    row = one_row(
+        df.agg(*[F.percentile_approx(v.cast("double"), probs, _ACCURACY).alias(f"q{i}") for i, v in enumerate(values.values())])
+    )
+    return {k: list(row[f"q{i}"] or unknown) for i, k in enumerate(names)}

@@ -1,10 +1,10 @@
 """The full scan (E01): every detector, few passes.
 
-Pass A  one aggregate: row count, NULL counts, ranges, sketches, and all counted
+Pass A  one aggregate: row count, NULL counts, ranges, quantile sketches, and all counted
         predicates of all columns, built-in and user-declared, and the rules.
-Pass B  quantiles, then deviations, of all numeric columns together.
-Pass C  one aggregate: outlier fences and pair counts, whose bounds come from A and B.
-Pass D  the value-frequency table, computed once and read by the duplicate,
+Pass B  quantiles, deviations, outlier counts and histograms of all numeric columns together, in zones
+        that the sketches of pass A leave open; NULL pairs, if there are any.
+Pass C  the value-frequency table, computed once and read by the duplicate,
         category, spelling and date detectors.
 The remaining detectors (time buckets, groups, histogram, orphans, model) are one
 grouped pass each.  Only one-row aggregates return to the driver before the
@@ -35,6 +35,7 @@ from veritable.functions.columns import (
 )
 from veritable.operators import categorical, completeness, cross, dates, model_outlier, numeric
 from veritable.operators import text_format, uniqueness
+from veritable.operators.brackets import as_value, sketch
 from veritable.operators.checks import (
     MAX_EXPRESSIONS,
     ROWS,
@@ -166,6 +167,7 @@ class _Pass:
     nulls: dict[str, int] = field(default_factory=dict)
     ranges: dict[str, tuple] = field(default_factory=dict)
     slots: dict[str, int] = field(default_factory=dict)
+    sketches: dict[str, list] = field(default_factory=dict)
     parts: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     def guard(self, detector_id: str, build: Callable):
@@ -202,11 +204,14 @@ class _Pass:
         df = self.at.df
         numbers, texts = numeric_columns(df), string_columns(df)
         extra, read = [], []
+        sketched = self.has(*_QUANTILE, "histogram_rarity") and not self.config.approx
         for i, c in enumerate(df.columns):
             extra.append(F.count_if(col(c).isNull()).alias(f"null{i}"))
         for i, c in enumerate(numbers):
             x = col(c).cast("double")
             extra += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"nn{i}")]
+            if sketched:
+                extra.append(sketch(as_value(col(c))).alias(f"kll{i}"))
         if self.has("group_missingness"):
             read = texts
             extra += [completeness.occupied_slots(col(c)).alias(f"sk{i}") for i, c in enumerate(read)]
@@ -215,6 +220,7 @@ class _Pass:
         self.nulls = {c: row[f"null{i}"] for i, c in enumerate(df.columns)}
         self.ranges = {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"nn{i}"]) for i, c in enumerate(numbers)}
         self.slots = {c: row[f"sk{i}"] for i, c in enumerate(read)}
+        self.sketches = {c: row[f"kll{i}"] for i, c in enumerate(numbers)} if sketched else {}
 
     def count(self, checks: list[Check], extra: Sequence = ()) -> dict:
         """Count the checks, add their candidates, and return the first aggregate's row."""
@@ -265,17 +271,10 @@ class _Pass:
     def pass_c(self) -> None:
         df, checks = self.at.df, []
         numbers = [c for c, s in self.ranges.items() if s[2]]
-        if self.has(*_QUANTILE) and numbers:
-            how = {"rows": self.rows, "spans": self.ranges, "approx": self.config.approx}
-            q = self.guard("iqr_outlier", lambda: numeric.column_quantiles(df, numbers, **how)) or {}
-            if self.has("iqr_outlier"):
-                checks += numeric.iqr_checks(q)
-            if self.has("percentile_outlier"):
-                checks += numeric.percentile_checks(q)
-            if self.has("modified_zscore") and q:
-                medians = {c: v[0.5] for c, v in q.items()}
-                mads = self.guard("modified_zscore", lambda: numeric.deviations(df, medians, **how))
-                checks += numeric.zscore_checks(medians, mads or {})
+        if self.config.approx and self.has(*_QUANTILE) and numbers:
+            checks += self.approximate_checks(numbers)
+        elif self.sketches and numbers:
+            self.guard("iqr_outlier", lambda: self.outliers(numbers))
         pairs = completeness.sparse_pairs(self.nulls, self.rows)
         for d, (build, found) in _PAIRS.items():
             if self.has(d) and len(pairs) <= completeness.COUNTED_PAIRS:
@@ -288,6 +287,34 @@ class _Pass:
         if checks:
             self.count(checks)
 
+    def approximate_checks(self, numbers: list[str]) -> list[Check]:
+        df, checks = self.at.df, []
+        q = self.guard("iqr_outlier", lambda: numeric.column_quantiles(df, numbers, approx=True)) or {}
+        if self.has("iqr_outlier"):
+            checks += numeric.iqr_checks(q)
+        if self.has("percentile_outlier"):
+            checks += numeric.percentile_checks(q)
+        if self.has("modified_zscore") and q:
+            medians = {c: v[0.5] for c, v in q.items()}
+            mads = self.guard("modified_zscore", lambda: numeric.approximate_deviations(df, medians))
+            checks += numeric.zscore_checks(medians, mads or {})
+        return checks
+
+    def outliers(self, numbers: list[str]) -> None:
+        """Quantiles, deviations, everything counted outside of their bounds, and the histograms: one read."""
+        steps = numeric.histogram_steps(self.ranges) if self.has("histogram_rarity") else {}
+        found = numeric.resolved(
+            self.at.df,
+            numbers,
+            sketches={c: (self.ranges[c][2], self.sketches[c]) for c in numbers},
+            bins={c: (lo, width) for c, (lo, width, _) in steps.items()},
+        )
+        wanted = [d for d in _QUANTILE if self.has(d)]
+        self.parts.append((wanted[0] if wanted else "histogram_rarity", numeric.counted(self.at, self.rows, numeric.outlier_counts(found, wanted))))
+        if self.has("histogram_rarity"):
+            counts = {c: f.bins for c, f in found.items()}
+            self.parts.append(("histogram_rarity", numeric.histogram_rarity(self.at, known=self.ranges, counts=counts)))
+
     # -- pass D and the grouped passes ---------------------------------------
     def pass_d(self) -> None:
         wanted = [d for d in _FREQUENCY if self.has(d)]
@@ -306,7 +333,7 @@ class _Pass:
         builders = {
             "sudden_missingness": lambda: completeness.sudden_missingness(at, known),
             "group_missingness": lambda: completeness.group_missingness(at, known, self.slots),
-            "histogram_rarity": lambda: numeric.histogram_rarity(at, known=self.ranges),
+            **({"histogram_rarity": lambda: numeric.histogram_rarity(at, known=self.ranges)} if not self.sketches else {}),
             "model_outlier": lambda: model_outlier.model_outlier(
                 at, known=self.ranges, seed=self.config.seed, freq=self.freq, **model
             ),
