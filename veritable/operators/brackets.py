@@ -1,6 +1,6 @@
 """Exact quantiles, deviations and outlier counts of many columns from two reads of a table.
 
-The first read keeps a KLL sketch of each column (it rides on any aggregate).  Its quantiles cut a column into
+The first read keeps a KLL sketch of each column.  Its quantiles cut a column into
 cells of about equal counts, and interval arithmetic over the cells tells where everything wanted can lie: a
 quantile between two values, a fence made of quantiles between two others, the median deviation and the score
 limit made of it likewise.  Only values inside these zones matter one by one; of all others it is enough to know how many lie
@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size of a sketch, its cells, and the share of rows by which its ranks may be off.
-SKETCH_K, GRID, SLACK = 2048, 512, 0.003
+SKETCH_K, GRID, SLACK = 2048, 256, 0.003
 #: Distinct values that are read one by one, and cells of a zone that holds more.
 LISTED, ZONE_CELLS = 500_000, 256
 
@@ -60,11 +59,23 @@ def as_value(c: Column) -> Column:
     return F.when(F.isnan(x), F.lit(math.inf)).otherwise(x)
 
 
-def sketch(x: Column) -> Column:
-    """The cell limits of a column as an aggregate; NULL without values."""
-    steps = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
-    limits = F.call_function("kll_sketch_get_quantile_double", F.kll_sketch_agg_double(x, SKETCH_K), steps)
-    return F.when(F.count(x) > 0, limits)
+def _limits(x: Column, cells: int) -> Column:
+    """The limits of ``cells`` cells of about equal counts, as an aggregate."""
+    steps = F.expr("array(" + ", ".join(f"{i / cells}D" for i in range(cells + 1)) + ")")
+    return F.call_function("kll_sketch_get_quantile_double", F.kll_sketch_agg_double(x, SKETCH_K), steps)
+
+
+def sketches_of(df: DataFrame, values: Mapping[str, Column]) -> dict[str, tuple[int, Sequence[float] | None]]:
+    """Rows and cell limits of each expression, from one read.
+
+    An aggregate of its own: beside sketches Spark would not compile the other aggregates.
+    """
+    named = df.select(*(v.alias(f"v{i}") for i, v in enumerate(values.values())))
+    row = named.agg(
+        *(F.count(f"v{i}").alias(f"n{i}") for i in range(len(values))),
+        *(F.when(F.count(f"v{i}") > 0, _limits(F.col(f"v{i}"), GRID)).alias(f"s{i}") for i in range(len(values))),
+    ).first()
+    return {k: (row[f"n{i}"], row[f"s{i}"]) for i, k in enumerate(values)}
 
 
 class Cells:
@@ -171,18 +182,25 @@ def _zones(cells: Cells, marked: np.ndarray) -> list[tuple[float, float]]:
     return out
 
 
-def _placed(x: Column, zones: Sequence[tuple[float, float]]) -> tuple[Column, Column]:
-    """How many zones lie below ``x``, and ``x`` itself where it lies in one."""
-    gap = reduce(lambda a, b: a + b, [(x > F.lit(hi)).cast("int") for _, hi in zones], F.lit(0))
-    inside = reduce(lambda a, b: a | b, [x.between(F.lit(lo), F.lit(hi)) for lo, hi in zones], F.lit(False))
+def _placed(x: Column, no: Column, zones: Sequence[Sequence[tuple[float, float]]]) -> tuple[Column, Column]:
+    """How many zones of its column lie below ``x``, and ``x`` itself where it lies in one.
+
+    The limits are looked up by the column's number, so the expression is as small for many columns as for one.
+    """
+    gap, inside = F.lit(0), F.lit(False)
+    for k in range(max(map(len, zones), default=0)):
+        # A zone that is not there lies above everything and holds nothing.
+        own = [z[k] if k < len(z) else (math.inf, -math.inf) for z in zones]
+        above = [z[k][1] if k < len(z) else math.inf for z in zones]
+        lo, hi, top = (F.get(_numbers(v), no) for v in ([z[0] for z in own], [z[1] for z in own], above))
+        gap = gap + (x > top).cast("int")
+        inside = inside | ((x >= lo) & (x <= hi))
     return gap, F.when(inside, x)
 
 
-def _bin(x: Column, at: tuple[float, float] | None) -> Column:
-    if at is None:
-        return F.lit(None).cast("bigint")
-    lo, width = at
-    return F.floor((x - F.lit(lo)) / F.lit(width))
+def _numbers(values: Sequence[float]) -> Column:
+    names = {math.inf: "double('Infinity')", -math.inf: "double('-Infinity')"}
+    return F.expr("array(" + ", ".join(names.get(v) or f"{v!r}D" for v in map(float, values)) + ")")
 
 
 _GROUP = ("no", "gap", "x")
@@ -190,30 +208,29 @@ _GROUP = ("no", "gap", "x")
 
 def _from_source(df: DataFrame, values: Sequence[Column], zones: Sequence, bins: Sequence) -> DataFrame:
     """``no, gap, x, bin, lo, hi, n``: every column's values, single in zones and counted in gaps."""
-    cells = []
-    for i, (x, z, b) in enumerate(zip(values, zones, bins)):
-        gap, key = _placed(x, z)
-        cells.append(F.struct(F.lit(i).alias("no"), gap.alias("gap"), key.alias("x"), _bin(x, b).alias("bin"), x.alias("v")))
-    rows = df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
+    named = df.select(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    cells = F.array(*(F.struct(F.lit(i).alias("no"), F.col(f"v{i}").alias("v")) for i in range(len(values))))
+    rows = named.select(F.inline(cells)).filter(F.col("v").isNotNull())
+    gap, key = _placed(F.col("v"), F.col("no"), zones)
+    bin_ = F.lit(None).cast("bigint")
+    if any(bins):
+        start, width = (F.get(_numbers([b[i] if b else math.inf for b in bins]), F.col("no")) for i in (0, 1))
+        bin_ = F.when(width < math.inf, F.floor((F.col("v") - start) / width))
+    rows = rows.select("no", gap.alias("gap"), key.alias("x"), bin_.alias("bin"), "v")
     return rows.groupBy(*_GROUP, "bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
 def _narrowed(table: DataFrame, zones: Sequence) -> DataFrame:
     """The single values of a counted table that lie in narrower zones."""
-    gap, key = F.lit(0), F.lit(None).cast("double")
-    for i, z in enumerate(zones):
-        g, k = _placed(F.col("x"), z)
-        gap, key = F.when(F.col("no") == i, g).otherwise(gap), F.when(F.col("no") == i, k).otherwise(key)
-    return table.withColumns({"gap": gap, "x": key}).filter(F.col("x").isNotNull())
+    gap, key = _placed(F.col("x"), F.col("no"), zones)
+    return table.withColumns({"gap": gap, "x": key}).withColumn("bin", F.lit(None).cast("bigint")).filter(F.col("x").isNotNull())
 
 
 def _in_cells(table: DataFrame) -> DataFrame:
     """``no, lo, hi, n``: the values of a zone in up to ``ZONE_CELLS`` cells between quantiles of its distinct values."""
-    steps = F.array(*(F.lit(i / ZONE_CELLS) for i in range(ZONE_CELLS + 1)))
-    limits = F.call_function("kll_sketch_get_quantile_double", F.kll_sketch_agg_double("x", SKETCH_K), steps)
     single = table.filter(F.col("x").isNotNull())
     # A row a zone, some twenty a column.
-    edges = single.groupBy("no", "gap").agg(limits.alias("limits"))
+    edges = single.groupBy("no", "gap").agg(_limits(F.col("x"), ZONE_CELLS).alias("limits"))
     cell = F.size(F.filter("limits", lambda e: e < F.col("x")))
     told = single.join(F.broadcast(edges), ["no", "gap"]).withColumn("cell", cell)
     told = told.groupBy("no", "gap", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
@@ -250,17 +267,12 @@ def resolve(
 ) -> dict[str, Found]:
     """All of it for each named expression (``as_value`` ones); NULLs are skipped.
 
-    ``sketches`` (rows and ``sketch`` of each) save the first read.  ``bins`` (start and width) ask for counts in bins of equal
+    ``sketches`` (what ``sketches_of`` returned) save the first read.  ``bins`` (start and width) ask for counts in bins of equal
     width, which the same read gives.
     """
     if not values:
         return {}
-    if sketches is None:
-        row = df.agg(
-            *(F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())),
-            *(sketch(v).alias(f"s{i}") for i, v in enumerate(values.values())),
-        ).first()
-        sketches = {k: (row[f"n{i}"], row[f"s{i}"]) for i, k in enumerate(values)}
+    sketches = sketches_of(df, values) if sketches is None else sketches
     names = [k for k in values if sketches[k][0]]
     found = {k: Found(0, [None] * len(probs)) for k in values}
     if not names:
@@ -279,17 +291,24 @@ def resolve(
             if source:
                 table = _from_source(df, columns, zones, [None] * len(names) if known else steps).persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(table)
-                if not known and bins:
-                    for r in table.filter("bin IS NOT NULL").groupBy("no", "bin").agg(F.sum("n").alias("n")).collect():
-                        found[names[r["no"]]].bins[r["bin"]] = r["n"]
-                table = table.groupBy(*_GROUP).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")) if bins else table.drop("bin")
             else:
                 table = _narrowed(table, zones)
-            if table.limit(LISTED + 1).count() <= LISTED:
-                told = table.select("no", "lo", "hi", "n", F.col("x").isNull().alias("between"))
+            few = table.count() <= LISTED
+            if few:
+                told = table.toArrow().to_pandas()
+                told["between"] = told["x"].isna()
+                counted = told.dropna(subset=["bin"]).groupby(["no", "bin"], as_index=False)["n"].sum().to_dict("records")
+                # What was told apart by bins only is one.
+                told = told.groupby(["no", "gap", "x"], dropna=False, as_index=False).agg({"lo": "min", "hi": "max", "n": "sum", "between": "first"})
             else:
-                told = _in_cells(table)
-            told = told.toPandas()
+                if bins and not known:
+                    counted = table.filter("bin IS NOT NULL").groupBy("no", "bin").agg(F.sum("n").alias("n")).collect()
+                if source:
+                    table = table.groupBy(*_GROUP).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+                told = _in_cells(table).toArrow().to_pandas()
+            if bins and not known:
+                for r in counted:
+                    found[names[r["no"]]].bins[int(r["bin"])] = int(r["n"])
             parts = [told[told["no"] == i] for i in range(len(names))]
             if known:
                 for k, part, state in zip(known, parts, states):

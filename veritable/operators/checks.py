@@ -158,17 +158,18 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CANDIDATE)
 
 
-def report(at: Target, measures: DataFrame, checks: Sequence[Check]) -> DataFrame:
+def report(at: Target, measures: DataFrame, checks: Sequence[Check], keys: Sequence[str] = ()) -> DataFrame:
     """Candidates for the checks whose counts pass their own limits.
 
     The counts become rows and meet the checks' constants in a join of that many
-    rows, so the plan stays the same size however many checks there are.
+    rows, so the plan stays the same size however many checks there are.  ``measures`` may have several rows, told
+    apart by ``keys``, which the candidates then carry.
     """
     if not checks:
         return empty(at.spark)
     told = at.spark.createDataFrame([_check_row(i, c) for i, c in enumerate(checks)], _CHECK_ROW)
     hits = F.array(*[F.col(f"hit{i}") for i in range(len(checks))])
-    counted = measures.select(ROWS, F.posexplode(hits).alias("pos", "n"))
+    counted = measures.select(*dict.fromkeys([*keys, ROWS]), F.posexplode(hits).alias("pos", "n"))
     ratio = F.when(F.col("base") > 0, F.col("n") / F.col("base"))
     passed = F.filter("ladder", lambda step: F.col("ratio") > step["over"])
     json_end = F.concat(
@@ -190,6 +191,7 @@ def report(at: Target, measures: DataFrame, checks: Sequence[Check]) -> DataFram
             & (F.col("ratio") >= F.col("at_least"))
         )
         .select(
+            *keys,
             *candidate(
                 at,
                 issue_type=F.col("issue_type"),

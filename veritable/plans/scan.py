@@ -1,9 +1,9 @@
 """The full scan (E01): every detector, few passes.
 
-Pass A  one aggregate: row count, NULL counts, ranges, quantile sketches, and all counted
+Pass A  one aggregate: row count, NULL counts, ranges, and all counted
         predicates of all columns, built-in and user-declared, and the rules.
 Pass B  quantiles, deviations, outlier counts and histograms of all numeric columns together, in zones
-        that the sketches of pass A leave open; NULL pairs, if there are any.
+        that sketches leave open; NULL pairs, if there are any.
 Pass C  the value-frequency table, computed once and read by the duplicate,
         category, spelling and date detectors.
 The remaining detectors (time buckets, groups, histogram, orphans, model) are one
@@ -35,7 +35,6 @@ from veritable.functions.columns import (
 )
 from veritable.operators import categorical, completeness, cross, dates, model_outlier, numeric
 from veritable.operators import text_format, uniqueness
-from veritable.operators.brackets import as_value, sketch
 from veritable.operators.checks import (
     MAX_EXPRESSIONS,
     ROWS,
@@ -120,7 +119,7 @@ class ScanResult:
 
 
 # Detectors answered by counted predicates of the first aggregate.
-_COUNTED: dict[str, Callable[[DataFrame, ScanConfig], list[Check]]] = {
+COUNTED: dict[str, Callable[[DataFrame, ScanConfig], list[Check]]] = {
     "excessive_null_rate": lambda df, c: completeness.null_rate_checks(df),
     "suspicious_missing_token": lambda df, c: completeness.missing_token_checks(df),
     "suspicious_placeholder": lambda df, c: categorical.placeholder_checks(df),
@@ -167,7 +166,6 @@ class _Pass:
     nulls: dict[str, int] = field(default_factory=dict)
     ranges: dict[str, tuple] = field(default_factory=dict)
     slots: dict[str, int] = field(default_factory=dict)
-    sketches: dict[str, list] = field(default_factory=dict)
     parts: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     def guard(self, detector_id: str, build: Callable):
@@ -190,8 +188,8 @@ class _Pass:
     def counted_checks(self) -> list[Check]:
         checks: list[Check] = []
         for d in self.ids:
-            if d in _COUNTED:
-                found = self.guard(d, lambda d=d: _COUNTED[d](self.at.df, self.config))
+            if d in COUNTED:
+                found = self.guard(d, lambda d=d: COUNTED[d](self.at.df, self.config))
                 if found == []:
                     self.skipped.add(d)
                 checks += found or []
@@ -204,14 +202,11 @@ class _Pass:
         df = self.at.df
         numbers, texts = numeric_columns(df), string_columns(df)
         extra, read = [], []
-        sketched = self.has(*_QUANTILE, "histogram_rarity") and not self.config.approx
         for i, c in enumerate(df.columns):
             extra.append(F.count_if(col(c).isNull()).alias(f"null{i}"))
         for i, c in enumerate(numbers):
             x = col(c).cast("double")
             extra += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"nn{i}")]
-            if sketched:
-                extra.append(sketch(as_value(col(c))).alias(f"kll{i}"))
         if self.has("group_missingness"):
             read = texts
             extra += [completeness.occupied_slots(col(c)).alias(f"sk{i}") for i, c in enumerate(read)]
@@ -220,7 +215,6 @@ class _Pass:
         self.nulls = {c: row[f"null{i}"] for i, c in enumerate(df.columns)}
         self.ranges = {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"nn{i}"]) for i, c in enumerate(numbers)}
         self.slots = {c: row[f"sk{i}"] for i, c in enumerate(read)}
-        self.sketches = {c: row[f"kll{i}"] for i, c in enumerate(numbers)} if sketched else {}
 
     def count(self, checks: list[Check], extra: Sequence = ()) -> dict:
         """Count the checks, add their candidates, and return the first aggregate's row."""
@@ -273,7 +267,7 @@ class _Pass:
         numbers = [c for c, s in self.ranges.items() if s[2]]
         if self.config.approx and self.has(*_QUANTILE) and numbers:
             checks += self.approximate_checks(numbers)
-        elif self.sketches and numbers:
+        elif self.has(*_QUANTILE) and numbers:
             self.guard("iqr_outlier", lambda: self.outliers(numbers))
         pairs = completeness.sparse_pairs(self.nulls, self.rows)
         for d, (build, found) in _PAIRS.items():
@@ -306,7 +300,6 @@ class _Pass:
         found = numeric.resolved(
             self.at.df,
             numbers,
-            sketches={c: (self.ranges[c][2], self.sketches[c]) for c in numbers},
             bins={c: (lo, width) for c, (lo, width, _) in steps.items()},
         )
         wanted = [d for d in _QUANTILE if self.has(d)]
@@ -333,7 +326,7 @@ class _Pass:
         builders = {
             "sudden_missingness": lambda: completeness.sudden_missingness(at, known),
             "group_missingness": lambda: completeness.group_missingness(at, known, self.slots),
-            **({"histogram_rarity": lambda: numeric.histogram_rarity(at, known=self.ranges)} if not self.sketches else {}),
+            **({"histogram_rarity": lambda: numeric.histogram_rarity(at, known=self.ranges)} if self.config.approx or not self.has(*_QUANTILE) else {}),
             "model_outlier": lambda: model_outlier.model_outlier(
                 at, known=self.ranges, seed=self.config.seed, freq=self.freq, **model
             ),

@@ -38,9 +38,13 @@ def resolve_uri(path: str) -> str:
     return f"{REMOTE_SCHEMES.get(scheme, scheme)}://{rest}" if sep else path
 
 
+def _uris(path: str | Sequence[str]) -> list[str]:
+    return [resolve_uri(p) for p in ([path] if isinstance(path, str) else path)]
+
+
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     sep: str | None = None,
     schema: StructType | str | None = None,
     encoding: str = "UTF-8",
@@ -48,7 +52,7 @@ def read_csv(
 ) -> DataFrame:
     """Header row, quotes, empty fields NULL.  Give ``schema`` for large inputs:
     inferring it reads the files once more."""
-    sep = sep or ("\t" if path.lower().endswith(".tsv") else ",")
+    sep = sep or ("\t" if _uris(path)[0].lower().endswith(".tsv") else ",")
     if sep not in DELIMITERS:
         raise ValueError(f"unsupported delimiter: {sep!r}")
     reader = spark.read.option("header", True).option("sep", sep).option("quote", '"')
@@ -56,18 +60,19 @@ def read_csv(
     for k, v in options.items():
         reader = reader.option(k, v)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(resolve_uri(path))
+    return reader.csv(_uris(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None) -> DataFrame:
     """S02."""
-    return spark.read.parquet(resolve_uri(path))
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*_uris(path))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None) -> DataFrame:
     """One JSON document per line."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(resolve_uri(path))
+    return reader.json(_uris(path))
 
 
 def read_jdbc(
@@ -103,15 +108,15 @@ def read_jdbc(
     return reader.load()
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Any supported file source by suffix, or by ``fmt`` for folders without one."""
-    fmt = fmt or format_of(path)
+def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None, **options) -> DataFrame:
+    """Any supported file source by suffix, or by ``fmt`` for folders without one; several files of one shape as one."""
+    fmt = fmt or format_of(path if isinstance(path, str) else path[0])
     if fmt == "csv":
         return read_csv(spark, path, **options)
     if fmt == "jsonl":
         return read_jsonl(spark, path, **options)
     if fmt == "parquet":
-        return read_parquet(spark, path)
+        return read_parquet(spark, path, **options)
     raise ValueError(f"unsupported format: {fmt}")
 
 

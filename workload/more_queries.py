@@ -844,10 +844,10 @@ def _with_counts(df, described):
 
 
 # ---- sources and sinks -------------------------------------------------------
-@register("s01_csv_scan", "SELECT order_id, priority, total_price, order_date, max_qty FROM dirty_orders")
+@register("s01_csv_scan", "SELECT * FROM dirty_orders")
 def _(s, d):
     path = scratch_path(s, "csv")
-    df = table(s, d, "dirty_orders").select("order_id", "priority", "total_price", "order_date", "max_qty")
+    df = table(s, d, "dirty_orders")
     df.write.option("header", True).option("sep", ";").option("quote", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
@@ -859,25 +859,27 @@ def _(s, d):
     return readers.read_table(s, f"{d}/orders.parquet")
 
 
-@register("s03_jsonl_scan", "SELECT order_id, priority, total_price, order_date, max_qty FROM dirty_orders")
+@register("s03_jsonl_scan", "SELECT * FROM dirty_orders")
 def _(s, d):
     path = scratch_path(s, "jsonl")
-    df = table(s, d, "dirty_orders").select("order_id", "priority", "total_price", "order_date", "max_qty")
+    df = table(s, d, "dirty_orders")
     sinks.write_table(df, path, "jsonl")
     return readers.read_jsonl(s, path, schema=df.schema)
 
 
 @register(
     "s06_multi_path_scan",
-    "SELECT 'nation' AS source, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region "
-    "UNION ALL SELECT 'supplier', count(*) FROM supplier",
+    "SELECT 'nation' AS source, count(*) AS rows, false AS failed FROM nation UNION ALL SELECT 'region', count(*), false FROM region "
+    "UNION ALL SELECT 'supplier', count(*), false FROM supplier UNION ALL SELECT 'nothing', 0, true",
 )
 def _(s, d):
     listed = f"{d}/nation.parquet, {d}/regio*.parquet;{d}/nation.parquet\n{d}/supplier.parquet, {d}/nothing.parquet"
-    found = {k: v for k, v in readers.read_many(s, listed).items() if not isinstance(v, Exception)}
-    name = F.regexp_extract("source_path", r"([a-z]+)\.parquet", 1)
-    merged = readers.union_with_source(found)
-    return merged.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("rows"))
+    found = readers.read_many(s, listed)
+    name = F.regexp_extract("source_path", r"([a-z]+)\.parquet", 1).alias("source")
+    merged = readers.union_with_source({k: v for k, v in found.items() if not isinstance(v, Exception)})
+    bad = s.createDataFrame([(k,) for k, v in found.items() if isinstance(v, Exception)], "source_path string")
+    counted = merged.groupBy(name).agg(F.count(F.lit(1)).alias("rows"), F.lit(False).alias("failed"))
+    return counted.unionByName(bad.select(name, F.lit(0).cast("bigint").alias("rows"), F.lit(True).alias("failed")))
 
 
 @register(

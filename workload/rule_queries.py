@@ -1,4 +1,4 @@
-"""Queries of rules that fail, of the expression language, and of wide tables with many sparse columns."""
+"""Queries of rules that fail, of the expression language, of many files, and of wide tables with many sparse columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veritable.operators import completeness, rules
 from veritable.operators.rules import Condition, Rule
+from veritable.plans.files import scan_files
 from veritable.plans.scan import ScanConfig, scan
+from veritable.session import scratch_path
 from workload.queries import register
 from workload.views import table
 
@@ -121,3 +123,31 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 def _found(candidates: DataFrame) -> DataFrame:
     return candidates.select(F.array_join("columns", ",").alias("column_names"), "affected_count", F.round("raw_score", 6).alias("raw_score"))
+
+
+# ---- many files --------------------------------------------------------------
+N_FILES = 12
+_RULE = Rule("positive", Condition("total_price", "gte", 0), severity="high")
+
+
+@register(
+    "s06_file_summary",
+    f"""
+    WITH files AS (SELECT *, CAST(order_id % {N_FILES} AS BIGINT) AS part FROM dirty_orders),
+    counted AS (SELECT part, count(*) AS row_count, count(*) FILTER (WHERE total_price < 0) AS negative,
+        {", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in ("customer_id", "total_price", "priority", "status", "ordered_at", "order_date", "min_qty", "max_qty"))}
+        FROM files GROUP BY part)
+    SELECT part, 'completed' AS status, row_count,
+        CAST(CASE WHEN negative > 0 THEN 1 ELSE 0 END + {" + ".join(f"CASE WHEN null_{c} > 0.05 * row_count THEN 1 ELSE 0 END" for c in ("customer_id", "total_price", "priority", "status", "ordered_at", "order_date", "min_qty", "max_qty"))} AS BIGINT) AS findings,
+        NOT (negative > 0.01 * row_count OR {" OR ".join(f"null_{c} > 0.3 * row_count" for c in ("total_price", "order_date", "max_qty"))}) AS passed
+    FROM counted UNION ALL SELECT -1, 'failed', NULL, NULL, false
+    """,
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    path, bad = scratch_path(s, "orders"), scratch_path(s, "broken")
+    df = table(s, d, "dirty_orders").withColumn("part", F.col("order_id") % N_FILES)
+    df.repartition(N_FILES, "part").write.partitionBy("part").parquet(path)
+    s.range(1).selectExpr("'this is no parquet file, and long enough to look at' AS value").coalesce(1).write.text(bad)
+    result = scan_files(s, f"{path}/part=*/*.parquet, {bad}/*.txt", ScanConfig(detectors=("excessive_null_rate",), rules=[_RULE]))
+    part = F.coalesce(F.regexp_extract("file_path", "part=([0-9]+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+    return result.summary.select(part.alias("part"), "status", "row_count", "findings", "passed")
