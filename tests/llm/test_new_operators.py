@@ -175,8 +175,13 @@ def test_mask_covers_each_assistant_text():
     said = [("assistant" if i % 2 else "user", x or "") for i, x in enumerate(TEXTS)]
     text, starts, ends = chat.render(said)
     e = t.encode(text, add_special_tokens=False)
-    offsets = np.array(e.offsets)
+    offsets = chat.offsets(np.array(e.ids), chat.byte_lengths(t))
     mask = chat.under((starts, ends), offsets)
+    # The bytes of the text and the tokenizer's own offsets, which are of characters, agree.
+    data = text.encode()
+    assert offsets[-1, 1] == len(data)
+    for (a, b), (c, d) in zip(offsets, e.offsets):
+        assert data[a:b].decode("utf-8", "ignore") in text[c:d] and c <= len(data[:a].decode("utf-8", "ignore")) <= d
     assert chat.turns_of(text) == said
     assert chat.losses_of(t, np.array(e.ids), mask) == [x for r, x in said if r == "assistant" and x]
     # The binary search equals a comparison with every span.

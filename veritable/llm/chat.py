@@ -1,8 +1,9 @@
-"""Conversations as token sequences with a loss mask, aligned by character offsets.
+"""Conversations as token sequences with a loss mask, aligned by offsets.
 
 A conversation is rendered as one text: every turn is ``<|im_start|>`` role ``<|im_sep|>`` text ``<|im_end|>``.  Inside roles
 and texts a ``<|`` gets a backslash in between (and ``<\\|`` one more, and so on), so no text can hold a control string, and
-taking one backslash away restores it.  The whole text is encoded once, with offsets.  The spans of the
+taking one backslash away restores it.  The whole text is encoded once.  Byte-level tokens tile the text, each as many bytes
+long as its entry in the vocabulary, so their lengths add up to byte offsets.  The spans of the
 assistant's texts and those of the tokens are both sorted, so a binary search per token tells whether it lies under a span.
 The control strings are tokens of their own, so no token reaches over the edge of a turn, and a mask of tokens
 is exactly a mask of characters.  Control tokens and headers are never under the mask.
@@ -55,25 +56,26 @@ def unescape(text: str) -> str:
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The text of some turns, and where the assistant's texts start and end in it."""
+    """The text of some turns, and at which bytes the assistant's texts start and end in it."""
     parts, starts, ends, at = [], [], [], 0
     for role, text in turns:
         head, body = START + escape(role) + SEP, escape(text)
-        at += len(head)
+        at += len(head.encode())
+        size = len(body.encode())
         if role == "assistant" and body:
             starts.append(at)
-            ends.append(at + len(body))
-        at += len(body) + len(END)
+            ends.append(at + size)
+        at += size + len(END)
         parts += (head, body, END)
     return "".join(parts), np.array(starts, np.int64), np.array(ends, np.int64)
 
 
 def under(spans: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
-    """Which tokens (rows of start and end) share a character with one of the sorted, disjoint spans."""
+    """Which tokens (rows of start and end) share a byte with one of the sorted, disjoint spans."""
     starts, ends = spans
     if not len(starts):
         return np.zeros(len(tokens), bool)
-    # The first span that ends behind the token's start is the only one that can hold its first character.
+    # The first span that ends behind the token's start is the only one that can hold its first byte.
     at = np.searchsorted(ends, tokens[:, 0], side="right")
     there = at < len(starts)
     at[~there] = 0
@@ -81,18 +83,28 @@ def under(spans: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarra
 
 
 def load_tokenizer(definition: str):
-    """The tokenizer with the control strings as tokens of their own, and offsets that cover every character."""
+    """The (byte-level) tokenizer with the control strings as tokens of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer, processors
+    from tokenizers import AddedToken, Tokenizer
 
     t = Tokenizer.from_str(definition)
-    t.post_processor = processors.ByteLevel(trim_offsets=False)
     t.no_truncation()
     t.no_padding()
     t.add_special_tokens([AddedToken(s, normalized=False, special=True) for s in (START, SEP, END)])
     return t
 
 
+def byte_lengths(tokenizer) -> np.ndarray:
+    """How many bytes each token covers: a byte is one character of a vocabulary entry."""
+    return np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], np.int64)
+
+
+def offsets(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Start and end of each token in the bytes of its text."""
+    ends = np.cumsum(lengths[ids])
+    return np.stack([ends - lengths[ids], ends], axis=1)
+
+
 def turns_of(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts, read back from a rendered text."""
     out = []
@@ -130,6 +142,7 @@ def chat_format(conversations: DataFrame, tokenizer: str = TOKENIZER, part_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_tokenizer(definition.value)
+        lengths = byte_lengths(encoder)
         serial = TaskContext.get().partitionId() << 33
         ready: list[tuple[int | None, bool, str, np.ndarray, np.ndarray]] = []
         turns: list[tuple[str, str]] = []
@@ -146,9 +159,10 @@ def chat_format(conversations: DataFrame, tokenizer: str = TOKENIZER, part_bytes
         def encode() -> pa.RecordBatch:
             nonlocal ready, chars, serial
             ids, masks = [], []
-            for e, (_, _, _, starts, ends) in zip(encoder.encode_batch([r[2] for r in ready], add_special_tokens=False), ready):
+            # The lengths say where tokens lie, so the tokenizer need not.
+            for e, (_, _, _, starts, ends) in zip(encoder.encode_batch_fast([r[2] for r in ready], add_special_tokens=False), ready):
                 ids.append(np.array(e.ids, np.int32))
-                masks.append(under((starts, ends), np.array(e.offsets, np.int64).reshape(-1, 2)))
+                masks.append(under((starts, ends), offsets(ids[-1], lengths)))
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
             batch = pa.RecordBatch.from_arrays(
                 [
