@@ -180,7 +180,7 @@ def test_scan_equals_single_detectors(spark, make):
         for i in range(400)
     ]
     df = make(rows, "id int, code_x string, amount double, event_date string")
-    chosen = [d for d in scan_module._COUNTED if "date" not in d] + [
+    chosen = [d for d in scan_module.COUNTED if "date" not in d] + [
         "uniqueness_violation",
         "spelling_variant",
         "iqr_outlier",
