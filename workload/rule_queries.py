@@ -148,6 +148,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     df = table(s, d, "dirty_orders").withColumn("part", F.col("order_id") % N_FILES)
     df.repartition(N_FILES, "part").write.partitionBy("part").parquet(path)
     s.range(1).selectExpr("'this is no parquet file, and long enough to look at' AS value").coalesce(1).write.text(bad)
-    result = scan_files(s, f"{path}/part=*/*.parquet, {bad}/*.txt", ScanConfig(detectors=("excessive_null_rate",), rules=[_RULE]))
+    config = ScanConfig(detectors=("excessive_null_rate",), rules=[_RULE])
+    result = scan_files(s, f"{path}/part=*/*.parquet, {bad}/*.txt", config, fail_on=("high", "critical"))
     part = F.coalesce(F.regexp_extract("file_path", "part=([0-9]+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
     return result.summary.select(part.alias("part"), "status", "row_count", "findings", "passed")
