@@ -161,6 +161,7 @@ class _Pass:
     rule_errors: dict[str, str] = field(default_factory=dict)
     skipped: set[str] = field(default_factory=set)
     held: list[DataFrame] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
     freq: DataFrame | None = None
     rows: int = 0
     nulls: dict[str, int] = field(default_factory=dict)
@@ -358,7 +359,7 @@ class _Pass:
             if detector_id not in users:
                 return self.guard(detector_id, part.collect)
             kept = part.persist(StorageLevel.MEMORY_AND_DISK)
-            self.held.append(kept)
+            self.kept.append(kept)
             return None if self.guard(detector_id, kept.count) is None else kept
 
         with ThreadPoolExecutor(_PARALLEL_JOBS) as pool:
@@ -426,14 +427,23 @@ def scan(
 ) -> ScanResult:
     """Detect, apply rules, fuse, score, summarise.
 
-    ``content`` is the table's content fingerprint where the caller knows it already.
+    ``content`` is the table's content fingerprint where the caller knows it already.  What was held of the table is freed
+    at the end: Spark would answer a later read of the same files from it, whether or not they changed since.
     """
-    config = config or ScanConfig()
-    registry = registry or default_registry()
+    work: list[DataFrame] = []
+    try:
+        return _scan(df, config or ScanConfig(), registry or default_registry(), work, dataset_id, table_name, source_path, scan_run_id, content)
+    finally:
+        for held in work:
+            held.unpersist()
+
+
+def _scan(df, config, registry, inputs: list[DataFrame], dataset_id, table_name, source_path, scan_run_id, content) -> ScanResult:
     spark, started = df.sparkSession, dt.datetime.now(dt.timezone.utc)
     run_id = scan_run_id or f"scan_{uuid.uuid4().hex[:12]}"
     flat, cached = spread(df, config.cache_input)
-    held: list[DataFrame] = [flat] if cached else []
+    if cached:
+        inputs.append(flat)
 
     chosen = registry.list(config.detectors)
     built_in = default_registry().detectors
@@ -460,7 +470,7 @@ def scan(
             keys=config.keys,
             seed=config.seed,
         ).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(scanned)
+        inputs.append(scanned)
 
     user_ids = {u.detector_id for u in users}
     users = [u for u in users if u.detector_id not in idle]
@@ -471,10 +481,11 @@ def scan(
         config,
         [d.detector_id for d in active if d.detector_id not in user_ids],
         [u for u in users if u not in apart],
+        held=inputs,
     )
     work.run()
     rows = work.rows if full_rows is None else full_rows
-    full = _Pass(Target(flat, dataset_id, table_name), config, [], apart)
+    full = _Pass(Target(flat, dataset_id, table_name), config, [], apart, held=inputs)
     if apart:
         full.run()
     if "foreign_key_violation" in work.ids and rows:
@@ -502,7 +513,7 @@ def scan(
     issues = score(fuse(candidates, run_id, work.rows), config.criticality)
     candidates = candidates.drop("rows_examined")
     issues = issues.persist(StorageLevel.MEMORY_AND_DISK)
-    held += [*work.held, *full.held, issues]
+    held = [*work.kept, *full.kept, issues]
     errors, skipped_ids = work.errors | full.errors, work.skipped | full.skipped
 
     sampled_ids = {d.detector_id for d in active if d.supports_sampling} if sampled else set()

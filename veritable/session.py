@@ -80,6 +80,8 @@ def spread(df: DataFrame, cache: bool | None = None) -> tuple[DataFrame, bool]:
     if cache is None and not small:
         return df, False
     if not small:
+        if df.storageLevel.useMemory or df.storageLevel.useDisk:
+            return df, False  # the caller's own, which is not for us to free
         return df.persist(StorageLevel.MEMORY_AND_DISK), True
     # By value rather than round robin, which would sort the rows first.
     by = [col(c) for c in flat_columns(df)]
