@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veritable.functions import predicates as P
 from veritable.functions.columns import col
 from veritable.operators.checks import one_row
-from veritable.operators.fingerprint import content_fingerprint
+from veritable.operators.fingerprint import content_fingerprint, row_lanes
 from veritable.operators.frequency import value_counts
 
 # ---- fixed values: which operation repairs what -----------------------------
@@ -300,10 +300,23 @@ def rollback(spark, run: Mapping, path: str) -> dict:
 
 
 def row_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """X11: changed cells of rows matched by key, and rows present on one side only."""
+    """X11: changed cells of rows matched by key, and rows present on one side only.
+
+    Keys and 128 bits of each row are compared first; cells are carried only for the keys that differ, so equal tables
+    shuffle their keys and hashes alone.  A NULL key matches none.  Rows that share a key are compared each with each of
+    the other side.
+    """
     cells = [c for c in before.columns if c not in keys and c in after.columns]
-    old = before.select(*[col(k) for k in keys], *[col(c).alias(f"o{i}") for i, c in enumerate(cells)])
-    new = after.select(*[col(k) for k in keys], *[col(c).alias(f"n{i}") for i, c in enumerate(cells)])
+    shared = [f"__k{i}" for i in range(len(keys))]
+    sides = [t.select(*[col(k).alias(n) for k, n in zip(keys, shared)], F.struct(*row_lanes(t, cells)).alias(h)) for t, h in ((before, "a"), (after, "b"))]
+    differing = sides[0].join(sides[1], shared, "full_outer").filter(P.changes(F.col("a"), F.col("b"))).select(*shared).distinct()
+
+    def touched(table: DataFrame, side: str) -> DataFrame:
+        named = table.select(*[col(k) for k in keys], *[col(c).alias(f"{side}{i}") for i, c in enumerate(cells)])
+        same = [col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, shared)]
+        return named.join(differing, same, "left_semi")
+
+    old, new = touched(before, "o"), touched(after, "n")
     old, new = old.withColumn("old_row", F.lit(True)), new.withColumn("new_row", F.lit(True))
     both = old.join(new, list(keys), "full_outer")
     status = (
