@@ -21,9 +21,17 @@ from veritable.session import scratch_path
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, fmt="parquet"
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    glob: str | None = None,
+    fmt="parquet",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
+    """A folder whose files, as they arrive, are the stream's batches."""
     reader = spark.readStream.format(fmt).schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(folder)
@@ -124,32 +132,93 @@ def null_rates(
     )
 
 
-def run_null_rates(rates: DataFrame, checkpoint: str | None = None, output: str | None = None) -> DataFrame:
+#: So many tables of one level become one of the next.
+FAN = 10
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under a path, as its file system lists them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()) if fs.exists(where) else []
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _latest(written: DataFrame) -> DataFrame:
+    """Each window's row of its latest batch."""
+    values = F.struct(*[c for c in written.columns if c not in ("window_start", "column", "batch")])
+    latest = written.groupBy("window_start", "column").agg(F.max_by(values, "batch").alias("v"), F.max("batch").alias("batch"))
+    return latest.select("window_start", "column", "v.*", "batch")
+
+
+class WindowTable:
+    """Windows as updated by batches, in folders ``level-number``: level 0 has one for each batch.
+
+    ``fan`` folders of a level are merged into one of the next, so ``n`` batches leave at most ``fan - 1`` folders on each
+    of ``log(n)`` levels, and a window is rewritten once a level.  Rows keep their batch number and the latest of a window
+    wins, so nothing depends on a merge having been finished: one that broke off leaves copies of rows that are still
+    there, and folders are dropped only when what was made of them is complete.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, fan: int = FAN):
+        self.spark, self.path, self.fan = spark, path.rstrip("/"), fan
+        self.schema = StructType([*schema.fields, StructField("batch", LongType())])
+
+    def _at(self, level: int, number: int) -> str:
+        return f"{self.path}/{level}-{number:012d}"
+
+    def levels(self) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for name in _folders(self.spark, self.path):
+            level, number = name.split("-")
+            found.setdefault(int(level), []).append(int(number))
+        return found
+
+    def store(self, batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        numbered.write.mode("overwrite").parquet(self._at(0, batch_id))
+        self.merge()
+
+    def merge(self) -> None:
+        level = 0
+        while len(numbers := self.levels().get(level, [])) >= self.fan:
+            parts = [self._at(level, n) for n in numbers]
+            merged = _latest(self.spark.read.schema(self.schema).parquet(*parts))
+            merged.write.mode("overwrite").parquet(self._at(level + 1, max(numbers)))
+            for part in parts:
+                _drop(self.spark, part)
+            level += 1
+
+    def read(self) -> DataFrame:
+        parts = [self._at(level, n) for level, numbers in self.levels().items() for n in numbers]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema).drop("batch")
+        return _latest(self.spark.read.schema(self.schema).parquet(*parts)).drop("batch")
+
+
+def run_null_rates(
+    rates: DataFrame, checkpoint: str | None = None, output: str | None = None, fan: int = FAN
+) -> DataFrame:
     """Drain the available input and return the windows as a table.
 
     Each batch replaces the windows it updated: it is written under its own batch
     number and the latest state of a window wins, so a replayed batch changes nothing.
-    Windows live beside the checkpoint (or in ``output``), so a restart goes on with them.
+    Windows live beside the checkpoint (or in ``output``), so a restart goes on with them;
+    older batches are merged, so what is read does not grow with their number.
     """
     spark = rates.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "stream")
-    out = output or f"{checkpoint.rstrip('/')}-windows"
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
-
-    # There is a table to read even before the first batch.
-    schema = StructType([*rates.schema.fields, StructField("batch", LongType())])
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/none")
+    windows = WindowTable(spark, output or f"{checkpoint.rstrip('/')}-windows", rates.schema, fan)
     query = (
         rates.writeStream.outputMode("update")
-        .foreachBatch(store)
+        .foreachBatch(windows.store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
-    values = F.struct(*[c for c in rates.columns if c not in ("window_start", "column")])
-    latest = written.groupBy("window_start", "column").agg(F.max_by(values, "batch").alias("v"))
-    return latest.select("window_start", "column", "v.*")
+    return windows.read().select(*rates.columns)
