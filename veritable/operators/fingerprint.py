@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.columns import col
 from veritable.operators.checks import one_row
@@ -18,6 +19,7 @@ CELL_SEPARATOR, NULL_CELL = "\x1f", "\x00"
 
 #: Marks the fingerprint of a sample, which never equals one of the whole content.
 SAMPLED = "sampled:"
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _LANE = 15  # hex digits per lane: 60 bits, so a lane fits a bigint
 
 
@@ -57,17 +59,29 @@ def lane(digest: Column, start: int) -> Column:
     return F.conv(F.substring(digest, start, _LANE), 16, 10).cast("bigint")
 
 
+def _hashed(df: DataFrame, name: str) -> list[Column]:
+    """What is hashed of a cell: the hash alone would skip NULLs, also those inside of a cell, and run elements together."""
+    kind, c = df.schema[name].dataType, col(name)
+    parts = [c, c.isNull()]
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, _NESTED):
+        return parts + ([F.transform(c, lambda x: x.isNull())] if kind.containsNull else [])
+    # Maps cannot be hashed at all.
+    return [F.to_json(F.struct(c), {"ignoreNullFields": "false"}), c.isNull()] if isinstance(kind, _NESTED) else parts
+
+
 def row_hash(df: DataFrame, cols: Sequence[str] | None = None, seed: object = None) -> Column:
-    """64 bits of a row's cells; a NULL counts as a cell of its own, which the hash alone would skip."""
+    """64 bits of a row's cells; a NULL counts as a cell of its own."""
     parts = [F.lit(str(seed))]
-    for name in cols or df.columns:
-        kind = df.schema[name].dataType.simpleString()
-        # Maps cannot be hashed.
-        cell = F.to_json(F.struct(col(name))) if "map<" in kind or "variant" in kind else col(name)
-        parts += [cell, col(name).isNull()]
+    for name in df.columns if cols is None else cols:
+        parts += _hashed(df, name)
     return F.xxhash64(*parts)
 
 
+def row_lanes(df: DataFrame, cols: Sequence[str] | None = None) -> list[Column]:
+    """128 bits of a row's cells, as ``lane_a`` and ``lane_b``."""
+    return [row_hash(df, cols, seed).alias(f"lane_{seed}") for seed in ("a", "b")]
+
+
 def content_sums(df: DataFrame, cols: Sequence[str] | None = None, text: bool = True) -> DataFrame:
     """One row: row count and the sums of two hash lanes over all rows.
 
@@ -79,8 +93,8 @@ def content_sums(df: DataFrame, cols: Sequence[str] | None = None, text: bool =
         rows = df.select(row_digest(df, cols).alias("digest"))
         lanes = [lane(F.col("digest"), at) for at in (1, 1 + _LANE)]
     else:
-        rows = df.select(*[row_hash(df, cols, seed).alias(seed) for seed in ("a", "b")])
-        lanes = [F.col("a"), F.col("b")]
+        rows = df.select(*row_lanes(df, cols))
+        lanes = [F.col("lane_a"), F.col("lane_b")]
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
@@ -90,11 +104,15 @@ def content_sums(df: DataFrame, cols: Sequence[str] | None = None, text: bool =
     )
 
 
+def fingerprint_of(df: DataFrame, sums) -> str:
+    """The fingerprint of a table of ``df``'s schema whose ``content_sums`` are known."""
+    text = f"{schema_hash(df)}|{sums['rows']}|{sums['lane_a']}|{sums['lane_b']}"
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def content_fingerprint(df: DataFrame, cols: Sequence[str] | None = None, text: bool = False) -> str:
     """Hash of all rows as a multiset, with schema hash and row count."""
-    row = one_row(content_sums(df, cols, text))
-    text = f"{schema_hash(df)}|{row['rows']}|{row['lane_a']}|{row['lane_b']}"
-    return hashlib.sha256(text.encode()).hexdigest()
+    return fingerprint_of(df, one_row(content_sums(df, cols, text)))
 
 
 def sampled_fingerprint(
@@ -112,10 +130,13 @@ def sampled_fingerprint(
     return SAMPLED + content_fingerprint(df.filter(chosen), cols, text)
 
 
-def changed_since(df: DataFrame, previous: dict | None, rows: int | None = None) -> dict:
+def changed_since(
+    df: DataFrame, previous: dict | None, rows: int | None = None, content: str | None = None
+) -> dict:
     """Compare the cheap layer first; read the content only when it agrees.
 
-    ``previous`` holds ``statistics_fingerprint`` and ``content_fingerprint``.
+    ``previous`` holds ``statistics_fingerprint`` and ``content_fingerprint``; ``rows`` and ``content`` are the table's
+    own where they are known already.
     """
     statistics = statistics_fingerprint(df, rows)
     out = {"statistics_fingerprint": statistics, "content_fingerprint": None}
@@ -125,6 +146,6 @@ def changed_since(df: DataFrame, previous: dict | None, rows: int | None = None)
         return {**out, "changed": True, "layer": "statistics"}
     stored = previous["content_fingerprint"] or ""
     # A run over a sample stored the fingerprint of a sample.
-    content = sampled_fingerprint(df) if stored.startswith(SAMPLED) else content_fingerprint(df)
+    content = sampled_fingerprint(df) if stored.startswith(SAMPLED) else content or content_fingerprint(df)
     changed = content != stored
     return {**out, "content_fingerprint": content, "changed": changed, "layer": "content"}

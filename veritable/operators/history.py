@@ -9,14 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritable.operators.file_fingerprint import SETTLE_SECONDS, file_leaves, folded
 from veritable.operators.fingerprint import changed_since
+from veritable.sources.readers import expand_paths, read_table
 
 # ---- fixed values: thresholds ----------------------------------------------
 ROW_DRIFT, SCORE_DRIFT = 0.20, 5.0
 TREND_STEP = 0.5
 # ---- end of fixed values ----------------------------------------------------
 
-TABLES = ("scan_runs", "detector_runs", "issues", "profiles", "rule_results", "repair_proposals", "repair_runs")
+TABLES = ("scan_runs", "detector_runs", "issues", "profiles", "rule_results", "repair_proposals", "repair_runs", "file_leaves")
 
 
 _REPAIR_FILES = ("rollback_artifact", "output_path", "restored_path", "fingerprint_before", "fingerprint_after")
@@ -85,6 +87,22 @@ class History:
         )
         self.store("repair_runs", self.spark.createDataFrame([row], _REPAIR_RUN), repair_id)
 
+    def leaves(self, dataset_id: str) -> tuple[DataFrame | None, int]:
+        """The last stored file leaves of a dataset, and the number of their generation."""
+        stored = self.read("file_leaves")
+        if stored is None:
+            return None, 0
+        own = stored.filter(F.col("dataset_id") == dataset_id)
+        last = own.agg(F.max("generation")).first()[0]
+        if last is None:
+            return None, 0
+        return own.filter(F.col("generation") == last).drop("dataset_id", "generation"), last
+
+    def save_leaves(self, dataset_id: str, leaves: DataFrame, generation: int) -> None:
+        """Store file leaves under a generation of their own, so that those they were made from stay readable."""
+        stamped = leaves.withColumns({"dataset_id": F.lit(dataset_id), "generation": F.lit(generation).cast("bigint")})
+        self.store("file_leaves", stamped, f"{dataset_id}/{generation}")
+
     def latest(self, dataset_id: str) -> dict | None:
         runs = self.read("scan_runs")
         if runs is None:
@@ -101,16 +119,52 @@ def incremental_scan(df: DataFrame, history: History, dataset_id: str, config=No
     """
     from veritable.plans.scan import ScanConfig, scan
 
-    config = config or ScanConfig()
+    return _unless_stored(df, history, dataset_id, config or ScanConfig(), scan, **scan_args)
+
+
+def incremental_scan_files(
+    spark: SparkSession,
+    paths,
+    history: History,
+    dataset_id: str,
+    config=None,
+    *,
+    fmt: str | None = None,
+    settle_seconds: float = SETTLE_SECONDS,
+    reader: dict | None = None,
+    **scan_args,
+) -> tuple[DataFrame, DataFrame, bool, DataFrame]:
+    """H06 for files: only those that changed since the last call are read to tell whether anything did.
+
+    Returns (scan_run, issues, reused, leaves); ``leaves`` tells of each file whether its leaf was ``reused``.
+    ``reader`` holds the reader's options.  An interrupted call leaves whole leaves or none.
+    """
+    from veritable.plans.scan import ScanConfig, scan
+
+    reader = reader or {}
+    previous, generation = history.leaves(dataset_id)
+    made = file_leaves(spark, paths, fmt, previous, settle_seconds, **reader)
+    history.save_leaves(dataset_id, made, generation + 1)
+    leaves, _ = history.leaves(dataset_id)
+    df = read_table(spark, expand_paths(paths), fmt, **reader)
+    rows, content = folded(df, leaves)
+    found = _unless_stored(
+        df, history, dataset_id, config or ScanConfig(), scan, known=(rows, content), **scan_args
+    )
+    return (*found, leaves)
+
+
+def _unless_stored(df, history: History, dataset_id: str, config, scan, known=(None, None), **scan_args):
     before = history.latest(dataset_id)
     if before is not None and before["config"] != config.describe():
         before = None
-    told = changed_since(df, before)
+    rows, content = known
+    told = changed_since(df, before, rows, content)
     if before is not None and not told["changed"]:
         same = F.col("scan_run_id") == before["scan_run_id"]
         return history.read("scan_runs").filter(same), history.read("issues").filter(same), True
-    known = told["content_fingerprint"]
-    result = scan(df, config, dataset_id=dataset_id, content=known, **scan_args)
+    content = content or told["content_fingerprint"]
+    result = scan(df, config, dataset_id=dataset_id, content=content, **scan_args)
     history.save(result)
     return result.scan_run, result.issues, False
 

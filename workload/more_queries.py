@@ -6,8 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from veritable.operators import fingerprint, history, privacy, repair, rules, sampling
+from veritable.operators import file_fingerprint, fingerprint, history, privacy, repair, rules, sampling
 from veritable.operators.cross import Reference
+from veritable.operators.quality import DIMENSION_WEIGHT
 from veritable.operators.repair import Repair
 from veritable.operators.rules import Condition, Rule
 from veritable.plans.registry import ORDER, counted, default_registry
@@ -20,6 +21,7 @@ from workload.queries import (
     AS_OF,
     QUERIES,
     RULES,
+    _NOT_RAN,
     _QUALITY,
     _VIOLATION,
     core,
@@ -152,6 +154,43 @@ def _(s, d):
     return s.createDataFrame(rows, "attempt int, reused boolean")
 
 
+_EDITED_FILES = "SELECT * REPLACE (CASE WHEN o_orderkey % 8 = 3 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice) FROM orders"
+
+
+@register(
+    "h06_file_fingerprints",
+    "SELECT CAST(o_orderkey % 8 AS INTEGER) AS part, 'same' AS change, true AS reused, count(*) AS rows FROM orders WHERE o_orderkey % 8 NOT IN (3, 5) GROUP BY ALL "
+    "UNION ALL SELECT 3, unnest(['removed', 'added']), unnest([NULL, false]), count(*) FROM orders WHERE o_orderkey % 8 = 3 "
+    "UNION ALL SELECT 5, 'removed', NULL, count(*) FROM orders WHERE o_orderkey % 8 = 5 "
+    f"UNION ALL SELECT -1, 'as read whole', true, count(*) FROM ({_EDITED_FILES}) WHERE o_orderkey % 8 <> 5",
+)
+def _(s, d):
+    """A folder of eight files of which one is written anew and one goes."""
+    path = scratch_path(s, "files")
+    orders = table(s, d, "orders").withColumn("part", (F.col("o_orderkey") % 8).cast("int"))
+    orders.repartition(8, "part").write.partitionBy("part").parquet(path)
+    schema = s.read.parquet(path).schema
+    store = scratch_path(s, "leaves")
+    file_fingerprint.file_leaves(s, path, "parquet", schema=schema).write.parquet(store)
+    before = s.read.parquet(store)
+    edited = orders.filter("part = 3").withColumn("o_totalprice", -F.col("o_totalprice")).drop("part")
+    edited.repartition(1, "o_orderkey").write.mode("overwrite").parquet(f"{path}/part=3")
+    orders.filter("false").drop("part").write.mode("overwrite").parquet(f"{path}/part=5")
+    after = file_fingerprint.file_leaves(s, path, "parquet", before, 0.0, schema=schema)
+    changes = file_fingerprint.file_changes(before, after).join(after.select("file_path", "reused"), "file_path", "left")
+    # The writer's empty file in place of a part says nothing.
+    told = changes.filter("rows_before > 0 OR rows_after > 0").select(
+        F.regexp_extract("file_path", r"part=(\d+)", 1).cast("int").alias("part"),
+        "change",
+        "reused",
+        F.coalesce("rows_after", "rows_before").alias("rows"),
+    )
+    now = s.read.schema(schema).parquet(path)
+    rows, content = file_fingerprint.folded(now, after)
+    equal = content == fingerprint.content_fingerprint(now)
+    return told.unionByName(s.createDataFrame([(-1, "as read whole", equal, rows)], told.schema))
+
+
 # ---- comparisons of two runs: the clean and the dirty version of the orders ---
 _FEW = ("excessive_null_rate", "suspicious_missing_token", "invalid_date", "impossible_date", "tail_probability", "leading_or_trailing_whitespace")
 _FEW_ORACLE = {t: " UNION ALL ".join(f(t) for f in (O.d01, O.d02, O.d32, O.d33, O.d29, O.d13)) for t in ("clean_orders", "dirty_orders")}
@@ -197,26 +236,49 @@ def _(s, d):
     return history.number_drift(*sides).select("dataset_id", "metric", "value", "direction")
 
 
-@register(
-    "h10_issue_drift",
+_ISSUE_DRIFT = (
     f"SELECT metric, value, direction, severity FROM (SELECT 'issue_count.' || coalesce(a.issue_type, b.issue_type) AS metric, "
     f"CAST(abs(coalesce(b.n, 0) - coalesce(a.n, 0)) AS DOUBLE) AS value, CASE WHEN a.n IS NULL THEN 'new_category' WHEN b.n IS NULL THEN 'gone_category' "
     f"WHEN b.n > a.n THEN 'increase' ELSE 'decrease' END AS direction, CASE WHEN a.n IS NULL THEN 'high' ELSE 'medium' END AS severity "
     f"FROM (SELECT issue_type, count(*) AS n FROM ({_FEW_ISSUES['clean_orders']}) GROUP BY issue_type) a FULL JOIN "
-    f"(SELECT issue_type, count(*) AS n FROM ({_FEW_ISSUES['dirty_orders']}) GROUP BY issue_type) b ON a.issue_type = b.issue_type) WHERE value > 0",
+    f"(SELECT issue_type, count(*) AS n FROM ({_FEW_ISSUES['dirty_orders']}) GROUP BY issue_type) b ON a.issue_type = b.issue_type) WHERE value > 0"
 )
+
+
+@register("h10_issue_drift", _ISSUE_DRIFT)
 def _(s, d):
     found = history.issue_drift(_run(s, d, "clean_orders").issues, _run(s, d, "dirty_orders").issues)
     return found.select("metric", "value", "direction", "severity")
 
 
-@register("h11_drift_latest_two")
+_FEW_RAN = ("completeness", "validity")
+
+
+def _few_quality(t):
+    """Dimension scores of a run of the few detectors."""
+    scores = _QUALITY.replace("{issues}", _FEW_ISSUES[t])
+    for dimension, share in DIMENSION_WEIGHT.items():
+        scores = scores.replace(f"('{dimension}', {share:.2f}::DOUBLE, {str(dimension not in _NOT_RAN).lower()})", f"('{dimension}', {share:.2f}::DOUBLE, {str(dimension in _FEW_RAN).lower()})")
+    return scores
+
+
+_OVERALL = " CROSS JOIN ".join(f"(SELECT max(overall) AS {side} FROM ({_few_quality(t)}))" for side, t in (("r", "clean_orders"), ("c", "dirty_orders")))
+
+
+@register(
+    "h11_drift_latest_two",
+    f"SELECT '__issues__' AS column_name, 'categorical' AS drift_type, metric, value, 1.0::DOUBLE AS threshold, direction, severity FROM ({_ISSUE_DRIFT}) "
+    f"UNION ALL SELECT '__dataset__', 'numeric', 'quality_overall', round(abs(c - r), 2), 5.0, CASE WHEN c >= r THEN 'increase' ELSE 'decrease' END, 'medium' FROM {_OVERALL} "
+    "WHERE round(abs(c - r), 2) >= 5 "
+    "UNION ALL SELECT '__dataset__', 'numeric', 'row_count', round(abs(c - r) / CAST(r AS DOUBLE), 4), 0.2, CASE WHEN c > r THEN 'increase' ELSE 'decrease' END, 'medium' "
+    "FROM (SELECT (SELECT count(*) FROM clean_orders) AS r, (SELECT count(*) FROM dirty_orders) AS c) WHERE abs(c - r) / CAST(r AS DOUBLE) >= 0.2",
+)
 def _(s, d):
     runs = [_run(s, d, n) for n in ("clean_orders", "dirty_orders")]
     logs = runs[0].scan_run.unionByName(runs[1].scan_run)
     issues = runs[0].issues.unionByName(runs[1].issues)
     _, drifts = history.drift_latest(logs, issues, "orders")
-    return drifts
+    return drifts.withColumnRenamed("column", "column_name")
 
 
 @register(
@@ -293,15 +355,22 @@ def _(s, d):
     return found.select("issue_type", F.col("columns").alias("column_names"), "repair_id")
 
 
-@register(
-    "h16_run_deltas",
+_SEVERITY_DELTAS = (
     f"SELECT severity AS name, CAST(sum(CASE WHEN side = 'a' THEN 1 ELSE 0 END) AS DOUBLE) AS before, CAST(sum(CASE WHEN side = 'b' THEN 1 ELSE 0 END) AS DOUBLE) AS after "
     f"FROM (SELECT severity, 'a' AS side FROM ({_FEW_ISSUES['clean_orders']}) UNION ALL SELECT severity, 'b' FROM ({_FEW_ISSUES['dirty_orders']}) "
-    f"UNION ALL SELECT * FROM (VALUES ('info', '-'), ('low', '-'), ('medium', '-'), ('high', '-'), ('critical', '-'))) GROUP BY severity",
+    f"UNION ALL SELECT * FROM (VALUES ('info', '-'), ('low', '-'), ('medium', '-'), ('high', '-'), ('critical', '-'))) GROUP BY severity"
+)
+_DIMENSION_DELTAS = (
+    f"SELECT a.dimension AS name, a.score AS before, b.score AS after FROM ({_few_quality('clean_orders')}) a JOIN ({_few_quality('dirty_orders')}) b USING (dimension)"
+)
+
+
+@register(
+    "h16_run_deltas",
+    f"SELECT *, round(after - before, 1) AS delta FROM (SELECT 'severity' AS kind, * FROM ({_SEVERITY_DELTAS}) UNION ALL SELECT 'dimension', * FROM ({_DIMENSION_DELTAS}))",
 )
 def _(s, d):
-    found = history.run_deltas(_run(s, d, "clean_orders").scan_run, _run(s, d, "dirty_orders").scan_run)
-    return found.filter("kind = 'severity'").select("name", "before", "after")
+    return history.run_deltas(_run(s, d, "clean_orders").scan_run, _run(s, d, "dirty_orders").scan_run)
 
 
 # ---- repairs -----------------------------------------------------------------

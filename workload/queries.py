@@ -596,6 +596,7 @@ _QUALITY = (
     "ON i.dimension = c.dimension)"
 )
 _RAN = ["completeness", "validity", "uniqueness", "distribution_stability"]
+_NOT_RAN = ("consistency", "timeliness")
 
 
 @register("g04_quality_score", _QUALITY.replace("{issues}", _ISSUES))
