@@ -42,29 +42,38 @@ def substring_dedup(docs, size=50):
     return out
 
 
-def lm(docs, mu):
+def lm(docs, mu, order=3):
     """``docs``: (doc_id, text).  Rows (doc_id, held_out, n_tokens, n_known, N, base, score)."""
-    one, two = Counter(), Counter()
+    grams = Counter()
 
     def tokens(text):
         return [*(x.translate(LOWER) for x in words(text)), None]
 
     for doc_id, text in docs:
         if remainder(doc_id, 7) not in (2, None):
-            t = tokens(text)
-            one.update(t)
-            two.update(zip([None, *t], t))
-    n, v = sum(one.values()), len(one)
+            t = [None, *tokens(text)]
+            for i in range(1, len(t)):
+                grams.update((tuple(t[j : i + 1]) for j in range(max(0, i - order + 1), i + 1)))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    follow = Counter()
+    for g, c in grams.items():
+        follow[g[:-1]] += c
+
+    def chance(context, x):
+        if not context:
+            return (grams[x,] + 1) / (n + v + 1)
+        return (grams[(*context, x)] + mu * chance(context[1:], x)) / (follow[context] + mu)
+
     out = []
     for doc_id, text in docs:
-        t = tokens(text)
+        t = [None, *tokens(text)]
         base = score = 0.0
-        for u, x in zip([None, *t], t):
-            p = (one[x] + 1) / (n + v + 1)
-            base += math.log10(p)
-            score += math.log10((two[u, x] + mu * p) / (one[u] + mu))
+        for i in range(1, len(t)):
+            base += math.log10(chance((), t[i]))
+            score += math.log10(chance(tuple(t[max(0, i - order + 1) : i]), t[i]))
         r = remainder(doc_id, 7)
-        out.append((doc_id, None if r is None else r == 2, len(t), sum(one[x] > 0 for x in t), n, base, score))
+        known = sum(grams[x,] > 0 for x in t[1:])
+        out.append((doc_id, None if r is None else r == 2, len(t) - 1, known, n, base, score))
     return out
 
 

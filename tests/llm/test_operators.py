@@ -332,18 +332,37 @@ def same_scores(got, expect):
         assert g[5:] == pytest.approx(e[5:], rel=1e-9)
 
 
-def test_lm_equals_brute_force(spark, docs, odd, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_equals_brute_force(spark, docs, odd, monkeypatch, order):
     key = lambda r: (r[0] is None, r[0] or 0, str(r[2:5]))
     monkeypatch.setattr(lm.X, "BLOCK_ROWS", 7)
     for df in (docs, odd):
-        same_scores(sorted((tuple(r) for r in lm.op5(df).collect()), key=key), sorted(brute.lm(plain(df), lm.MU), key=key))
+        found = sorted((tuple(r) for r in lm.op5(df, order).collect()), key=key)
+        same_scores(found, sorted(brute.lm(plain(df), lm.MU, order), key=key))
+
+
+def test_lm_follows_failure_arcs(spark):
+    """After words that never met, the chance of the next is that after the last one alone."""
+    df = spark.createDataFrame([(i, "a b c") for i in range(9)] + [(i, "b c a") for i in range(9, 12)], "doc_id bigint, text string")
+    ask = spark.createDataFrame([(1000, "a b c"), (1001, "c b c"), (1002, "c b")], "doc_id bigint, text string")
+    two, three = (
+        {r["doc_id"]: r["score"] for r in lm.score(df.unionByName(ask), F.col("doc_id") < 1000, order=k).collect()} for k in (2, 3)
+    )
+    assert three[1000] > two[1000]
+    # "c b" was never seen: what follows it is scored by "b" alone, and "b c" by itself.
+    n, v, mu = 48, 4, lm.MU
+    end, b, c = 13 / (n + v + 1), 13 / (n + v + 1), 13 / (n + v + 1)
+    after_b = (0 + mu * end) / (12 + mu)
+    assert three[1002] == pytest.approx(two[1002]) and 10 ** (
+        three[1002] - math.log10((0 + mu * c) / (12 + mu)) - math.log10((0 + mu * b) / (12 + mu))
+    ) == pytest.approx(after_b)
 
 
 def test_lm_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(i, "a b a c") for i in range(1, 12)], "doc_id bigint, text string")
     vocabulary = ["a", "b", "c", "unseen"]
     ask = spark.createDataFrame([(1000 + i, f"a {w}") for i, w in enumerate(vocabulary)] + [(2000, "a")], "doc_id bigint, text string")
-    rows = {r["doc_id"]: r for r in lm.score(df.unionByName(ask), F.col("doc_id") < 1000).collect()}
+    rows = {r["doc_id"]: r for r in lm.score(df.unionByName(ask), F.col("doc_id") < 1000, order=2).collect()}
     lone = rows[2000]["score"]  # P(a | start) P(end | a)
 
     def end_after(w):

@@ -1,19 +1,21 @@
 """Language-model scoring by a weighted backoff automaton.
 
-A smoothed bigram model is an automaton: one state for each word seen in training (the text so far
-ends in it) and a root.  A state has an arc for every word that followed it, with the smoothed
-conditional probability, and a failure arc to the root with the backoff weight; the root has an arc
-for every word, and one for unknown words.  A text is read once from left to right, carrying the
-state: take the arc of the next word or else the failure arc and the root's arc, and add up log10 weights.
+A smoothed n-gram model is an automaton.  Its states are the root, one state for each word seen in training (the text so far
+ends in it), and, from order 3 on, one for each two words that followed each other, and so on.  A state has an arc
+for every word that followed it, with the smoothed conditional probability, and a failure arc with a backoff
+weight to the state that forgets its first word, in the end to the root; the root has an arc for every word, and one for
+unknown words.  A text is read once from left to right, carrying the state: take the arc of the next word, or
+else failure arcs until a state has one, and add up log10 weights.
 
     P(w)     = (c(w) + 1) / (N + V + 1)
-    P(w | u) = (c(u, w) + MU * P(w)) / (c(u) + MU)        failure weight of u: MU / (c(u) + MU)
+    P(w | s) = (c(s, w) + MU * P(w | s')) / (c(s) + MU)        failure weight of s: MU / (c(s) + MU), leading to s'
 
 which sums to one over the V known words and one unknown.  A text begins in the state of the end
 mark, and each text's last token is the end mark, so c(end) is also the number of training texts.
+``order`` is the longest n-gram: 2 has words as states, 3 also pairs of words.
 
-Counts cover the whole corpus and live in shards (see ``exchange``); nothing grows on the driver but
-N and V.  Each block of texts gets from the shards just the states and arcs that its texts can meet.
+Counts cover the whole corpus and live in shards (see ``exchange``), those of each length in shards of their own; nothing
+grows on the driver but N and V.  Each block of texts gets from the shards just the states and arcs that its texts can meet.
 
 Defined cases: a NULL or empty text has the one token *end*.  NULL ids are scored and not learnt
 from, their ``held_out`` is NULL.  Repeated rows count and are scored each.  With nothing to learn from, N = V = 0.
@@ -36,7 +38,8 @@ U64 = np.uint64
 MU = 50.0
 #: Stands for the end mark; no word hashes to it but by chance of 2**-64.
 END = U64(0x5EED0E4D)
-WORD, PAIR = 0, 1
+#: Words of the longest n-gram.
+ORDER = 3
 #: Bits of a key that are sent, next to its shard.
 SENT = 47
 
@@ -51,12 +54,20 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def pair_keys(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A key for each token together with the one before it."""
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[first[:-1]] = END
-    return words.mix(before * U64(0x9E3779B97F4A7C15) ^ words.mix(token + U64(0x1234567)))
+def grams(token: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length up to ``order``: keys of the n-grams that end at each token, and which tokens have one.
+
+    The mark a text begins with counts as one word before it, so its first token has a pair and no longer n-gram.
+    """
+    place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
+    keys = token
+    yield 1, keys, place >= 0
+    for n in range(2, order + 1):
+        before = np.empty_like(keys)
+        before[1:] = keys[:-1]
+        before[first[:-1]] = END
+        keys = words.mix(before * U64(0x9E3779B97F4A7C15) ^ words.mix(token + U64(0x1234567)))
+        yield n, keys, place >= n - 2
 
 
 def packed(keys: np.ndarray, n: int) -> np.ndarray:
@@ -124,16 +135,19 @@ def totals(rows: DataFrame) -> dict:
     return whole.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "b", "r"))).first().asDict()
 
 
-def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, learn, mu: float = MU, order: int = ORDER) -> DataFrame:
     """One row a document: token counts, the add-one unigram score, and the automaton's score.
 
-    ``learn`` tells which rows to learn from.
+    ``learn`` tells which rows to learn from; ``order`` is the longest n-gram, 2 or more.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     rows = documents(docs, "doc_id", "text").withColumn("learn", F.coalesce(learn, F.lit(False)))
     t = totals(rows)
     big_n, big_v = int(t["n"]), int(t["v"])
     n = X.n_shards(docs)
-    rows, several = X.in_blocks(rows, t["b"], t["r"])
+    # What a block holds and is told grows with the order.
+    rows, several = X.in_blocks(rows, t["b"], t["r"], 2 * X.BLOCK_BYTES // order)
 
     def keys_of(table: pa.Table):
         token, first = tokens(table.column("text"))
@@ -144,11 +158,11 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
         token, first, learn_ = keys_of(table)
         copies = np.repeat(table.column("copies").to_numpy(), np.diff(first)) if several else None
         asks = []
-        for kind, keys in ((WORD, token), (PAIR, pair_keys(token, first))):
-            v, c = tallied(keys, learn_, n, copies)
+        for kind, keys, have in grams(token, first, order):
+            v, c = tallied(keys[have], learn_[have], n, copies[have] if several else None)
             cut = X.cuts(v >> U64(48), n)
             asks += [
-                (s, kind, X.planes(v[a:b] >> U64(1), 6), X.planes(c[a:b]))
+                (kind * n + s, kind, X.planes(v[a:b] >> U64(1), 6), X.planes(c[a:b]))
                 for s, (a, b) in enumerate(zip(cut[:-1], cut[1:]))
                 if b > a
             ]
@@ -157,10 +171,8 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table.column("kind").to_pylist())
         replies: list[bytes] = [b""] * len(kinds)
-        for kind in (WORD, PAIR):
+        for kind in np.unique(kinds):
             which = np.flatnonzero(kinds == kind)
-            if not len(which):
-                continue
             parts = [X.unplanes(table.column("keys")[int(i)].as_py(), 6) & U64((1 << SENT) - 1) for i in which]
             counts = [X.unplanes(table.column("more")[int(i)].as_py()) for i in which]
             keys = np.concatenate(parts)
@@ -185,24 +197,28 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         token, first, learn_ = keys_of(table)
         told = X.said(answers)
-        seen = []
-        for kind, keys in ((WORD, token), (PAIR, pair_keys(token, first))):
-            v = packed(keys, n)
+        for kind, keys, have in grams(token, first, order):
+            v = packed(keys[have], n)
             u = np.sort(v)
             u = u[X.distinct(u)]
-            by = told.get(kind, {})
+            by = told.pop(kind, {})
             c = np.concatenate([X.unplanes(by[s][1]) for s in sorted(by)]).astype(float) if by else np.zeros(0)
-            seen.append(c[np.searchsorted(u, v)])
-        word, arc = seen
-        # The traversal: each token is read in the state that the token before it left.
-        at_end = word[first[1:] - 1]
-        state = np.empty_like(word)
-        state[1:] = word[:-1]
-        state[first[:-1]] = at_end
-        root = (word + 1) / (big_n + big_v + 1)
-        base = np.log10(root)
-        fail = np.log10(mu / (state + mu))
-        step = np.where(arc > 0, np.log10((arc + mu * root) / (state + mu)), fail + base)
+            arc = np.zeros(len(token))
+            arc[have] = c[np.searchsorted(u, v)]
+            if kind == 1:
+                word = arc
+                chance = (word + 1) / (big_n + big_v + 1)
+                base = np.log10(chance)
+                step = base
+            else:
+                # Each token is read in the state that the token before it left; a text begins in the end mark's.
+                state = np.empty_like(arc)
+                state[1:] = shorter[:-1]
+                state[first[:-1]] = word[first[1:] - 1]
+                mixed = (arc + mu * chance) / (state + mu)
+                taken = np.where(arc > 0, np.log10(mixed), np.log10(mu / (state + mu)) + step)
+                step, chance = np.where(have, taken, step), np.where(have, mixed, chance)
+            shorter = arc
         size = np.diff(first)
         return pa.table(
             {
@@ -226,9 +242,9 @@ def score(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
     return X.repeated(out, several)
 
 
-def op5(docs: DataFrame) -> DataFrame:
+def op5(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """The digest of the registered query: learn where crc32 of the id is not 2 modulo 7."""
     left = remainder(F.col("doc_id"), 7)
-    return score(docs, left != 2).select(
+    return score(docs, left != 2, order=order).select(
         "doc_id", (left == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
