@@ -42,6 +42,7 @@ END = U64(0x5EED0E4D)
 ORDER = 3
 #: Bits of a key that are sent, next to its shard.
 SENT = 47
+LOW = U64((1 << SENT) - 1)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +76,11 @@ def packed(keys: np.ndarray, n: int) -> np.ndarray:
     return (X.shard_of(keys, n) << U64(48)) | ((keys >> U64(64 - SENT)) << U64(1))
 
 
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """Sorted keys as the distances between them, whose upper bytes are mostly zero and shrink away."""
+    return np.diff(ordered, prepend=U64(0))
+
+
 def tallied(keys: np.ndarray, learn: np.ndarray, n: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct packed keys in order, and how often each occurs in training texts (each ``copies`` times)."""
     v = packed(keys, n) | (~learn).astype(U64)
@@ -162,7 +168,7 @@ def score(docs: DataFrame, learn, mu: float = MU, order: int = ORDER) -> DataFra
             v, c = tallied(keys[have], learn_[have], n, copies[have] if several else None)
             cut = X.cuts(v >> U64(48), n)
             asks += [
-                (kind * n + s, kind, X.planes(v[a:b] >> U64(1), 6), X.planes(c[a:b]))
+                (kind * n + s, kind, X.planes(steps(v[a:b] >> U64(1) & LOW), 6), X.planes(c[a:b]))
                 for s, (a, b) in enumerate(zip(cut[:-1], cut[1:]))
                 if b > a
             ]
@@ -173,7 +179,7 @@ def score(docs: DataFrame, learn, mu: float = MU, order: int = ORDER) -> DataFra
         replies: list[bytes] = [b""] * len(kinds)
         for kind in np.unique(kinds):
             which = np.flatnonzero(kinds == kind)
-            parts = [X.unplanes(table.column("keys")[int(i)].as_py(), 6) & U64((1 << SENT) - 1) for i in which]
+            parts = [np.cumsum(X.unplanes(table.column("keys")[int(i)].as_py(), 6), dtype=U64) for i in which]
             counts = [X.unplanes(table.column("more")[int(i)].as_py()) for i in which]
             keys = np.concatenate(parts)
             order = np.argsort(keys, kind="stable")
