@@ -153,7 +153,7 @@ def score(docs: DataFrame, learn, mu: float = MU, order: int = ORDER) -> DataFra
     big_n, big_v = int(t["n"]), int(t["v"])
     n = X.n_shards(docs)
     # What a block holds and is told grows with the order.
-    rows, several = X.in_blocks(rows, t["b"], t["r"], 2 * X.BLOCK_BYTES // order)
+    rows, several = X.in_blocks(rows, t["b"], t["r"], X.BLOCK_BYTES // (order - 1))
 
     def keys_of(table: pa.Table):
         token, first = tokens(table.column("text"))
