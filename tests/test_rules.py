@@ -192,7 +192,7 @@ def test_masks_count_like_checks(sparse, monkeypatch):
     assert {(r["a"], r["b"]): r["n"] for r in completeness.null_pairs(sparse, names).collect()} == want
     monkeypatch.setattr(completeness, "PAIR_BLOCK", 16)
     assert {(r["a"], r["b"]): r["n"] for r in completeness.null_pairs(sparse, names).collect()} == want
-    some = sparse.select(sparse.columns[:16])
+    some = sparse.select(sparse.columns[16:32])
     for detector in (completeness.conditional_missingness, completeness.correlated_missingness):
         by_mask = pair_rows(detector(some))
         monkeypatch.setattr(completeness, "COUNTED_PAIRS", 10**6)
