@@ -121,10 +121,12 @@ def _evidence_bound(name: str) -> Column:
     return F.try_element_at(F.array_compact(found), F.lit(1))
 
 
-def propose(df: DataFrame, issues: DataFrame) -> DataFrame:
+def propose(df: DataFrame, issues: DataFrame, asked: Sequence[tuple[str, tuple[str, ...]]] = ()) -> DataFrame:
     """Proposals for a run's issues; unsupported ones are left out.
 
-    The rows each would change are all counted in one aggregate.
+    The rows each would change are all counted in one aggregate.  Where no row would change there is no proposal, unless
+    it is among ``asked``: pairs of a detector of the run and its columns, which are told in any case, without an issue
+    and bounds if the run found none.
     """
     rows = issues.select(
         "issue_id",
@@ -140,10 +142,20 @@ def propose(df: DataFrame, issues: DataFrame) -> DataFrame:
         if chosen and set(r["columns"]) <= set(df.columns) and r["columns"]:
             params = clip_bounds(*bounds) if chosen[1] == "clip_value" else {}
             plans.append((r["issue_id"], chosen[0], Repair(chosen[1], tuple(r["columns"]), params)))
-    counts = count_changes(df, [p[2] for p in plans])
+    found = {(d, tuple(r["columns"])): r for r in rows for d in r["detector_ids"]}
+    told = {(source, r.columns) for _, source, r in plans}
+    for source, columns in asked:
+        if (source, columns) not in told:
+            r = found.get((source, columns))
+            bounded = OPERATION_FOR[source] == "clip_value" and r is not None and None not in (r["lower"], r["upper"])
+            params = clip_bounds(r["lower"], r["upper"]) if bounded else {}
+            plans.append((r and r["issue_id"], source, Repair(OPERATION_FOR[source], columns, params)))
+    # A clip without bounds is one whose detector found nothing outside of them.
+    counts = iter(count_changes(df, [r for *_, r in plans if r.operation != "clip_value" or r.params]))
     out = []
-    for (issue_id, source, r), n in zip(plans, counts):
-        if n > 0:
+    for issue_id, source, r in plans:
+        n = 0 if r.operation == "clip_value" and not r.params else next(counts)
+        if n > 0 or (source, r.columns) in asked:
             kind = "partially_reversible" if r.operation == "set_null" else "fully_reversible"
             out.append(
                 (
@@ -183,7 +195,7 @@ def to_repairs(proposals: DataFrame) -> list[Repair]:
             tuple(r["columns"]),
             {} if r["lower"] is None else {"lower": r["lower"], "upper": r["upper"]},
         )
-        for r in proposals.orderBy("issue_id").collect()
+        for r in proposals.filter("estimated_rows_changed > 0").orderBy("issue_id").collect()
     ]
 
 
