@@ -1,10 +1,13 @@
 """Results that changed, or cost too much, on larger copies of the tables."""
 
+import json
+
 import duckdb
 from pyspark.sql import functions as F
 
 from compare import difference
-from veritable.operators import repair
+from veritable.functions import predicates as P
+from veritable.operators import repair, uniqueness
 from test_queries import ORACLES, QUERIES, SF
 
 
@@ -31,3 +34,25 @@ def test_asked_proposals_have_no_repair(spark, make):
     assert told == {"leading_or_trailing_whitespace": 1, "inconsistent_case": 0, "iqr_outlier": 0}
     assert [r.operation for r in repair.to_repairs(found)] == ["trim_whitespace"]
     assert repair.propose(df, none).isEmpty()
+
+
+def test_fuzzy_keys_in_batches(make):
+    long = "Ab c" * 40
+    texts = ["", "a", "A-b", "ab", "中", "中 文", "中文", "é", "éA", "x\u0130I", "\u212aB", "٣4", "一鿿", "a\U0001f600b", "㐀a", long, long.upper(), None]
+    df = make(texts, "t string")
+    known = df.filter("t is not null").selectExpr("'t' AS column", "t AS value", "1L AS n")
+    kept = uniqueness._keyed(known, kept=True).select(F.col("value").cast("string").alias("v"), F.col("start").cast("string").alias("start"))
+    plain = known.select(F.col("value").alias("v"), P.fuzzy_key("value").alias("k")).filter("length(k) >= 2")
+    assert sorted(map(tuple, kept.collect())) == sorted((r["v"], r["k"][:64]) for r in plain.collect())
+    (found,) = uniqueness.fuzzy_duplicate(df).collect()
+    told = {g["key"]: g["rows"] for g in json.loads(found["evidence"])["groups"]}
+    assert told == {"ab": 3, "中文": 2, long.replace(" ", "").lower(): 2} and found["affected_count"] == 4
+
+
+def test_fuzzy_duplicates_shuffle_no_long_texts(spark):
+    df = spark.range(2000).select(F.repeat(F.concat(F.lit("Word-"), F.col("id").cast("string"), F.lit(" ")), 200).alias("t"))
+    found = uniqueness.fuzzy_duplicate(df)
+    assert found.isEmpty()
+    # Keys of texts are made by the task that reads them, once, and only those of examples by a regular expression.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 and "hashpartitioning(column#" in plan

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions import predicates as P
-from veritable.functions.columns import string_columns
-from veritable.operators.checks import Target, candidate, evidence_json, target
+from veritable.functions.columns import col, string_columns
+from veritable.operators.checks import Target, candidate, empty, evidence_json, target
 from veritable.operators.frequency import column_totals, top_per_column, value_counts
 
 # ---- fixed values: thresholds ----------------------------------------------
@@ -15,6 +17,9 @@ EXAMPLES = 10
 FUZZY_MIN_LENGTH, FUZZY_SAMPLES = 2, 3
 # ---- end of fixed values ----------------------------------------------------
 
+#: Bytes of a value that is counted before its key is made, and of a key that orders the examples.
+SHORT, KEY_START = 64, 64
+
 
 def uniqueness_violation(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
     """Rows that repeat a value of their column; the evidence shows the most repeated values."""
@@ -52,39 +57,80 @@ def uniqueness_violation(df: DataFrame | Target, cols=None, freq=None) -> DataFr
     )
 
 
-def fuzzy_groups(freq: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The keyed frequency rows, and rows and spellings of keys written in several ways."""
-    keyed = (
-        freq.filter(F.col("column").isin(names))
-        .withColumn("key", P.fuzzy_key(F.col("value")))
-        .filter(F.length("key") >= FUZZY_MIN_LENGTH)
-    )
-    return keyed, keyed.groupBy("column", "key").agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("spellings")
-    ).filter("rows >= 2 and spellings >= 2")
+def _keyed(values: DataFrame, kept: bool = False) -> DataFrame:
+    """128 bits of the key of each value and of the value itself, and where its key begins; ``kept``: the value, too.
+
+    Values whose key is too short are left out.  The key is that of ``predicates.fuzzy_key``, which in the JVM takes
+    several times as long for long texts.
+    """
+    schema = f"column string, {'value binary' if kept else 'n bigint'}, key binary, spelling binary, start binary"
+    carried = "value" if kept else "n"
+
+    def keyed(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+
+        low = bytes(range(256)).lower()
+        drop = bytes(b for b in range(128) if not chr(b).isalnum())
+        # Letters, digits, and the UTF-8 of U+4E00 to U+9FFF.
+        runs = re.compile(rb"[0-9A-Za-z]+|(?:\xe4[\xb8-\xbf][\x80-\xbf]|[\xe5-\xe9][\x80-\xbf]{2})+").findall
+
+        def digest(b: bytes) -> bytes:
+            return hashlib.blake2b(b, digest_size=16).digest()
+
+        for batch in batches:
+            found = []
+            at = []
+            for i, v in enumerate(batch.column("value").to_pylist()):
+                key = v.translate(low, drop) if v.isascii() else b"".join(runs(v)).lower()
+                # A single letter of the others has three bytes.
+                if len(key) >= (FUZZY_MIN_LENGTH if key[:1].isascii() else 4):
+                    found.append((digest(key), digest(v), key[:KEY_START]))
+                    at.append(i)
+            told = batch.take(pa.array(at, pa.int64()))
+            parts = [pa.array([f[k] for f in found], pa.binary()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([told.column("column"), told.column(carried), *parts], ["column", carried, "key", "spelling", "start"])
+
+    return values.select("column", F.col("value").cast("binary").alias("value"), "n").mapInArrow(keyed, schema)
+
+
+def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column, value, n`` of text columns: short values counted, long ones as they come, so that they need no shuffle."""
+    short = df.select(*[F.when(F.octet_length(col(c)) <= SHORT, col(c)).alias(c) for c in names])
+    cells = [F.struct(F.lit(c).alias("column"), F.when(F.octet_length(col(c)) > SHORT, col(c)).alias("value")) for c in names]
+    long = df.select(F.inline(F.array(*cells))).filter("value is not null")
+    return value_counts(short, names).unionAll(long.select("column", "value", F.lit(1).cast("bigint").alias("n")))
 
 
 def fuzzy_duplicate(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
-    """Values equal once case, blanks and punctuation are ignored."""
+    """Values equal once case, blanks and punctuation are ignored.
+
+    Keys and values are compared by 128 bits of each; texts are read again only for the examples, and shuffled only if
+    they are some.
+    """
     at = target(df)
     names = string_columns(at.df, cols)
-    freq = freq if freq is not None else value_counts(at.df, names)
-    keyed, groups = fuzzy_groups(freq, names)
+    if not names:
+        return empty(at.spark)
+    known = freq.filter(F.col("column").isin(names) & F.col("value").isNotNull()) if freq is not None else _values(at.df, names)
+    spellings = _keyed(known).groupBy("column", "key", "spelling", "start").agg(F.sum("n").alias("n"))
+    groups = spellings.groupBy("column", "key", "start").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("spellings"))
+    groups = groups.filter("rows >= 2 and spellings >= 2")
     totals = groups.groupBy("column").agg(
         F.sum(F.col("rows") - 1).alias("affected"), F.count(F.lit(1)).alias("groups")
     )
-    top = top_per_column(groups, EXAMPLES, F.desc("rows"), F.asc("key"))
-    # ``top`` has at most EXAMPLES rows per column.
-    samples = top_per_column(
-        keyed.join(F.broadcast(top.select("column", "key")), ["column", "key"]),
-        FUZZY_SAMPLES,
-        F.asc("value"),
-        by=("column", "key"),
-    )
-    samples = samples.groupBy("column", "key").agg(
-        F.sort_array(F.collect_list("value")).alias("samples")
-    )
-    detail = top.join(samples, ["column", "key"])
+    # EXAMPLES groups per column, and those that tie with the last of them in their rows and the first letters of their keys.
+    ranked = Window.partitionBy("column").orderBy(F.desc("rows"), F.asc("start"))
+    first = groups.withColumn("rank", F.rank().over(ranked)).filter(F.col("rank") <= EXAMPLES)
+    first = first.select("column", F.col("key").alias("digest"), "rows", "spellings")
+    written = _keyed(known, kept=True).select("column", F.col("key").alias("digest"), "value")
+    texts = written.join(F.broadcast(first), ["column", "digest"]).withColumn("value", F.col("value").cast("string"))
+    samples = top_per_column(texts.distinct(), FUZZY_SAMPLES, F.asc("value"), by=("column", "digest"))
+    detail = samples.groupBy("column", "digest", "rows", "spellings").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    detail = detail.withColumn("key", P.fuzzy_key(F.get("samples", F.lit(0))))
+    detail = top_per_column(detail, EXAMPLES, F.desc("rows"), F.asc("key"))
     shown = detail.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "key", "rows", "spellings", "samples"))).alias("examples")
     )
