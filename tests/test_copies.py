@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from compare import difference
 from veritable.functions import predicates as P
-from veritable.operators import repair, uniqueness
+from veritable.functions.columns import col
+from veritable.operators import repair, text_format, uniqueness
+from veritable.operators.checks import Check
+from veritable.operators.repair import Repair
+from veritable.plans import scan as plan
 from test_queries import ORACLES, QUERIES, SF
 
 
@@ -56,3 +60,35 @@ def test_fuzzy_duplicates_shuffle_no_long_texts(spark):
     # Keys of texts are made by the task that reads them, once, and only those of examples by a regular expression.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace") <= 2 and "hashpartitioning(column#" in plan
+
+
+def _seen(spark, kind):
+    """A function that counts its calls, and the counter."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def look(v):
+        calls.add(1)
+        return v if kind == "string" else v is not None and v.startswith(" ")
+
+    return F.udf(look, kind), calls
+
+
+def test_a_scan_looks_once_at_each_short_text(spark, monkeypatch):
+    look, calls = _seen(spark, "boolean")
+    checks = {"leading_or_trailing_whitespace": lambda df, c: [Check("leading_or_trailing_whitespace", ("t",), look(col("t")), 0.9, "low")]}
+    monkeypatch.setattr(plan, "COUNTED", checks)
+    df = spark.range(20000).select(F.when(F.col("id") % 4 == 0, " a").when(F.col("id") % 4 == 1, "b").alias("t"))
+    config = plan.ScanConfig(detectors=["leading_or_trailing_whitespace"], fingerprint=False)
+    (found,) = plan.scan(df, config).candidates.collect()
+    assert found["affected_count"] == 5000 and 0 < calls.value < 200
+
+
+def test_counts_of_short_and_long_texts(spark):
+    texts = F.array(F.lit(" a"), F.lit("n/a"), F.lit("=1"), F.repeat(F.lit("long "), 300), F.lit(None), F.lit("\x01"), F.repeat(F.lit(" x"), 40))
+    df = spark.range(7000).select(F.get(texts, (F.col("id") % 7).cast("int")).alias("n"), F.lit("2024-02-30").alias("a.date"))
+    names = [d for d in plan.COUNTED if d in plan._PER_TEXT]
+    found = plan.scan(df, plan.ScanConfig(detectors=names, fingerprint=False)).candidates
+    told = {(r["detector_id"], r["columns"][0]): r["affected_count"] for r in found.collect()}
+    alone = {(c.detector_id, c.columns[0]): df.filter(c.hit).count() for d in text_format.COUNTED for c in text_format.text_checks(d, df)}
+    assert {k: n for k, n in told.items() if k in alone} == {k: n for k, n in alone.items() if n}
+    assert told["suspicious_missing_token", "n"] == 1000 and told["impossible_date", "a.date"] == 7000

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from veritable.functions.columns import col, flat_columns
 
 FREQUENCY = "column string, value string, n bigint"
+#: Bytes of a text that is counted before it is looked at.
+SHORT = 64
 
 
 def _storage(dtype: T.DataType) -> str:
@@ -72,6 +74,14 @@ def value_counts(
     return reduce(DataFrame.unionAll, parts)
 
 
+def text_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(column, value, n)`` of text columns: short values counted, long ones as they come, so that they need no shuffle."""
+    short = df.select(*[F.when(F.octet_length(col(c)) <= SHORT, col(c)).alias(c) for c in names])
+    cells = [F.struct(F.lit(c).alias("column"), F.when(F.octet_length(col(c)) > SHORT, col(c)).alias("value")) for c in names]
+    long = df.select(F.inline(F.array(*cells))).filter("value is not null")
+    return value_counts(short, names).unionAll(long.select("column", "value", F.lit(1).cast("bigint").alias("n")))
+
+
 def column_totals(freq: DataFrame) -> DataFrame:
     """Per column: distinct values, non-null rows, redundant rows."""
     known = freq.filter(F.col("value").isNotNull())

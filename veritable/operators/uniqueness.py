@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions import predicates as P
-from veritable.functions.columns import col, string_columns
+from veritable.functions.columns import string_columns
 from veritable.operators.checks import Target, candidate, empty, evidence_json, target
-from veritable.operators.frequency import column_totals, top_per_column, value_counts
+from veritable.operators.frequency import column_totals, text_values, top_per_column, value_counts
 
 # ---- fixed values: thresholds ----------------------------------------------
 EXAMPLES = 10
 FUZZY_MIN_LENGTH, FUZZY_SAMPLES = 2, 3
 # ---- end of fixed values ----------------------------------------------------
 
-#: Bytes of a value that is counted before its key is made, and of a key that orders the examples.
-SHORT, KEY_START = 64, 64
+#: Bytes of a key that order the examples.
+KEY_START = 64
 
 
 def uniqueness_violation(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
@@ -96,14 +94,6 @@ def _keyed(values: DataFrame, kept: bool = False) -> DataFrame:
     return values.select("column", F.col("value").cast("binary").alias("value"), "n").mapInArrow(keyed, schema)
 
 
-def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``column, value, n`` of text columns: short values counted, long ones as they come, so that they need no shuffle."""
-    short = df.select(*[F.when(F.octet_length(col(c)) <= SHORT, col(c)).alias(c) for c in names])
-    cells = [F.struct(F.lit(c).alias("column"), F.when(F.octet_length(col(c)) > SHORT, col(c)).alias("value")) for c in names]
-    long = df.select(F.inline(F.array(*cells))).filter("value is not null")
-    return value_counts(short, names).unionAll(long.select("column", "value", F.lit(1).cast("bigint").alias("n")))
-
-
 def fuzzy_duplicate(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
     """Values equal once case, blanks and punctuation are ignored.
 
@@ -114,7 +104,7 @@ def fuzzy_duplicate(df: DataFrame | Target, cols=None, freq=None) -> DataFrame:
     names = string_columns(at.df, cols)
     if not names:
         return empty(at.spark)
-    known = freq.filter(F.col("column").isin(names) & F.col("value").isNotNull()) if freq is not None else _values(at.df, names)
+    known = freq.filter(F.col("column").isin(names) & F.col("value").isNotNull()) if freq is not None else text_values(at.df, names)
     spellings = _keyed(known).groupBy("column", "key", "spelling", "start").agg(F.sum("n").alias("n"))
     groups = spellings.groupBy("column", "key", "start").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("spellings"))
     groups = groups.filter("rows >= 2 and spellings >= 2")

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.functions.columns import (
@@ -36,10 +36,10 @@ from veritable.functions.columns import (
 from veritable.operators import categorical, completeness, cross, dates, model_outlier, numeric
 from veritable.operators import text_format, uniqueness
 from veritable.operators.checks import (
-    MAX_EXPRESSIONS,
     ROWS,
     Check,
     Target,
+    chunked,
     empty,
     one_row,
     report,
@@ -52,7 +52,7 @@ from veritable.operators.fingerprint import (
     signature,
     statistics_fingerprint,
 )
-from veritable.operators.frequency import value_counts
+from veritable.operators.frequency import text_values, value_counts
 from veritable.operators.fusion import fuse, score
 from veritable.operators.quality import quality, quality_summary, severity_counts
 from veritable.operators.rules import Rule, counted_apart, rule_checks
@@ -131,6 +131,8 @@ COUNTED: dict[str, Callable[[DataFrame, ScanConfig], list[Check]]] = {
     "stale_date": lambda df, c: dates.stale_checks(df, as_of=c.as_of),
     **{d: (lambda df, c, d=d: text_format.text_checks(d, df)) for d in text_format.COUNTED},
 }
+# Those that look at one text at a time, and find nothing in a NULL.
+_PER_TEXT = {"suspicious_missing_token", "suspicious_placeholder", "invalid_date", "impossible_date", *text_format.COUNTED}
 _FREQUENCY = {
     "uniqueness_violation": lambda at, f, rows: uniqueness.uniqueness_violation(at, freq=f),
     "fuzzy_duplicate": lambda at, f, rows: uniqueness.fuzzy_duplicate(at, freq=f),
@@ -218,21 +220,31 @@ class _Pass:
         self.slots = {c: row[f"sk{i}"] for i, c in enumerate(read)}
 
     def count(self, checks: list[Check], extra: Sequence = ()) -> dict:
-        """Count the checks, add their candidates, and return the first aggregate's row."""
-        ordered = sorted(checks, key=lambda c: c.columns)
-        groups = [
-            ordered[i : i + MAX_EXPRESSIONS] for i in range(0, len(ordered), MAX_EXPRESSIONS)
-        ] or [[]]
+        """Count the checks, add their candidates, and return the first aggregate's row.
+
+        Checks of single texts look at each short value once, however many rows it has.
+        """
+        texts = set(string_columns(self.at.df))
+        per_text = [c for c in checks if c.detector_id in _PER_TEXT and texts.issuperset(c.columns)]
+        others = [c for c in checks if not any(c is p for p in per_text)]
         first: dict = {}
-        for i, group in enumerate(groups):
-            head = list(extra) if i == 0 else []
-            row, group = self.counted(group, head)
+        for i, group in enumerate(chunked(others) or [[]]):
+            row, group = self.counted(self.at.df, group, list(extra) if i == 0 else [])
             self.add_counts(row, group)
             first = first or row
+        for group in chunked(per_text) if first[ROWS] else []:
+            names = list(dict.fromkeys(c for check in group for c in check.columns))
+            n = "n"
+            while n in {c.lower() for c in names}:
+                n += "_"
+            values = text_values(self.at.df, names)
+            values = values.select(F.col("n").alias(n), *[F.when(F.col("column") == c, F.col("value")).alias(c) for c in names])
+            row, group = self.counted(values, group, [], F.col(n))
+            self.add_counts({**row, ROWS: first[ROWS]}, group)
         return first
 
-    def counted(self, group: list[Check], head: Sequence) -> tuple[dict, list[Check]]:
-        """Counts of the checks that could be counted.
+    def counted(self, df: DataFrame, group: list[Check], head: Sequence, times: Column | None = None) -> tuple[dict, list[Check]]:
+        """Counts of the checks that could be counted; a row of ``df`` stands for so many ``times``.
 
         A detector whose checks fail is marked failed and leaves no candidates; rules share one detector, and each
         stands by itself.
@@ -240,8 +252,12 @@ class _Pass:
         units: dict[tuple, list[Check]] = {}
         for c in group:
             units.setdefault((c.detector_id, c.issue_type if c.detector_id == "contract_rule" else None), []).append(c)
-        parts = [(key, [F.count_if(c.hit) for c in own]) for key, own in units.items()]
-        row, counts, errors = counted_apart(self.at.df, parts, head)
+
+        def tally(hit: Column) -> Column:
+            return F.count_if(hit) if times is None else F.coalesce(F.sum(F.when(hit, times)), F.lit(0))
+
+        parts = [(key, [tally(c.hit) for c in own]) for key, own in units.items()]
+        row, counts, errors = counted_apart(df, parts, head)
         for (detector_id, issue_type), error in errors.items():
             if issue_type is None:
                 self.errors[detector_id] = error
