@@ -92,3 +92,12 @@ def test_counts_of_short_and_long_texts(spark):
     alone = {(c.detector_id, c.columns[0]): df.filter(c.hit).count() for d in text_format.COUNTED for c in text_format.text_checks(d, df)}
     assert {k: n for k, n in told.items() if k in alone} == {k: n for k, n in alone.items() if n}
     assert told["suspicious_missing_token", "n"] == 1000 and told["impossible_date", "a.date"] == 7000
+
+
+def test_a_written_repair_reads_its_source_once(spark, tmp_path):
+    look, calls = _seen(spark, "string")
+    df = spark.range(100).select("id", look(F.concat(F.lit(" "), F.col("id").cast("string"))).alias("t"))
+    run = repair.write_repair(df, [Repair("trim_whitespace", ("t",))], str(tmp_path / "r"))
+    assert calls.value == 100
+    assert run["fingerprint_before"] == repair.content_fingerprint(df)
+    assert run["fingerprint_after"] == repair.content_fingerprint(repair.apply_repairs(df, [Repair("trim_whitespace", ("t",))]))

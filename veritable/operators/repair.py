@@ -283,13 +283,20 @@ def candidates_before_after(df: DataFrame, repairs: Sequence[Repair], detectors:
 
 
 def write_repair(df: DataFrame, repairs: Sequence[Repair], path: str, fmt: str = "parquet") -> dict:
-    """Keep a snapshot of the source, write the repaired copy, fingerprint both."""
+    """Keep a snapshot of the source, write the repaired copy, fingerprint both.
+
+    Parquet keeps values and types, so once it is written the snapshot stands for the source, which is read only once.
+    """
     from veritable.sources.sinks import write_table
 
-    after = apply_repairs(df, repairs)
     snapshot, output = f"{path.rstrip('/')}/before", f"{path.rstrip('/')}/after"
     write_table(df, snapshot, fmt)
+    if fmt == "parquet":
+        df = df.sparkSession.read.schema(df.schema).parquet(snapshot)
+    after = apply_repairs(df, repairs)
     write_table(after, output, fmt)
+    if fmt == "parquet":
+        after = df.sparkSession.read.schema(after.schema).parquet(output)
     return {
         "rollback_artifact": snapshot,
         "output_path": output,
